@@ -6,19 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.llm import linededup, sharding
 from palisade.llm.common import documents
 from palisade.llm.neardup import near_duplicate_groups
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return linededup.remove_spread_lines(docs, report=True)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(documents(spark, sf_dir))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
+        "op5_sharding": op5_sharding,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_line_dedup": linededup.oracle(),
+        "op5_sharding": sharding.oracle(),
+    }
