@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import linededup, sharding
+from palisade.llm import linededup, mixing, sharding
 from palisade.llm.common import documents
 from palisade.llm.neardup import near_duplicate_groups
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "lang", "target", "copy", "tokens")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return linededup.remove_spread_lines(docs, report=True)
@@ -26,6 +30,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op5_sharding": op5_sharding,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
