@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import linededup, mixing, sharding
-from palisade.llm.common import documents
+from palisade.llm import linededup, mixing, quality, sharding
+from palisade.llm.common import documents, table
 from palisade.llm.neardup import near_duplicate_groups
 
 
@@ -28,12 +28,17 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op5_sharding": op5_sharding,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
