@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import linededup, mixing, quality, sharding
+from palisade.llm import linededup, mixing, pieces, quality, sharding
 from palisade.llm.common import documents, table
 from palisade.llm.neardup import near_duplicate_groups
 
@@ -28,6 +28,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op5_sharding": op5_sharding,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op8_sentencepiece": op8_sentencepiece,
         "op10_quality_rules": op10_quality_rules,
     }
 
