@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palisade.llm import linededup, mixing, pieces, quality, sharding
 from palisade.llm.common import documents, table
 from palisade.llm.neardup import near_duplicate_groups
+from palisade.llm.passages import repeated_passages
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_spread_lines(docs, report=True)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
@@ -40,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_sharding": op5_sharding,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op8_sentencepiece": op8_sentencepiece,
