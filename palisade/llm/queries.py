@@ -10,6 +10,7 @@ from palisade.llm import linededup, mixing, pieces, quality, sharding
 from palisade.llm.common import documents, table
 from palisade.llm.neardup import near_duplicate_groups
 from palisade.llm.passages import repeated_passages
+from palisade.llm.toxicity import toxicity
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_sharding": op5_sharding,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_sentencepiece": op8_sentencepiece,
         "op10_quality_rules": op10_quality_rules,
     }

@@ -112,13 +112,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans of a buffer, equal for equal bytes anywhere."""
+
+    def __init__(self, buf: np.ndarray) -> None:
+        up, self.down = powers(len(buf) + 1)
+        self.prefix = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.prefix[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * _M2)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes anywhere."""
-    up, down = powers(len(buf) + 1)
-    prefix = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _M2)
+    return SpanHasher(buf)(starts, ends)
 
 
 @dataclass
