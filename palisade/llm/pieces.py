@@ -17,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.llm import textvec as tv
 from palisade.llm.common import fresh
 
 MARK = "▁"  # how a space is written in pieces
 #: Encodings of words kept by a worker; the memory is emptied when it is full.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 500_000
+#: Ids decoded at a time, which bounds the memory for long texts.
+BLOCK = 1 << 16
 
 
 def default_model() -> str:
@@ -204,16 +206,19 @@ class Decoder:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and row offsets of the texts; each loses the one space its encoding began with."""
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.start[ids] - (ends - size), size)
-        out = self.pool[at]
-        byte_offsets = np.concatenate([[0], ends])[offsets]
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        out = np.empty(int(ends[-1]), np.uint8)
+        for a in range(0, len(ids), BLOCK):
+            part = ids[a : a + BLOCK]
+            size = self.size[part]
+            stops = np.cumsum(size)
+            at = np.arange(int(stops[-1])) + np.repeat(self.start[part] - (stops - size), size)
+            out[ends[a] : ends[a + len(part)]] = self.pool[at]
+        byte_offsets = ends[offsets]
         some = np.flatnonzero(np.diff(byte_offsets) > 0)
         drop = byte_offsets[:-1][some]
         drop = drop[out[drop] == 32]
-        keep = np.ones(total, bool)
+        keep = np.ones(len(out), bool)
         keep[drop] = False
         return out[keep], byte_offsets - np.searchsorted(drop, byte_offsets, "left")
 
@@ -246,28 +251,26 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     vocab = Pieces.load(model or default_model())
     key = hash((tuple(vocab.pieces), tuple(vocab.scores)))
     shared = spark.sparkContext.broadcast(vocab)
-    text = next((c for c in docs.columns if c.lower() == "text"), None)
-    result = T.StructType([T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    names = docs.columns
+    text = next((i for i, c in enumerate(names) if c.lower() == "text"), None)
+    added = [fresh(docs, n) for n in ("tokens", "n_tokens", "decoded")]
+    result = T.StructType([*docs.schema.fields, T.StructField(added[0], T.ArrayType(T.IntegerType())), T.StructField(added[1], T.IntegerType()), T.StructField(added[2], T.StringType())])
 
-    @F.arrow_udf(result)
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, decoder = _worker(shared.value, key)
-        for column in batches:
-            parts, sizes, nulls = [], [0], []
-            for t in column.to_pylist():
-                nulls.append(t is None)
-                ids = table.encode(t) if t else b""
-                parts.append(ids)
-                sizes.append(len(ids) // 4)
-            ids = np.frombuffer(b"".join(parts), np.int32)
-            offsets = np.cumsum(sizes)
-            data, at = decoder.decode(ids, offsets)
-            none = pa.array(nulls, pa.bool_())
-            texts = pa.Array.from_buffers(pa.large_string(), len(nulls), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.StructArray.from_arrays([pa.compute.if_else(none, None, lists), pa.compute.if_else(none, None, texts)], names=["tokens", "decoded"])
-
-    out = fresh(docs, "__encoded")
-    coded = docs.withColumn(out, encode(F.col(f"`{text}`") if text else F.lit(None).cast("string")))
-    tokens, count, decoded = (fresh(docs, n) for n in ("tokens", "n_tokens", "decoded"))
-    return coded.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(out)["tokens"].alias(tokens), F.when(F.col(out)["tokens"].isNotNull(), F.size(F.col(out)["tokens"])).alias(count), F.col(out)["decoded"].alias(decoded))
+        for batch in batches:
+            column = batch.column(text) if text is not None else pa.nulls(batch.num_rows, pa.string())
+            for c in tv.chunks(column, 1 << 20):
+                own = column.slice(c.first, c.rows)
+                parts = [table.encode(t) if t else b"" for t in own.to_pylist()]
+                sizes = np.array([len(p) // 4 for p in parts], np.int32)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                ids = np.frombuffer(b"".join(parts), np.int32)
+                data, at = decoder.decode(ids, offsets)
+                none = own.is_null()
+                texts = pa.Array.from_buffers(pa.string(), c.rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                new = [pa.compute.if_else(none, None, x) for x in (lists, pa.array(sizes), texts)]
+                yield pa.RecordBatch.from_arrays([*(x.slice(c.first, c.rows) for x in batch.columns), *new], names=[*names, *added])
+
+    return docs.mapInArrow(run, result)
