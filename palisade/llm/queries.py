@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import linededup, mixing, pieces, quality, sharding
+from palisade.llm import linededup, mixing, pieces, quality, sharding, urlrules
 from palisade.llm.common import documents, table
+from palisade.llm.fingerprints import fingerprints
 from palisade.llm.neardup import near_duplicate_groups
 from palisade.llm.passages import repeated_passages
 from palisade.llm.toxicity import toxicity
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "lang", "target", "copy", "tokens")
 
@@ -42,12 +47,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op4_substring_dedup": op4_substring_dedup,
@@ -55,12 +65,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_fingerprints": op9_fingerprints,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": urlrules.oracle(),
         "op3_line_dedup": linededup.oracle(),
         "op5_sharding": sharding.oracle(),
     }
