@@ -113,7 +113,7 @@ MARKUP += [([t(a)], b) for a, b in (
 HTML = [([], "")] + [([t(x)], x) for x in _PLAIN] + [([t("abc"), t("xyz")], "abcxyz"), ([t("k&l<m>n\"o'p")], "k&amp;l&lt;m&gt;n\"o'p")]
 HTML += [([raw("abc")], "abc"), ([raw("&foo;")], "&amp;foo;"), ([raw("<b></i>")], "&lt;b&gt;&lt;/i&gt;"), ([raw("]]>")], "]]&gt;")]
 HTML += [([ref(x)], f"&{x};") for x in ("hello", "#123", "#xabcd")] + [(n, h) for n, _, h, _ in _ELEMENTS[:-1]]
-HTML += [([el("p", attr("a", ref("deg"), t("x")), el("br"), com("a--b-"))], '<p a="&amp;x"><br/><!--a-&#45;b---></p>')]
+HTML += [([el("p", attr("a", ref("deg"), t("x")), el("br"), com("a--b-"))], '<p a="&deg;x"><br/><!--a-&#45;b---></p>')]
 XML = [([], "")] + [([t(x)], x) for x in _PLAIN] + [([t("abc"), t("xyz")], "abcxyz"), ([t("k&l<m>n\"o'p")], "k&amp;l&lt;m&gt;n\"o'p")]
 XML += [([raw(x)], f"<![CDATA[{x}]]>") for x in ("abc", "&foo;", "<b></i>")]
 XML += [([raw("]]>")], "<![CDATA[]]]]><![CDATA[>]]>"), ([raw("some <![CDATA[inner]]> part")], "<![CDATA[some <![CDATA[inner]]]]><![CDATA[> part]]>")]
