@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, functions: int = FUNCTIONS, bands: int = BANDS,
     return slim.mapInArrow(run, _SIGNATURE)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal minima of two signatures: the Jaccard estimate."""
     if not len(a):
