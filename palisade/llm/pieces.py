@@ -23,8 +23,8 @@ from palisade.llm import textvec as tv
 from palisade.llm.common import fresh
 
 MARK = "▁"  # how a space is written in pieces
-#: Encodings of words kept by a worker; the memory is emptied when it is full.
-WORDS_KEPT = 500_000
+#: Encodings of words kept by a task; the memory is emptied when it is full.
+WORDS_KEPT = 400_000
 #: Ids decoded at a time, which bounds the memory for long texts.
 BLOCK = 1 << 16
 
@@ -258,19 +258,24 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, decoder = _worker(shared.value, key)
-        for batch in batches:
-            column = batch.column(text) if text is not None else pa.nulls(batch.num_rows, pa.string())
-            for c in tv.chunks(column, 1 << 20):
-                own = column.slice(c.first, c.rows)
-                parts = [table.encode(t) if t else b"" for t in own.to_pylist()]
-                sizes = np.array([len(p) // 4 for p in parts], np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                ids = np.frombuffer(b"".join(parts), np.int32)
-                data, at = decoder.decode(ids, offsets)
-                none = own.is_null()
-                texts = pa.Array.from_buffers(pa.string(), c.rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                new = [pa.compute.if_else(none, None, x) for x in (lists, pa.array(sizes), texts)]
-                yield pa.RecordBatch.from_arrays([*(x.slice(c.first, c.rows) for x in batch.columns), *new], names=[*names, *added])
+        try:
+            for batch in batches:
+                column = batch.column(text) if text is not None else pa.nulls(batch.num_rows, pa.string())
+                for c in tv.chunks(column, 1 << 20):
+                    own = column.slice(c.first, c.rows)
+                    parts = [table.encode(t) if t else b"" for t in own.to_pylist()]
+                    sizes = np.array([len(p) // 4 for p in parts], np.int32)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)])
+                    ids = np.frombuffer(b"".join(parts), np.int32)
+                    data, at = decoder.decode(ids, offsets)
+                    none = own.is_null()
+                    texts = pa.Array.from_buffers(pa.string(), c.rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                    new = [pa.compute.if_else(none, None, x) for x in (lists, pa.array(sizes), texts)]
+                    yield pa.RecordBatch.from_arrays([*(x.slice(c.first, c.rows) for x in batch.columns), *new], names=[*names, *added])
+        finally:  # workers are reused: what a task remembers goes with it
+            table.words.clear()
+            table.lines.clear()
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, result)

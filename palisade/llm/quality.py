@@ -228,10 +228,10 @@ def drop_anomalous(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if forest is None or threshold > 1:
         return docs
 
-    @F.pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
-        out = [forest.scores(statistics(c)) for c in tv.chunks(pa.array(texts, pa.string()))]
-        return pd.Series(np.round(np.concatenate(out), 12) < threshold if out else [], dtype=bool)
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        out = [forest.scores(statistics(c)) for c in tv.chunks(texts)]
+        return pa.array(np.round(np.concatenate(out), 12) < threshold if out else [], pa.bool_())
 
     text = next((c for c in docs.columns if c.lower() == "text"), None)
     keep = fresh(docs, "keep")
