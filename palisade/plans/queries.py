@@ -423,12 +423,23 @@ def markup_file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files and streams: no SQL, tests compare with the single-document functions ---
 
 
+def _work_dir(spark: SparkSession) -> Path:
+    """A new folder where every executor sees it: in spark.checkpoint.dir, or local when that is unset, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a mounted folder that all executors share")
+    base = shared.removeprefix("file://") if shared else None
+    if base:
+        Path(base).mkdir(parents=True, exist_ok=True)
+    return Path(tempfile.mkdtemp(prefix="palisade-", dir=base))
+
+
 def _sample_tree(spark: SparkSession, sf_dir: str) -> Path:
     """A small directory of documents made from the nations."""
-    root = Path(tempfile.mkdtemp(prefix="palisade-docs-"))
+    root = _work_dir(spark) / "docs"
     for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
         folder = root / f"r{r.n_nationkey % 3}"
-        folder.mkdir(exist_ok=True)
+        folder.mkdir(parents=True, exist_ok=True)
         (folder / f"{r.n_nationkey}.{'minml' if r.n_nationkey % 2 else 'txt'}").write_text(f"p[{r.n_name} [amp]]")
     return root
 
@@ -443,6 +454,6 @@ def convert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def live_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed of a directory, converted in micro-batches into a target tree."""
-    root, target, checkpoint = _sample_tree(spark, sf_dir), tempfile.mkdtemp(prefix="palisade-site-"), tempfile.mkdtemp(prefix="palisade-ckpt-")
-    live.live_convert(spark, str(root), target, checkpoint, available_now=True).awaitTermination()
-    return files.read_files(spark, Path(target).as_uri()).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("text"))
+    root, work = _sample_tree(spark, sf_dir), _work_dir(spark)
+    live.live_convert(spark, str(root), str(work / "site"), str(work / "offsets"), available_now=True).awaitTermination()
+    return files.read_files(spark, (work / "site").as_uri()).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("text"))
