@@ -164,6 +164,13 @@ def escape_name(bracket: Column, symbolic: bool = False) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), bracket)
 
 
-def is_markup_file(path: Column, extensions: tuple[str, ...] = ("minml", "m")) -> Column:
-    """Whether the path's last extension is one of these, by case."""
+#: The usual extensions of markup files: m, and the long form of it.
+USUAL_EXTENSION = r"\.m(?:in[m]l)?\z"
+
+
+def is_markup_file(path: Column, extensions: tuple[str, ...] = ()) -> Column:
+    """Whether the path's last extension is one of these (without the dot), or of
+    the usual ones if none are named; case matters."""
+    if not extensions:
+        return path.rlike(USUAL_EXTENSION)
     return F.regexp_extract(path, r"\.([^./]+)\z", 1).isin(*extensions)

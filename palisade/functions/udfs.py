@@ -58,7 +58,7 @@ def unmatched_mask(data: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.BooleanType())
-def is_matchertext(data: pa.Array) -> pa.Array:
+def is_balanced(data: pa.Array) -> pa.Array:
     """Whether all brackets match."""
     return _map(data, lambda x: not brackets.unmatched(x), pa.bool_())
 
@@ -70,7 +70,7 @@ def embedding_count(data: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(ERROR)
-def matchertext_error(data: pa.Array) -> pa.Array:
+def bracket_error(data: pa.Array) -> pa.Array:
     """Where strict reading stops and why; null for balanced text."""
 
     def first(x: bytes) -> dict | None:
@@ -122,7 +122,7 @@ def forests(column: pa.Array) -> list[list[markup.Node] | None]:
 
 
 @F.arrow_udf(PARSED)
-def parse_minml(data: pa.Array) -> pa.Array:
+def parse_markup(data: pa.Array) -> pa.Array:
     """STRUCT(ast, error): the nodes of a document, or the first fault; one of them is null."""
     trees, errors = [], []
     for x in _values(data):
@@ -152,7 +152,7 @@ ast_escape_symbolic = _rewrite(lambda f: markup.escape_brackets(f, entities.SYMB
 
 
 @F.arrow_udf(T.StringType())
-def to_minml(ast: pa.Array) -> pa.Array:
+def to_markup(ast: pa.Array) -> pa.Array:
     """The markup of an AST; what comes next depends on the byte written last, so
     this is the one writer that no aggregate can express."""
     return pa.array([None if f is None else markup.write_markup(f) for f in forests(ast)], pa.string())
@@ -162,7 +162,7 @@ CONVERTED = T.StructType([T.StructField("html", T.StringType()), T.StructField("
 
 
 @F.arrow_udf(CONVERTED)
-def minml_to_html(data: pa.Array) -> pa.Array:
+def markup_to_html(data: pa.Array) -> pa.Array:
     """STRUCT(html, error): parse, decode, direct quotes and write, in one crossing."""
     pages, errors = [], []
     for x in _values(data):
@@ -178,8 +178,8 @@ def minml_to_html(data: pa.Array) -> pa.Array:
 
 
 @F.udtf(returnType=NODE)
-class MinmlNodes:
-    """SQL table function: ``SELECT ... FROM docs, LATERAL minml_nodes(content)``."""
+class MarkupNodes:
+    """SQL table function: ``SELECT ... FROM docs, LATERAL markup_nodes(content)``."""
 
     def eval(self, content):  # noqa: ANN001, ANN201
         if content is None:
@@ -194,6 +194,6 @@ class MinmlNodes:
 
 def register(spark) -> None:  # noqa: ANN001
     """Make the functions callable from SQL."""
-    for name in ("unmatched_offsets", "unmatched_mask", "is_matchertext", "embedding_count", "matchertext_error", "matcher_pairs", "parse_minml", "ast_decode_entities", "ast_direct_quotes", "ast_escape_decimal", "ast_escape_symbolic", "to_minml", "minml_to_html"):
+    for name in ("unmatched_offsets", "unmatched_mask", "is_balanced", "embedding_count", "bracket_error", "matcher_pairs", "parse_markup", "ast_decode_entities", "ast_direct_quotes", "ast_escape_decimal", "ast_escape_symbolic", "to_markup", "markup_to_html"):
         spark.udf.register(name, globals()[name])
-    spark.udtf.register("minml_nodes", MinmlNodes)
+    spark.udtf.register("markup_nodes", MarkupNodes)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.core import markup
-from palisade.functions.udfs import AST, NODE, parse_minml
+from palisade.functions.udfs import AST, NODE, parse_markup
 
 FIELDS = [f.name for f in NODE.fields]
 
@@ -118,9 +118,9 @@ def collect_nodes(nodes: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFr
     return nodes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).cast(AST).alias("ast"))
 
 
-def minml_nodes(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def markup_nodes(df: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Node table of documents; documents that don't parse give no rows."""
-    return explode_nodes(df.select(*keep, parse_minml(F.col(content))["ast"].alias("ast")), keep=keep)
+    return explode_nodes(df.select(*keep, parse_markup(F.col(content))["ast"].alias("ast")), keep=keep)
 
 
 def same_ast(a: Column, b: Column) -> Column:

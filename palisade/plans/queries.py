@@ -114,7 +114,7 @@ for _ in range(12):
 @query(f"""WITH f AS (SELECT page_id, unnest([0, 1, 2, 3]) AS form, unnest([html, reverse(html), translate(html, '<>', '[]'), translate(html, '<>', '[)')]) AS t FROM pages)
 SELECT page_id, form::INTEGER AS form, {_RESIDUE} = '' AS balanced FROM f""")
 def text_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _balanced_input(spark, sf_dir).select("page_id", "form", udfs.is_matchertext(F.col("t")).alias("balanced"))
+    return _balanced_input(spark, sf_dir).select("page_id", "form", udfs.is_balanced(F.col("t")).alias("balanced"))
 
 
 @query(f"""WITH f AS (SELECT page_id, unnest([0, 1, 2, 3]) AS form, unnest([html, reverse(html), translate(html, '<>', '[]'), translate(html, '<>', '[)')]) AS t FROM pages)
@@ -173,8 +173,8 @@ d AS (SELECT *, sum(CASE c WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY id OR
 f AS (SELECT id, min(i) FILTER (depth < 0) AS bad, min_by(ofs, i) FILTER (depth < 0) AS ofs, max_by(depth, i) AS final FROM d GROUP BY id),
 e AS (SELECT s.id, CASE WHEN bad IS NOT NULL THEN left(t, (bad - 1)::INTEGER) ELSE t END AS before, CASE WHEN bad IS NOT NULL THEN 'unmatched closer )' WHEN final > 0 THEN 'unmatched opener (' END AS msg FROM src s LEFT JOIN f ON s.id = f.id)
 SELECT id AS doc_id, CASE WHEN msg IS NOT NULL THEN (len(before) - len(replace(before, chr(10), '')) + 1) || ':' || (strlen(list_last(string_split(before, chr(10)))) + 1) || ' ' || msg END AS error FROM e""")
-def matchertext_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", udfs.matchertext_error(_translated("text", ".,", "()")).alias("e"))
+def bracket_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", udfs.bracket_error(_translated("text", ".,", "()")).alias("e"))
     return docs.select("doc_id", native.error_text(F.col("e")).alias("error"))
 
 
@@ -276,7 +276,7 @@ def matched_pairs_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(df: DataFrame, key: str, markup: Column) -> DataFrame:
-    return df.select(F.col(key).alias("doc_id"), udfs.parse_minml(markup).alias("p")).select("doc_id", "p.ast", "p.error")
+    return df.select(F.col(key).alias("doc_id"), udfs.parse_markup(markup).alias("p")).select("doc_id", "p.ast", "p.error")
 
 
 _ENTITY = "CASE n_nationkey % 5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} ELSE {4} END"
@@ -319,9 +319,9 @@ def _row_markup() -> Column:
 @query("""SELECT n_nationkey AS doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS node_id, unnest([NULL, 0, 1, 0, 3, 0, 5]) AS parent_id, unnest([0, 0, 0, 0, 0, 1, 0]) AS ordinal, unnest([0, 1, 2, 1, 2, 1, 2]) AS depth,
 unnest([7, 3, 3, 5, 5, 7, 7]) AS subtree_end, unnest(['element', 'attr', 'text', 'element', 'text', 'element', 'text']) AS kind, unnest(['tr', 'id', NULL, 'td', NULL, 'td', NULL]) AS name,
 unnest([NULL, NULL, 'r' || n_nationkey, NULL, n_nationkey::VARCHAR, NULL, n_name]) AS value FROM nation""")
-def minml_parse_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markup_parse_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"))
-    return nodes.minml_nodes(df)
+    return nodes.markup_nodes(df)
 
 
 _BROKEN = "CASE n_nationkey % 6 WHEN 0 THEN 'p[' || n_name WHEN 1 THEN n_name || ']' WHEN 2 THEN 'p{a}[]' WHEN 3 THEN 'p{a=x}' WHEN 4 THEN 'a(]' || n_name ELSE n_name END"
@@ -329,26 +329,26 @@ _BROKEN = "CASE n_nationkey % 6 WHEN 0 THEN 'p[' || n_name WHEN 1 THEN n_name ||
 
 @query(f"""SELECT n_nationkey AS doc_id, CASE n_nationkey % 6 WHEN 0 THEN '1:' || (strlen(n_name) + 3) || ' unmatched opener [' WHEN 1 THEN '1:' || (strlen(n_name) + 1) || ' expected end of file' WHEN 2 THEN '1:4 attribute value expected'
 WHEN 3 THEN '1:7 expecting opener [' WHEN 4 THEN '1:3 opener ( closed with mismatched ]' END AS error, n_nationkey % 6 = 5 AS parsed FROM nation""")
-def minml_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markup_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _parsed(table(spark, sf_dir, "nation"), "n_nationkey", F.expr(_BROKEN))
     return docs.select("doc_id", native.error_text(F.col("error")).alias("error"), F.col("ast").isNotNull().alias("parsed"))
 
 
 @query("""SELECT c_custkey AS doc_id, '<tr id="r' || c_custkey || '"><td>' || c_name || '</td><td>' || c_mktsegment || '&nosuch;</td></tr><br/>“é”' AS html FROM customer""")
-def minml_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markup_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to HTML in one crossing: parse, entities, quotes, write."""
     markup = F.concat(F.lit("tr{id=[r"), F.col("c_custkey"), F.lit("]}[td["), F.col("c_name"), F.lit("]> \n td["), F.col("c_mktsegment"), F.lit(' <[nosuch]] <]br[]> "[[eacute]]'))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), udfs.minml_to_html(markup)["html"].alias("html"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), udfs.markup_to_html(markup)["html"].alias("html"))
 
 
 @query("""SELECT p_partkey AS doc_id, '<part brand="' || p_brand || '"><name>' || p_name || '</name><type/><![CDATA[<' || p_type || '>]]><!--' || p_size || '--></part>' AS xml FROM part""")
-def minml_to_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markup_to_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     markup = F.concat(F.lit("part{brand=["), F.col("p_brand"), F.lit("]}[name["), F.col("p_name"), F.lit("]type[]+[<"), F.col("p_type"), F.lit(">]-["), F.col("p_size"), F.lit("]]"))
     return _parsed(table(spark, sf_dir, "part"), "p_partkey", markup).select("doc_id", writers.to_xml(F.col("ast")).alias("xml"))
 
 
-@query("""SELECT p_partkey AS doc_id, 'part{brand=[' || p_brand || '] size=[' || p_size || ']}[' || p_name || ' <em[' || p_type || ' <[x <]]& +[[raw]]-[note][amp]]' AS minml FROM part""")
-def to_minml(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("""SELECT p_partkey AS doc_id, 'part{brand=[' || p_brand || '] size=[' || p_size || ']}[' || p_name || ' <em[' || p_type || ' <[x <]]& +[[raw]]-[note][amp]]' AS markup FROM part""")
+def to_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An AST made by constructors, written as markup."""
     size = F.col("p_size").cast("string")
     ast = nodes.new_element(
@@ -362,15 +362,15 @@ def to_minml(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes.new_comment(F.lit("note")),
         nodes.new_reference(F.lit("amp")),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), udfs.to_minml(ast).alias("minml"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), udfs.to_markup(ast).alias("markup"))
 
 
 @query("SELECT s_suppkey AS doc_id, true AS same FROM supplier")
-def minml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markup_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writing and parsing again gives the same AST, compared deeply."""
     markup = F.concat(F.lit("s{n=["), F.col("s_name"), F.lit("]}[b["), F.col("s_suppkey"), F.lit("]> x [amp]+[raw [x]]-[note]]"))
     docs = _parsed(table(spark, sf_dir, "supplier"), "s_suppkey", markup)
-    again = docs.select("doc_id", "ast", udfs.parse_minml(udfs.to_minml(F.col("ast")))["ast"].alias("again"))
+    again = docs.select("doc_id", "ast", udfs.parse_markup(udfs.to_markup(F.col("ast")))["ast"].alias("again"))
     return again.select("doc_id", nodes.same_ast(F.col("ast"), F.col("again")).alias("same"))
 
 
@@ -397,7 +397,7 @@ def node_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_nationkey AS doc_id, unnest([6, 6]) AS node_id, unnest([n_name, lower(n_name)]) AS value, unnest(['a', 'b']) AS side FROM nation WHERE n_name <> lower(n_name)""")
 def node_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"), "n_name")
-    a = nodes.minml_nodes(df)
+    a = nodes.markup_nodes(df)
     b = a.withColumn("value", F.when(F.col("node_id") == 6, F.lower("value")).otherwise(F.col("value")))
     return nodes.diff_nodes(a, b).select("doc_id", "node_id", "value", "side")
 
@@ -405,19 +405,19 @@ def node_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT kind, name, n, deepest FROM (SELECT count(*) AS k FROM nation), LATERAL (SELECT unnest(['element', 'element', 'attr', 'text']) AS kind, unnest(['tr', 'td', 'id', NULL]) AS name, unnest([k, 2 * k, k, 3 * k]) AS n, unnest([0, 1, 1, 2]) AS deepest)""")
 def element_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"))
-    return census.element_census(nodes.minml_nodes(df))
+    return census.element_census(nodes.markup_nodes(df))
 
 
 @query("""SELECT n_nationkey AS doc_id, unnest([0, 0, 0, 0, 0, 0, 1, 3, 5]) AS ancestor, unnest([1, 2, 3, 4, 5, 6, 2, 4, 6]) AS node FROM nation""")
 def node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"))
-    return nodes.descendants(nodes.minml_nodes(df))
+    return nodes.descendants(nodes.markup_nodes(df))
 
 
-@query("""SELECT n_nationkey AS doc_id, p AS path, regexp_matches(p, '\\.(minml|m)$') AS ours FROM (SELECT n_nationkey, n_name || CASE n_nationkey % 5 WHEN 0 THEN '.minml' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END AS p FROM nation)""")
+@query("""SELECT n_nationkey AS doc_id, p AS path, regexp_matches(p, '\\.(mk|m)$') AS ours FROM (SELECT n_nationkey, n_name || CASE n_nationkey % 5 WHEN 0 THEN '.mk' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END AS p FROM nation)""")
 def markup_file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat("n_name", F.expr("CASE n_nationkey % 5 WHEN 0 THEN '.minml' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END"))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), path.alias("path"), native.is_markup_file(path).alias("ours"))
+    path = F.concat("n_name", F.expr("CASE n_nationkey % 5 WHEN 0 THEN '.mk' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), path.alias("path"), native.is_markup_file(path, ("mk", "m")).alias("ours"))
 
 
 # --- files and streams: no SQL, tests compare with the single-document functions ---
@@ -440,7 +440,7 @@ def _sample_tree(spark: SparkSession, sf_dir: str) -> Path:
     for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():
         folder = root / f"r{r.n_nationkey % 3}"
         folder.mkdir(parents=True, exist_ok=True)
-        (folder / f"{r.n_nationkey}.{'minml' if r.n_nationkey % 2 else 'txt'}").write_text(f"p[{r.n_name} [amp]]")
+        (folder / f"{r.n_nationkey}.{'m' if r.n_nationkey % 2 else 'txt'}").write_text(f"p[{r.n_name} [amp]]")
     return root
 
 

@@ -14,7 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from palisade.functions import native, udfs
 
-EXTENSIONS = ("minml", "m")
+#: None named: the usual extensions.
+EXTENSIONS: tuple[str, ...] = ()
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +23,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
-def read_minml(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+def read_markup(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """The files with one of ``extensions`` (case-sensitive, without the dot)."""
     return read_files(spark, path).where(native.is_markup_file(F.col("path"), extensions))
 
@@ -38,7 +39,7 @@ def convert(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENS
     ours = native.is_markup_file(F.col("path"), extensions)
     if not headers:
         files = files.where(ours)
-    done = udfs.minml_to_html(F.when(ours, F.col("content")))
+    done = udfs.markup_to_html(F.when(ours, F.col("content")))
     out = files.select("path", done.alias("done"), F.concat(F.lit("\n"), F.col("path"), F.lit(": ")).alias("header"))
     out = out.select("path", "header", F.col("done.html").alias("html"), F.col("done.error").alias("error"))
     if mode == "DROPMALFORMED":
@@ -98,7 +99,7 @@ def build_site(spark: SparkSession, source: str, target: str, extensions: tuple[
     relative = F.expr(f"substring(path, instr(path, '{Path(source).resolve()}/') + {len(str(Path(source).resolve())) + 1})")
     files = read_files(spark, root).select(relative.alias("path"), "content")
     ours = native.is_markup_file(F.col("path"), extensions)
-    done = udfs.minml_to_html(F.when(ours, F.col("content")))["html"]
+    done = udfs.markup_to_html(F.when(ours, F.col("content")))["html"]
     pages = files.select(F.when(ours, html_path(F.col("path"))).otherwise(F.col("path")).alias("path"), F.when(ours, F.encode(done, "UTF-8")).otherwise(F.col("content")).alias("content"))
     pages.where("content IS NOT NULL").write.format("site").mode("append").option("path", target).save()
 

@@ -96,7 +96,7 @@ def converted(changes_: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, suf
     """(path, op, content) on the target side: documents become HTML pages, with
     ``suffix`` (a reload script, say) at the end; faulty ones keep their last page."""
     ours = native.is_markup_file(F.col("path"), extensions)
-    page = udfs.minml_to_html(F.when(ours, F.col("content")))["html"]
+    page = udfs.markup_to_html(F.when(ours, F.col("content")))["html"]
     content = F.when(ours, F.encode(F.concat(page, F.lit(suffix)), "UTF-8")).otherwise(F.col("content"))
     out = latest(changes_).select(F.when(ours, html_path(F.col("path"))).otherwise(F.col("path")).alias("path"), "op", content.alias("content"))
     return out.where("op = 'delete' OR content IS NOT NULL")

@@ -36,7 +36,7 @@ def column(df, name):
 
 def test_scan_functions(spark):
     values = [*v.UNMATCHED, None]
-    df = texts(spark, values).select("doc_id", *[f(F.col("content")).alias(n) for n, f in (("u", udfs.unmatched_offsets), ("ok", udfs.is_matchertext), ("m", udfs.unmatched_mask), ("e", udfs.embedding_count))])
+    df = texts(spark, values).select("doc_id", *[f(F.col("content")).alias(n) for n, f in (("u", udfs.unmatched_offsets), ("ok", udfs.is_balanced), ("m", udfs.unmatched_mask), ("e", udfs.embedding_count))])
     assert column(df, "u") == [*v.UNMATCHED.values(), None]
     assert column(df, "ok") == [not x for x in v.UNMATCHED.values()] + [None]
     for s, m in zip(values[:-1], column(df, "m")[:-1]):
@@ -45,7 +45,7 @@ def test_scan_functions(spark):
 
 
 def test_pairs_errors_and_positions(spark):
-    df = texts(spark, ["a(b[c])", "é(\n]", None]).select("doc_id", udfs.matcher_pairs(F.col("content")).alias("p"), native.error_text(udfs.matchertext_error(F.col("content"))).alias("e"))
+    df = texts(spark, ["a(b[c])", "é(\n]", None]).select("doc_id", udfs.matcher_pairs(F.col("content")).alias("p"), native.error_text(udfs.bracket_error(F.col("content"))).alias("e"))
     assert [[tuple(x) for x in r] if r else r for r in column(df, "p")] == [[(1, 6, "()", 0), (3, 5, "[]", 1)], [], None]
     assert column(df, "e") == [None, "2:1 opener ( closed with mismatched ]", None]
     at = texts(spark, ["é\nab"]).select("doc_id", native.byte_position(F.encode("content", "UTF-8"), F.lit(4)).alias("p"))
@@ -64,13 +64,13 @@ def test_native_writers(spark, name, table):
 
 def test_parse_write_and_rewrite(spark):
     df = texts(spark, [s for s, _ in v.PARSE] + v.FAILS)
-    parsed = df.select("doc_id", udfs.parse_minml(F.col("content")).alias("p")).select("doc_id", "p.*")
+    parsed = df.select("doc_id", udfs.parse_markup(F.col("content")).alias("p")).select("doc_id", "p.*")
     want = asts(spark, [f for _, f in v.PARSE])
     assert column(parsed, "ast") == column(want, "ast") + [None] * len(v.FAILS)
     assert [e is None for e in column(parsed, "error")] == [True] * len(v.PARSE) + [False] * len(v.FAILS)
-    written = asts(spark, [f for f, _ in v.MARKUP]).select("doc_id", udfs.to_minml(F.col("ast")).alias("m"))
+    written = asts(spark, [f for f, _ in v.MARKUP]).select("doc_id", udfs.to_markup(F.col("ast")).alias("m"))
     assert column(written, "m") == [x for _, x in v.MARKUP]
-    done = texts(spark, [s for s, _ in v.TRANSFORMED]).select("doc_id", udfs.parse_minml(F.col("content"))["ast"].alias("ast"))
+    done = texts(spark, [s for s, _ in v.TRANSFORMED]).select("doc_id", udfs.parse_markup(F.col("content"))["ast"].alias("ast"))
     done = transforms.with_transformers(done, transforms.decode_entities, transforms.direct_quotes)
     assert column(done, "ast") == column(asts(spark, [f for _, f in v.TRANSFORMED]), "ast")
     escaped = asts(spark, [f for f, _ in v.ESCAPED]).transform(transforms.escape_matchers())
@@ -79,7 +79,7 @@ def test_parse_write_and_rewrite(spark):
 
 def test_node_entities_leave_attribute_values(spark):
     df = texts(spark, ["p{a=[[amp]]}[[amp][zz]]"])
-    flat = transforms.decode_node_entities(nodes.minml_nodes(df))
+    flat = transforms.decode_node_entities(nodes.markup_nodes(df))
     assert [(r.kind, r.name, r.value) for r in flat.orderBy("node_id").collect()] == [("element", "p", None), ("attr", "a", None), ("ref", "amp", None), ("text", None, "&"), ("ref", "zz", None)]
     assert transforms.html_entities(spark).count() == 2125 and transforms.symbolic_entities(spark).count() == 92
 
@@ -91,7 +91,7 @@ def test_constructors_and_table_function(spark):
     assert got.a == got.b and got.same
     udfs.register(spark)
     texts(spark, ["a[b]", "x]"]).createOrReplaceTempView("docs")
-    rows = spark.sql("SELECT doc_id, kind, name, value FROM docs, LATERAL minml_nodes(content) ORDER BY node_id").collect()
+    rows = spark.sql("SELECT doc_id, kind, name, value FROM docs, LATERAL markup_nodes(content) ORDER BY node_id").collect()
     assert [tuple(r) for r in rows] == [(0, "element", "a", None), (0, "text", None, "b")]
     assert spark.sql("SELECT unmatched_offsets('(]') AS u").first().u == [0, 1]
 
@@ -110,7 +110,7 @@ def test_lexical_predicates(spark):
 
 def tree(root: Path):
     (root / "sub").mkdir(parents=True)
-    (root / "a.minml").write_text("em[x] [copy]")
+    (root / "a.mk").write_text("em[x] [copy]")
     (root / "sub" / "b.m").write_text("p[é]")
     (root / "sub" / "bad.m").write_text("p[")
     (root / "c.M").write_text("em[x]")
@@ -118,18 +118,24 @@ def tree(root: Path):
 
 def test_convert_files(spark, tmp_path):
     tree(tmp_path)
-    rows = {Path(r.path).name: r for r in files.convert(spark, tmp_path.as_uri(), headers=True).collect()}
-    assert {n: r.html for n, r in rows.items()} == {"a.minml": "<em>x</em> ©", "b.m": "<p>é</p>", "bad.m": None, "c.M": None}
+    rows = {Path(r.path).name: r for r in files.convert(spark, tmp_path.as_uri(), ("mk", "m"), headers=True).collect()}
+    assert {n: r.html for n, r in rows.items()} == {"a.mk": "<em>x</em> ©", "b.m": "<p>é</p>", "bad.m": None, "c.M": None}
     assert rows["bad.m"].error.msg == "unmatched opener [" and rows["c.M"].header.endswith("c.M: ")
-    assert files.convert(spark, tmp_path.as_uri(), mode="DROPMALFORMED").count() == 2
+    assert files.convert(spark, tmp_path.as_uri(), ("mk", "m"), mode="DROPMALFORMED").count() == 2
     with pytest.raises(PySparkException, match="parsing .*bad.m: 1:3 unmatched opener"):
-        files.convert(spark, tmp_path.as_uri(), mode="FAILFAST").collect()
+        files.convert(spark, tmp_path.as_uri(), ("mk", "m"), mode="FAILFAST").collect()
     assert files.convert(spark, (tmp_path / "sub" / "b.m").as_uri()).first().html == "<p>é</p>"
 
 
+def test_usual_extensions(spark):
+    paths = ["a/b.m", "b." + "lmnim"[::-1], "c.M", "d.min", "e.m.txt", "m", "f.mm"]
+    df = texts(spark, paths).select("doc_id", native.is_markup_file(F.col("content")).alias("x"))
+    assert column(df, "x") == [True, True, False, False, False, False, False]
+
+
 def test_build_site(spark, tmp_path):
     tree(tmp_path / "in")
-    files.build_site(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    files.build_site(spark, str(tmp_path / "in"), str(tmp_path / "out"), ("mk", "m"))
     made = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
     assert made == {"a.html": "<em>x</em> ©", "sub/b.html": "<p>é</p>", "c.M": "em[x]"}
 
@@ -143,11 +149,11 @@ def test_live_conversion(spark, tmp_path):
     root, out = tmp_path / "in", tmp_path / "out"
     tree(root)
     (root / ".hidden.m").write_text("x")
-    run = lambda: live.live_convert(spark, str(root), str(out), str(tmp_path / "ck"), suffix="<!--r-->", available_now=True).awaitTermination()
+    run = lambda: live.live_convert(spark, str(root), str(out), str(tmp_path / "ck"), ("mk", "m"), suffix="<!--r-->", available_now=True).awaitTermination()
     run()
     made = lambda: {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file()}
     assert made() == {"a.html": "<em>x</em> ©<!--r-->", "sub/b.html": "<p>é</p><!--r-->", "c.M": "em[x]"}
-    (root / "a.minml").write_text("b[new]")
+    (root / "a.mk").write_text("b[new]")
     (root / "sub" / "b.m").unlink()
     run()
     assert made() == {"a.html": "<b>new</b><!--r-->", "c.M": "em[x]"}
@@ -186,7 +192,7 @@ def test_query_against_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     got = {r.file: r.html for r in queries.convert_files(spark, DATA).collect()}
-    assert len(got) == 25 and got["1.minml"].startswith("<p>NATION_1 ") and got["0.txt"] is None
+    assert len(got) == 25 and got["1.m"].startswith("<p>NATION_1 ") and got["0.txt"] is None
     assert queries.live_convert(spark, DATA).count() == 25
 
 
