@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +62,13 @@ def signatures(docs: DataFrame, functions: int = FUNCTIONS, bands: int = BANDS,
     return slim.mapInArrow(run, _SIGNATURE)
 
 
-@F.pandas_udf(T.DoubleType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of equal minima of two signatures: the Jaccard estimate."""
     if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(1))
+        return pa.array([], pa.float64())
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint32).reshape(len(s), -1) for s in (a, b))
+    return pa.array((x == y).mean(1))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,9 +156,10 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 
 
 def scorer(forest: Forest):
-    @F.pandas_udf("double")
-    def score(stats: pd.Series) -> pd.Series:
-        return pd.Series(forest.scores(np.stack(stats.to_list())) if len(stats) else [], dtype=float)
+    @F.arrow_udf(T.DoubleType())
+    def score(stats: pa.Array) -> pa.Array:
+        rows = stats.flatten().to_numpy(zero_copy_only=False).reshape(len(stats), len(STATISTICS))
+        return pa.array(forest.scores(rows))
 
     return score
 
@@ -228,7 +228,7 @@ def drop_anomalous(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if forest is None or threshold > 1:
         return docs
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf(T.BooleanType())
     def kept(texts: pa.Array) -> pa.Array:
         out = [forest.scores(statistics(c)) for c in tv.chunks(texts)]
         return pa.array(np.round(np.concatenate(out), 12) < threshold if out else [], pa.bool_())
