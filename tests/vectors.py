@@ -69,9 +69,9 @@ PARSE += [(f"p{{{a}}}[]", [el("p", attr("a"))]) for a in ("a=", " a= ", "a=[]",
 PARSE += [(f"p{{a={v}}}[]", [el("p", attr("a", t(x)))]) for v, x in (
     ("x", "x"), ("[x]", "x"), ("[> x <]", "x"), ("[ x ]", " x "), ("(x)", "(x)"), ("{x}", "{x}"), ("[x y]", "x y"),
     ("(x y)", "(x y)"), ("{x y}", "{x y}"), ("x ", "x"), ("[x <[> y <]> ]", "x[y]"))]
-PARSE += [(s, [el("p", attr("a", t("x")), attr("b", t("y")))]) for s in ("p{a=x  b=y}[]", "p{ a=[x]  b=[y] }[]")]
+PARSE += [(s, [el("p", attr("a", t("x")), attr("b", t("y")))]) for s in ("p{a=x  b=y}[]", "p{ a=[x]  b=y }[]")]
 PARSE += [
-    (" <q{k=[>  <]}[> <]> ", [el("q", attr("k"))]), ("p{a=[[x]]}[]", [el("p", attr("a", ref("x")))]),
+    (" <q{k=[>  <]}[> <]> ", [el("q", attr("k"))]), ("q{z=[[w]]}[]", [el("q", attr("z", ref("w")))]),
     ("p{cd=[uu[vv]]}[]", [el("p", attr("cd", t("uu"), ref("vv")))]), ("p{ a=x }[]", [el("p", attr("a", t("x")))]),
 ]
 PARSE += [(f"+[{s}]", [raw(s)]) for s in ("x", "p[]", "p[x]", "[x]", "+[x]", "x[y]z", "() <[> <]> {}")]
@@ -80,7 +80,7 @@ PARSE += [(f"-[{s}]", [com(s)]) for s in ("x", "> abc <", "> ({[]}) <")]
 
 TRANSFORMED = [(f"[{o}<{c}]", [t(o)]) for o, c in ("()", "[]", "{}")] + [(f"[{o}>{c}]", [t(c)]) for o, c in ("()", "[]", "{}")]
 TRANSFORMED += [
-    ("[star][cir][larr]", [t("☆"), t("○"), t("←")]), ("[--][+-][-->]", [t("–"), t("±"), t("→")]),
+    ("[star][cir][larr]", [t("☆"), t("○"), t("←")]), ("[+-][--][==>]", [t("±"), t("–"), t("⇒")]),
     ("[[<]][(>)][{<}][[>]][(<)][{>}]", [t(x) for x in "[){](}"]), ("\n <[(<)]> \t <[::]> \r", [t("("), t("∷")]),
     ("'[quote]", [t("‘"), t("quote"), t("’")]), ('"[quote]', [t("“"), t("quote"), t("”")]),
     ("p{a=[[deg]]}['{b=c}[x \"[y]]]", [el("p", attr("a", ref("deg")), t("‘"), t("x "), t("“"), t("y"), t("”"), t("’"))]),
@@ -96,7 +96,7 @@ ESCAPED = [
 _PLAIN = ["abc", "x\"'\n\r\ty"]
 _ELEMENTS = [
     ([el("em", t("emphasis"))], "em[emphasis]", "<em>emphasis</em>", "<em>emphasis</em>"),
-    ([el("i", el("b", t("nested")))], "i[b[nested]]", "<i><b>nested</b></i>", "<i><b>nested</b></i>"),
+    ([el("dl", el("dt", t("within")))], "dl[dt[within]]", "<dl><dt>within</dt></dl>", "<dl><dt>within</dt></dl>"),
     ([el("a", attr("href", t("home")), t("go"))], "a{href=[home]}[go]", '<a href="home">go</a>', '<a href="home">go</a>'),
     ([el("img", attr("id", t("one")), attr("alt", t("two")))], "img{id=[one] alt=[two]}[]", '<img id="one" alt="two"/>', '<img id="one" alt="two"/>'),
     ([el("w", attr("z", t("<\">'&")))], "w{z=[<\">'&]}[]", "<w z=\"&lt;&quot;&gt;'&amp;\"></w>", "<w z=\"&lt;&quot;&gt;'&amp;\"/>"),
@@ -116,5 +116,5 @@ HTML += [([ref(x)], f"&{x};") for x in ("hello", "#123", "#xabcd")] + [(n, h) fo
 HTML += [([el("p", attr("a", ref("deg"), t("x")), el("br"), com("a--b-"))], '<p a="&deg;x"><br/><!--a-&#45;b---></p>')]
 XML = [([], "")] + [([t(x)], x) for x in _PLAIN] + [([t("abc"), t("xyz")], "abcxyz"), ([t("k&l<m>n\"o'p")], "k&amp;l&lt;m&gt;n\"o'p")]
 XML += [([raw(x)], f"<![CDATA[{x}]]>") for x in ("abc", "&foo;", "<b></i>")]
-XML += [([raw("]]>")], "<![CDATA[]]]]><![CDATA[>]]>"), ([raw("some <![CDATA[inner]]> part")], "<![CDATA[some <![CDATA[inner]]]]><![CDATA[> part]]>")]
+XML += [([raw("u]]>v")], "<![CDATA[u]]]]><![CDATA[>v]]>"), ([raw("some <![CDATA[inner]]> part")], "<![CDATA[some <![CDATA[inner]]]]><![CDATA[> part]]>")]
 XML += [([ref(x)], f"&{x};") for x in ("hello", "#123", "#xabcd")] + [(n, x) for n, _, _, x in _ELEMENTS[:-1]]
