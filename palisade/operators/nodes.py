@@ -74,19 +74,30 @@ def _once(value: Column, use) -> Column:
 
 def concat_asts(*parts: Column) -> Column:
     """Forests next to each other. Attributes and content are numbered apart."""
-    empty = F.array().cast(AST)
+    if not parts:
+        return F.array().cast(AST)
+    if len(parts) == 1:
+        return parts[0].cast(AST)
 
     def tops(ast: Column, attrs: bool) -> Column:
         return F.size(F.filter(ast, lambda n: n["parent_id"].isNull() & ((n["kind"] == "attr") if attrs else (n["kind"] != "attr"))))
 
-    def join(so_far: Column, part: Column) -> Column:
-        return F.concat(so_far, _shift(part, F.size(so_far), F.lit(None).cast("int"), F.lit(0), tops(so_far, False), tops(so_far, True))).cast(AST)
+    def join(forests: Column) -> Column:
+        sizes = F.transform(forests, lambda f: F.struct(F.size(f).alias("by"), tops(f, False).alias("content"), tops(f, True).alias("attrs")))
 
-    # Pair by pair, each under its own lambda.
-    out = empty
-    for p in parts:
-        out = _once(F.struct(out.alias("a"), p.cast(AST).alias("b")), lambda s: join(s["a"], s["b"]))
-    return out
+        def shifted(all_sizes: Column) -> Column:
+            before = [F.lit(0)] * 3
+            amounts = []
+            for i in range(len(parts)):
+                amounts.append(F.struct(*[b.alias(n) for b, n in zip(before, ("by", "content", "attrs"))]))
+                before = [b + all_sizes[i][n] for b, n in zip(before, ("by", "content", "attrs"))]
+            return F.array(*amounts)
+
+        moves = _once(sizes, shifted)
+        none = F.lit(None).cast("int")
+        return F.flatten(F.zip_with(forests, moves, lambda f, k: _shift(f, k["by"], none, F.lit(0), k["content"], k["attrs"])))
+
+    return _once(F.array(*[p.cast(AST) for p in parts]), join).cast(AST)
 
 
 def _parent(kind: str, name: Column, children: Column) -> Column:
@@ -104,8 +115,7 @@ def new_attribute(name: Column, value: Column) -> Column:
 
 def new_element(name: Column, *parts: Column) -> Column:
     """An element; leading attributes of ``parts`` are its attributes, the rest its content."""
-    empty = F.array().cast(AST)
-    return _parent(markup.ELEMENT, name, concat_asts(*parts) if parts else empty)
+    return _parent(markup.ELEMENT, name, concat_asts(*parts))
 
 
 def explode_nodes(df: DataFrame, ast: str = "ast", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -51,7 +51,10 @@ def _write(ast: Column, xml: bool) -> Column:
 
 
 def to_html(ast: Column) -> Column:
-    """HTML text of an AST; null for a null AST, empty for an empty one."""
+    """HTML text of an AST; null for a null AST, empty for an empty one.
+
+    The expression names ``ast`` many times: pass a column, not a long
+    expression, so that it is computed once."""
     return _write(ast, xml=False)
 
 

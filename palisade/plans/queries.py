@@ -230,7 +230,7 @@ def xml_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM pages WHERE html <> ''")
 def raw_text_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text in HTML is escaped, as HTML has no CDATA."""
-    return table(spark, sf_dir, "pages").where("html <> ''").select("page_id", writers.to_html(nodes.new_raw_text(F.col("html"))).alias("html"))
+    return table(spark, sf_dir, "pages").where("html <> ''").select("page_id", nodes.new_raw_text(F.col("html")).alias("ast")).select("page_id", writers.to_html(F.col("ast")).alias("html"))
 
 
 @query("SELECT event_id, event_id * 131 AS cp, event_id * 131 IN (9, 10, 13) OR event_id * 131 BETWEEN 32 AND 55295 OR event_id * 131 BETWEEN 57344 AND 65533 OR event_id * 131 BETWEEN 65536 AND 1114111 AS valid FROM events")
@@ -362,7 +362,7 @@ def to_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes.new_comment(F.lit("note")),
         nodes.new_reference(F.lit("amp")),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), udfs.to_markup(ast).alias("markup"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), ast.alias("ast")).select("doc_id", udfs.to_markup(F.col("ast")).alias("markup"))
 
 
 @query("SELECT s_suppkey AS doc_id, true AS same FROM supplier")
@@ -379,9 +379,10 @@ _VOID_NAMES = "['area', 'br', 'hr', 'img', 'p', 'td', 'BR', 'wbr', 'track']"
 
 @query(f"""SELECT n, '<' || n || CASE WHEN n IN ('area', 'br', 'hr', 'img', 'wbr', 'track') THEN '/>' ELSE '></' || n || '>' END AS html, '<' || n || '/>' AS xml, '<' || n || '>x</' || n || '>' AS filled FROM (SELECT unnest({_VOID_NAMES}) AS n)""")
 def void_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "region").limit(1).select(F.explode(F.expr(f"array({_VOID_NAMES[1:-1]})")).alias("n"))
+    names = spark.range(1).select(F.explode(F.expr(f"array({_VOID_NAMES[1:-1]})")).alias("n"))
     empty, full = nodes.new_element(F.col("n")), nodes.new_element(F.col("n"), nodes.new_text(F.lit("x")))
-    return names.select("n", writers.to_html(empty).alias("html"), writers.to_xml(empty).alias("xml"), writers.to_html(full).alias("filled"))
+    built = names.select("n", empty.alias("empty"), full.alias("full"))
+    return built.select("n", writers.to_html(F.col("empty")).alias("html"), writers.to_xml(F.col("empty")).alias("xml"), writers.to_html(F.col("full")).alias("filled"))
 
 
 @query("""SELECT n_nationkey AS doc_id, n_nationkey % 3 = 0 AS same, n_nationkey % 3 <> 0 AND false AS raw_is_text FROM nation""")
