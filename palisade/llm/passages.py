@@ -229,23 +229,24 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """
     bands, rows = tune_bands()
     found = paragraphs(docs, bands, rows)
-    keyed = found.select("doc_id", "start", "end", "content", F.explode("keys").alias("key"))
+    # Equal contents collapse before the shuffle, so a passage that half the corpus
+    # has is one row a task; buckets are then windows over distinct contents.
+    keyed = found.select("doc_id", "content", F.explode("keys").alias("key"))
+    contents = keyed.groupBy("key", "content").agg(F.count(F.lit(1)).cast("int").alias("times"), F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     w = Window.partitionBy("key")
-    spread = keyed.select("*", F.min("doc_id").over(w).alias("lo"), F.max("doc_id").over(w).alias("hi"))
-    met = materialise(spread.where("lo < hi").select("key", "content", "doc_id", "start", "end"), "paragraphs")
+    spread = contents.select("key", "content", "times", "doc_id", F.min("doc_id").over(w).alias("lo"), F.max("last").over(w).alias("hi"), F.count(F.lit(1)).over(w).alias("n"))
+    met = materialise(spread.where("lo < hi").select("key", "content", "times", "doc_id", "n"), "paragraphs")
 
-    contents = met.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"))
-    several = Window.partitionBy("key")
-    unlike = contents.withColumn("n", F.count(F.lit(1)).over(several)).where("n > 1").select("key", "content", "times", "doc_id")
-    unlike = materialise(unlike, "unlike")
+    unlike = met.where("n > 1").select("key", "content", "times", "doc_id")
     wanted = unlike.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     sets = _shingle_sets(docs, wanted)
     buckets = unlike.join(sets, "content").select("key", "content", "times", "shingles").repartition("key").sortWithinPartitions("key", F.desc("times"), "content")
     links = buckets.mapInArrow(_links(threshold), "u bigint, v bigint")
     parts = connected_components(links)
 
-    places = met.select("content", "doc_id", "start", "end").distinct()
-    placed = places.join(parts, places.content == parts.node, "left").select(F.coalesce("component", "content").alias("passage"), "doc_id", "start", "end")
-    by = Window.partitionBy("passage")
-    shared = placed.select("*", F.min("doc_id").over(by).alias("lo"), F.max("doc_id").over(by).alias("hi"), F.min(F.struct("doc_id", "start", "end")).over(by).alias("first"))
-    return shared.where("lo < hi").select("passage", "doc_id", "start", "end", (F.col("first") != F.struct("doc_id", "start", "end")).alias("removed"))
+    # The places of the contents that met another document, from a second reading.
+    repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
+    places = found.select("doc_id", "start", "end", F.col("content").alias("c")).join(repeated, F.col("c") == F.col("content")).select("passage", "doc_id", "start", "end").distinct()
+    places = materialise(places, "places")
+    firsts = places.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "end")).alias("first")).where("first.doc_id < hi")
+    return places.join(firsts, "passage").select("passage", "doc_id", "start", "end", (F.col("first") != F.struct("doc_id", "start", "end")).alias("removed"))
