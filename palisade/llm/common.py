@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,19 +42,34 @@ def _remove_written() -> None:
 atexit.register(_remove_written)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Columnar files keep later column pruning and cost less disk than RDD
     checkpoints; they outlive any executor and go when the driver exits.
+    Executors keep a query's shuffle files until the driver collects its
+    garbage; with ``release`` that is asked for here, after large shuffles.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palisade-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """The ``n`` rows of least ``order`` (a 64-bit hash), by reading all.
+
+    Only rows under a hash that a few more than n lie below are sorted, so the
+    sort's one task gets about n rows however many partitions there are.
+    """
+    share = (n + 10 * n**0.5 + 10) / max(1, df.count())
+    low = df if share >= 1 else df.where(order < int((share - 0.5) * 2**64))
+    return low.orderBy(order).limit(n)
+
+
 def pick(df: DataFrame, **wanted: str) -> list:
     """Columns for ``select``: each keyword names the output, its value the input
     column (exact name, else case-insensitive); a missing column is a null."""

@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raises instead of returning a partial result.
     """
     e = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v")
-    e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", release=True)
     mark = None
     for _ in range(max_rounds):
         e = materialise(small_star(large_star(e)), "edges")

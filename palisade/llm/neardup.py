@@ -104,7 +104,7 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> Data
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     w = Window.partitionBy("key")
     met = keyed.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), F.count("node").over(w).alias("n"))
-    met = materialise(met.where("lo < hi").select("key", "node", "n"), "buckets")
+    met = materialise(met.where("lo < hi").select("key", "node", "n"), "buckets", release=True)
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
     met = met.join(degree, "node")
     hubs = met.groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))

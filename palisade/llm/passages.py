@@ -90,8 +90,7 @@ class Paragraphs:
         keep = np.flatnonzero(distinct >= MIN_DISTINCT)
         self.sets, self.row = sets[keep], self.row[keep]
         at, size = at[keep], size[keep]
-        self.ordinal = at - first[self.row]
-        start = w.first[self.row] + self.ordinal
+        start = w.first[self.row] + at - first[self.row]
         self.start = w.start[start] - c.offsets[self.row]
         self.end = w.end[np.minimum(start + size + SHINGLE - 2, w.first[self.row + 1] - 1)] - c.offsets[self.row]
         again = np.zeros_like(self.sets, bool)
@@ -99,32 +98,59 @@ class Paragraphs:
         self.content = tv.mix(np.where(again, np.uint64(0), tv.mix(self.sets)).sum(axis=1, dtype=np.uint64))
 
 
-_KEYS = schema(("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("ordinal", T.IntegerType()), ("content", T.LongType()), ("keys", T.ArrayType(T.LongType())))
+_KEYS = schema(("content", T.LongType()), ("times", T.IntegerType()), ("lo", T.LongType()), ("hi", T.LongType()), ("keys", T.ArrayType(T.LongType())))
+_PLACES = schema(("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("c", T.LongType()))
 
 
-def paragraphs(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, start, end, ordinal, content, keys): one row per paragraph; start and
-    end are byte offsets in the text's UTF-8, keys its band hashes."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*pick(docs, doc_id="doc_id", text="text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def contents(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(content, times, lo, hi, keys): the distinct paragraphs of each batch of
+    documents, how often they occur there, their least and greatest doc_id, and
+    their band hashes. Equal ones collapse before any shuffle."""
     a, b = tv.universal(bands * rows, SEED)
     salt = tv.seeds(bands, SEED + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy()
+            parts = []
             for c in tv.chunks(batch.column(1)):
                 p = Paragraphs(c)
-                n = len(p.row)
-                key = np.empty((n, bands), np.uint64)
+                key = np.empty((len(p.row), bands), np.uint64)
                 for band in range(bands):
-                    k = np.full(n, salt[band])
+                    k = np.full(len(p.row), salt[band])
                     for i in range(band * rows, (band + 1) * rows):
-                        k = tv.mix(k + (p.sets * a[i] + b[i]).min(1)) if n else k
+                        k = tv.mix(k + (p.sets * a[i] + b[i]).min(1)) if len(k) else k
                     key[:, band] = k
+                parts.append((p.content, ids[c.first + p.row], key))
+            if not parts:
+                continue
+            content, owner, key = (np.concatenate([x[i] for x in parts]) for i in range(3))
+            order = np.argsort(content, kind="stable")
+            content, owner = content[order], owner[order]
+            new = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]])) if len(content) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate([new, [len(content)]])).astype(np.int32)
+            lo, hi = ((np.minimum.reduceat(owner, new), np.maximum.reduceat(owner, new)) if len(new) else (owner, owner))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * bands), pa.array(key[order[new]].view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(content[new].view(np.int64)), pa.array(times), pa.array(lo), pa.array(hi), lists], names=_KEYS.names)
+
+    return _texts(docs).mapInArrow(run, _KEYS)
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, c): every paragraph; start and end are byte offsets in the text's UTF-8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in tv.chunks(batch.column(1)):
+                p = Paragraphs(c)
                 ids = batch.column(0).slice(c.first, c.rows).take(pa.array(p.row))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in (p.start, p.end, p.ordinal)), pa.array(p.content.view(np.int64)), lists], names=_KEYS.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(p.start.astype(np.int32)), pa.array(p.end.astype(np.int32)), pa.array(p.content.view(np.int64))], names=_PLACES.names)
 
-    slim = docs.select(*pick(docs, doc_id="doc_id", text="text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return slim.mapInArrow(run, _KEYS)
+    return _texts(docs).mapInArrow(run, _PLACES)
 
 
 _SETS = schema(("content", T.LongType()), ("shingles", T.BinaryType()))
@@ -228,16 +254,13 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     other columns are not looked at.
     """
     bands, rows = tune_bands()
-    found = paragraphs(docs, bands, rows)
-    # Equal contents collapse before the shuffle, so a passage that half the corpus
-    # has is one row a task; buckets are then windows over distinct contents.
-    keyed = found.select("doc_id", "content", F.explode("keys").alias("key"))
-    contents = keyed.groupBy("key", "content").agg(F.count(F.lit(1)).cast("int").alias("times"), F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    # One shuffle by bucket. A passage that half the corpus has is one row a batch.
+    keyed = contents(docs, bands, rows).select("content", "times", "lo", "hi", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
-    spread = contents.select("key", "content", "times", "doc_id", F.min("doc_id").over(w).alias("lo"), F.max("last").over(w).alias("hi"), F.count(F.lit(1)).over(w).alias("n"))
-    met = materialise(spread.where("lo < hi").select("key", "content", "times", "doc_id", "n"), "paragraphs")
+    spread = keyed.select("key", "content", "times", "lo", F.min("lo").over(w).alias("first"), F.max("hi").over(w).alias("last"), (F.min("content").over(w) < F.max("content").over(w)).alias("several"))
+    met = materialise(spread.where("first < last").select("key", "content", "times", "lo", "several"), "paragraphs", release=True)
 
-    unlike = met.where("n > 1").select("key", "content", "times", "doc_id")
+    unlike = met.where("several").groupBy("key", "content").agg(F.sum("times").alias("times"), F.min("lo").alias("doc_id"))
     wanted = unlike.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     sets = _shingle_sets(docs, wanted)
     buckets = unlike.join(sets, "content").select("key", "content", "times", "shingles").repartition("key").sortWithinPartitions("key", F.desc("times"), "content")
@@ -246,7 +269,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
     # The places of the contents that met another document, from a second reading.
     repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
-    places = found.select("doc_id", "start", "end", F.col("content").alias("c")).join(repeated, F.col("c") == F.col("content")).select("passage", "doc_id", "start", "end").distinct()
-    places = materialise(places, "places")
-    firsts = places.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "end")).alias("first")).where("first.doc_id < hi")
-    return places.join(firsts, "passage").select("passage", "doc_id", "start", "end", (F.col("first") != F.struct("doc_id", "start", "end")).alias("removed"))
+    found = places(docs).join(repeated, F.col("c") == F.col("content")).select("passage", "doc_id", "start", "end").distinct()
+    found = materialise(found, "places", release=True)
+    firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "end")).alias("first")).where("first.doc_id < hi")
+    return found.join(firsts, "passage").select("passage", "doc_id", "start", "end", (F.col("first") != F.struct("doc_id", "start", "end")).alias("removed"))
