@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.llm import textvec as tv
-from palisade.llm.common import fresh, materialise, pick, schema
+from palisade.llm.common import fresh, least_hashed, materialise, pick, schema
 
 SEED = 97
 TREES = 128
@@ -175,12 +175,7 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, sample: int = S
     rejected.
     """
     order = F.xxhash64(F.lit(SEED), "doc_id", "content")
-    wanted, total = trees * sample, stats.count()
-    # Only rows under a hash that a few more than wanted lie below are sorted, so
-    # what the tasks send doesn't grow with their number.
-    share = (wanted + 10 * wanted**0.5) / max(1, total)
-    low = stats if share >= 1 else stats.where(order < int((share - 0.5) * 2**64))
-    rows = low.orderBy(order, "content").limit(wanted).select("stats").collect()
+    rows = least_hashed(stats, order, trees * sample).select("stats").collect()
     if not rows:
         return None, 2.0
     forest = grow(np.array([r.stats for r in rows]), trees, sample)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from palisade.llm import boosting
 from palisade.llm import textvec as tv
-from palisade.llm.common import materialise, pick, schema
+from palisade.llm.common import least_hashed, materialise, pick, schema
 
 #: Labelled rows the classifier is fitted on, at most: those of least seeded hash.
 TRAIN_ROWS = 20_000
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """
     known = labels.select(*pick(labels, doc_id="doc_id", toxic="toxic")).where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("toxic"))
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    picked = known.orderBy(order, "doc_id").limit(train_rows).select(F.col("doc_id").alias("k"), "toxic", F.pmod(order, F.lit(2)).cast("int").alias("fold"), (F.pmod(F.shiftright(order, 8), F.lit(HELD_OUT)) == 0).cast("int").alias("held"))
+    picked = least_hashed(materialise(known, "known"), order, train_rows).select(F.col("doc_id").alias("k"), "toxic", F.pmod(order, F.lit(2)).cast("int").alias("fold"), (F.pmod(F.shiftright(order, 8), F.lit(HELD_OUT)) == 0).cast("int").alias("held"))
     texts = docs.select(*pick(docs, doc_id="doc_id", text="text")).where("text IS NOT NULL")
     sample = materialise(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("k")).select("text", "toxic", "fold", "held"), "labelled")
     sizes = {(r.toxic, r.fold): r["count"] for r in sample.where("held = 0").groupBy("toxic", "fold").count().collect()}
