@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import boosting, fingerprints, pieces, quality, toxicity, urlrules
 from palisade.llm import textvec as tv
-from palisade.llm.common import materialise, pick
+from palisade.llm.common import least_hashed, materialise, pick
 from tests.llm.helpers import LONG, collect, docs, odd_rows
 from tests.llm.test_documents import sentence
 
@@ -416,6 +416,13 @@ def test_helpers(spark):
     assert collect(df.select(*pick(df, doc_id="doc_id", text="text"))) == [(7, None)]
 
 
+@pytest.mark.parametrize("n", [0, 7, 900, 5000])
+def test_least_hashed_rows_are_the_least(spark, n):
+    df = spark.range(3000).withColumn("h", F.xxhash64("id"))
+    got = [r.h for r in least_hashed(df, F.col("h"), n).collect()]
+    assert got == sorted(r.h for r in df.collect())[:n]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import hashlib
 
