@@ -42,20 +42,25 @@ def _remove_written() -> None:
 atexit.register(_remove_written)
 
 
-def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Columnar files keep later column pruning and cost less disk than RDD
-    checkpoints; they outlive any executor and go when the driver exits.
-    Executors keep a query's shuffle files until the driver collects its
-    garbage; with ``release`` that is asked for here, after large shuffles.
+    checkpoints; they outlive any executor and go when the driver exits. What is
+    written needs its query's shuffle files no more, so they go as it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palisade-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    if release:
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

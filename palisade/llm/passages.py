@@ -258,7 +258,7 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     keyed = contents(docs, bands, rows).select("content", "times", "lo", "hi", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
     spread = keyed.select("key", "content", "times", "lo", F.min("lo").over(w).alias("first"), F.max("hi").over(w).alias("last"), (F.min("content").over(w) < F.max("content").over(w)).alias("several"))
-    met = materialise(spread.where("first < last").select("key", "content", "times", "lo", "several"), "paragraphs", release=True)
+    met = materialise(spread.where("first < last").select("key", "content", "times", "lo", "several"), "paragraphs")
 
     unlike = met.where("several").groupBy("key", "content").agg(F.sum("times").alias("times"), F.min("lo").alias("doc_id"))
     wanted = unlike.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
@@ -270,6 +270,6 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     # The places of the contents that met another document, from a second reading.
     repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
     found = places(docs).join(repeated, F.col("c") == F.col("content")).select("passage", "doc_id", "start", "end").distinct()
-    found = materialise(found, "places", release=True)
+    found = materialise(found, "places")
     firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "end")).alias("first")).where("first.doc_id < hi")
     return found.join(firsts, "passage").select("passage", "doc_id", "start", "end", (F.col("first") != F.struct("doc_id", "start", "end")).alias("removed"))
