@@ -24,8 +24,11 @@ NEIGHBOURHOOD = 64
 #: Neighbourhoods a window must be the best of to be a feature.
 POPULARITY = 8
 FILTER_BITS, HASHES, FEATURES_PER_FILTER = 2048, 5, 160
-#: Features a filter needs to be compared on its own; smaller ones say little.
+#: Features a filter needs to be compared on its own; smaller ones say little, so texts
+#: that have no larger one are compared by all their windows.
 LEAST_FEATURES = 2
+#: Share of the most two texts could have in common at which similarity begins.
+CUT = 0.3
 #: Entropy classes, of 0 to log2(WINDOW) bits; of the lowest tenth none is a feature.
 CLASSES = 1024
 LOWEST = CLASSES // 10
@@ -143,7 +146,7 @@ def overlap_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = np.minimum(nx, ny)
     chance = nx * ny / FILTER_BITS
     deviation = np.sqrt(chance * (1 - nx / FILTER_BITS) * (1 - ny / FILTER_BITS))
-    cut = chance + np.maximum(0.3 * (most - chance), 3 * deviation)
+    cut = chance + np.maximum(CUT * (most - chance), 3 * deviation)
     return np.where(most > cut, np.clip((common - cut) / np.maximum(most - cut, 1e-6), 0, 1), 0.0)
 
 
@@ -158,6 +161,54 @@ def compare(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> flo
     return float(overlap_scores(a[mine], b[other]).max(1).mean())
 
 
+def windows(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every window of each row, in order."""
+    n = np.maximum(c.lengths - WINDOW + 1, 0)
+    row = np.repeat(np.arange(c.rows), n)
+    at = np.arange(len(row)) + np.repeat(c.offsets[:-1] - (np.cumsum(n) - n), n)
+    return tv.span_hashes(c.buf, at, at + WINDOW), row
+
+
+class Windows:
+    """The distinct windows of each reference item, looked up by hash."""
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray, items: int) -> None:
+        hashes, item = _distinct(hashes, item)
+        self.counts = np.bincount(item, minlength=items)
+        self.hashes, self.first = np.unique(hashes, return_index=True)
+        self.first, self.item = np.append(self.first, len(item)), item.astype(np.int32)
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[(self.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def matches(self, c: tv.Chunk, small_rows: np.ndarray, small_items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, similarity over 0) of pairs of which one is small: the share, beyond
+        CUT, that their common windows are of those of the one that has fewer."""
+        h, row = windows(c)
+        maybe = np.flatnonzero(self.bitmap[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+        k = np.searchsorted(self.hashes, h[maybe])
+        hit = self.hashes[np.minimum(k, len(self.hashes) - 1)] == h[maybe] if len(self.hashes) else np.zeros(0, bool)
+        hash_no, hit_row = _distinct(k[hit], row[maybe[hit]])
+        n = self.first[hash_no + 1] - self.first[hash_no]
+        item = self.item[np.arange(n.sum()) + np.repeat(self.first[hash_no] - (np.cumsum(n) - n), n)].astype(np.int64)
+        pair, common = np.unique(np.repeat(hit_row, n) * len(self.counts) + item, return_counts=True)
+        r, i = pair // max(1, len(self.counts)), pair % max(1, len(self.counts))
+        wanted = small_rows[r] | small_items[i]
+        r, i, common = r[wanted], i[wanted], common[wanted]
+        some = np.isin(row, r)
+        own = np.bincount(_distinct(h[some], row[some])[1], minlength=c.rows)
+        score = (common / np.maximum(np.minimum(own[r], self.counts[i]), 1) - CUT) / (1 - CUT)
+        return r[score > 0], i[score > 0], score[score > 0]
+
+
+def _distinct(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of value and group, by value."""
+    order = np.lexsort((group, value))
+    value, group = value[order], group[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+    return value[new], group[new]
+
+
 def entropy_counts(docs: DataFrame) -> np.ndarray:
     """How many windows of the whole corpus fall in each entropy class."""
     kind = schema(("class", T.IntegerType()), ("n", T.LongType()))
@@ -186,15 +237,18 @@ def fingerprints(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     ``digest`` is the row's chain of 256-byte filters. ``known`` (item_id, text)
     is a reference set whose digests every document is compared with, each with
     each; ``item_id`` is the most similar one (the least id of equals), null
-    where none has any similarity. Reference digests go to every task, so the
-    set's size is checked: past REFERENCE_ROWS it must be split and run in parts.
+    where none has any similarity. A text without a filter of LEAST_FEATURES
+    features (about 64 to 230 bytes) says too little by its digest: it is
+    compared by the windows it has in common with the other. Reference digests
+    and windows go to every task, so the set's size is checked: past
+    REFERENCE_ROWS or REFERENCE_BYTES it must be split and run in parts.
 
     Null and short texts (under 64 bytes) have no features, an empty digest and
     similarity 0; repeated rows are equal; rows without doc_id keep a null one;
     an empty table gives no rows; other columns are not looked at.
     """
     ranks = class_ranks(entropy_counts(docs))
-    ids, spans, filters, sizes = reference(known, ranks) if known is not None else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, FILTER_BITS // 8), np.uint8), np.zeros(0, np.int64))
+    ids, spans, filters, sizes, exact = reference(known, ranks) if known is not None else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, FILTER_BITS // 8), np.uint8), np.zeros(0, np.int64), Windows(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0))
     usable = sizes >= LEAST_FEATURES
     owner = np.repeat(np.arange(len(ids)), np.diff(spans))[usable]
     theirs, n_theirs = filters[usable], np.bincount(owner, minlength=len(ids))
@@ -205,39 +259,53 @@ def fingerprints(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
                 packed, count, row = digests(c, ranks)
                 n_filters = np.bincount(row, minlength=c.rows)
                 n_features = np.bincount(row, count, c.rows).astype(np.int32) if len(row) else np.zeros(c.rows, np.int32)
-                best, score = np.full(c.rows, -1), np.zeros(c.rows)
                 mine = np.flatnonzero(count >= LEAST_FEATURES)
+                small = np.bincount(row[mine], minlength=c.rows) == 0
+                found = [exact.matches(c, small, n_theirs == 0)]
                 if len(mine) and len(owner):
-                    best, score = _best(overlap_scores(packed[mine], theirs), row[mine], c.rows, owner, n_theirs)
+                    found.append(_matches(overlap_scores(packed[mine], theirs), row[mine], owner, n_theirs))
+                at, item, score = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((item, -score, at))
+                at, item, score = at[order], item[order], score[order]
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                best, value = np.full(c.rows, -1), np.zeros(c.rows)
+                best[at[first]], value[at[first]] = item[first], score[first]
                 offsets = np.concatenate([[0], np.cumsum(n_filters)]) * (FILTER_BITS // 8)
                 digest = pa.Array.from_buffers(pa.binary(), c.rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(packed))])
-                item = pa.array(ids[best] if len(ids) else np.zeros(c.rows, np.int64), mask=score <= 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(n_features), pa.array(n_filters.astype(np.int32)), digest, item, pa.array(np.round(score, 6))], names=_DIGEST.names)
+                best_id = pa.array(ids[best] if len(ids) else np.zeros(c.rows, np.int64), mask=best < 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(n_features), pa.array(n_filters.astype(np.int32)), digest, best_id, pa.array(np.round(value, 6))], names=_DIGEST.names)
 
     return docs.select(*pick(docs, doc_id="doc_id", text="text")).mapInArrow(run, _DIGEST)
 
 
 #: Reference items up to which their digests are sent to every task (about 256 bytes each).
 REFERENCE_ROWS = 100_000
+#: Bytes of their texts up to which their windows are (12 bytes a window).
+REFERENCE_BYTES = 1 << 24
 
 
-def reference(known: DataFrame, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, first filter of each, filters, features per filter) of the reference set, by id."""
+def reference(known: DataFrame, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Windows]:
+    """(ids, first filter of each, filters, features per filter, windows) of the reference set, by id."""
     rows = known.select(*pick(known, item_id="item_id", text="text")).select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").limit(REFERENCE_ROWS + 1).collect()
     if len(rows) > REFERENCE_ROWS:
         raise ValueError(f"more than {REFERENCE_ROWS} reference items: compare with parts of the set")
+    if sum(len(r.text.encode()) for r in rows) > REFERENCE_BYTES:
+        raise ValueError(f"more than {REFERENCE_BYTES} bytes of reference items: compare with parts of the set")
     rows.sort(key=lambda r: (r.item_id, r.text))
     each = list(tv.chunks(pa.array([r.text for r in rows], pa.string())))
     parts = [digests(c, ranks) for c in each]
     per = np.concatenate([np.bincount(p[2], minlength=c.rows) for p, c in zip(parts, each)]) if parts else np.zeros(0, np.int64)
     filters = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, FILTER_BITS // 8), np.uint8)
     sizes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    return np.array([r.item_id for r in rows], np.int64), np.concatenate([[0], np.cumsum(per)]).astype(np.int64), filters, sizes
+    firsts = np.cumsum([0, *(c.rows for c in each)])
+    spots = [windows(c) for c in each]
+    hashes = np.concatenate([h for h, _ in spots]) if spots else np.zeros(0, np.uint64)
+    item = np.concatenate([r + n for (_, r), n in zip(spots, firsts)]) if spots else np.zeros(0, np.int64)
+    return np.array([r.item_id for r in rows], np.int64), np.concatenate([[0], np.cumsum(per)]).astype(np.int64), filters, sizes, Windows(hashes, item, len(rows))
 
 
-def _best(scores: np.ndarray, row: np.ndarray, rows: int, owner: np.ndarray, n_theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per document, its best item and similarity, as ``compare`` has them, for all items at once."""
-    best, value = np.full(rows, -1), np.zeros(rows)
+def _matches(scores: np.ndarray, row: np.ndarray, owner: np.ndarray, n_theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, similarity over 0), as ``compare`` has them, for all items at once."""
     item_first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     items = owner[item_first]
     doc_first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -247,7 +315,5 @@ def _best(scores: np.ndarray, row: np.ndarray, rows: int, owner: np.ndarray, n_t
     by_mine = np.add.reduceat(per_item, doc_first, axis=0) / n_mine[:, None]
     by_theirs = np.add.reduceat(per_doc, item_first, axis=1) / n_theirs[items][None, :]
     whole = np.where(n_mine[:, None] <= n_theirs[items][None, :], by_mine, by_theirs)
-    at = whole.argmax(1)
-    best[row[doc_first]] = items[at]
-    value[row[doc_first]] = whole[np.arange(len(at)), at]
-    return best, value
+    at, item = np.nonzero(whole > 0)
+    return row[doc_first][at], items[item], whole[at, item]

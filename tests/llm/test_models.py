@@ -399,6 +399,20 @@ def test_every_document_against_every_item(spark):
     assert all(got[i].similarity < 0.3 for i in range(0, 40, 2))
 
 
+def test_short_items_and_short_documents_are_found(spark):
+    rng = np.random.default_rng(8)
+    cut = lambda n: sentence(rng, n)[:n]
+    items = [(n, cut(n)) for n in (64, 65, 70, 81, 100, 127, 133, 180, 229)] + [(900, sentence(rng, 90))]
+    rows = [(i, f"{sentence(rng, 70)} {t} {sentence(rng, 300)}", "a") for i, t in items] + [(1000 + i, t, "a") for i, t in items]
+    rows += [(2000, items[-1][1][200:290], "a"), (2001, sentence(rng, 300), "a"), (2002, cut(90), "a"), (2003, items[5][1][:63] + " " + cut(90), "a")]
+    known = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, rows), known).collect()}
+    assert all(got[i].item_id == got[1000 + i].item_id == i for i, _ in items)
+    assert all(got[i].similarity == got[1000 + i].similarity == 1 for i, _ in items if got[1000 + i].n_features < fingerprints.LEAST_FEATURES)
+    assert sum(got[1000 + i].n_features == 1 for i, _ in items) >= 6
+    assert (got[2000].item_id, got[2000].similarity) == (900, 1) and all(got[i].similarity == 0 for i in (2001, 2002, 2003))
+
+
 def test_fingerprints_on_odd_tables(spark):
     known = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "short")], "item_id bigint, text string")
     out = fingerprints.fingerprints(docs(spark, odd_rows()), known).collect()
