@@ -4,6 +4,8 @@ Passages that repeat are often set inside longer paragraphs, so a paragraph
 here is a stretch of WORDS words that starts at an anchor: a word whose
 following 3-gram has the least hash among REACH neighbours. Anchors depend on
 the local words alone, so a shared passage has the same ones wherever it stands.
+The text's own paragraphs count too: of each line, its first and its last WORDS
+words, or all of it where it has fewer.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from palisade.llm.components import connected_components
 #: Words of a paragraph, and of the shingles it is compared by.
 WORDS, SHINGLE = 20, 3
 #: Every REACH consecutive places have an anchor: a shared passage of
-#: WORDS + REACH + SHINGLE - 2 words or more (49) has a paragraph in common.
-REACH = 28
+#: WORDS + REACH - 1 words or more (31) has a paragraph in common.
+REACH = 12
 #: Paragraphs of fewer distinct shingles (a word over and over) say too little to be a passage.
 MIN_DISTINCT = 10
 #: Exact Jaccard similarity of shingles from which two paragraphs are the same passage.
@@ -69,6 +71,19 @@ def _anchors(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, first: np.ndarra
     return np.union1d(picks, short)
 
 
+def _line_ends(c: tv.Chunk, w: tv.Words, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shingle, shingles) of the first and the last ``width`` shingles of each
+    line, of all of them where it has fewer; lines of under SHINGLE words have none."""
+    if not len(w.row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    line = np.cumsum(c.buf == 10)[w.start]
+    new = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])]))
+    n = np.diff(np.append(new, len(line))) - SHINGLE + 1
+    new, n = new[n > 0], n[n > 0]
+    at = first[w.row[new]] + new - w.first[w.row[new]]
+    return np.concatenate([at, at + np.maximum(n - width, 0)]), np.tile(np.minimum(n, width), 2)
+
+
 class Paragraphs:
     """The paragraphs of a chunk: word spans, row, distinct shingles and a content hash."""
 
@@ -81,9 +96,11 @@ class Paragraphs:
         # Not past the end of the row: the last paragraph of a row is its last WORDS words.
         width = WORDS - SHINGLE + 1
         last = first[row[at] + 1] - width if len(at) else at
-        at = np.unique(np.maximum(np.minimum(at, last), first[row[at]] if len(at) else at))
+        at = np.maximum(np.minimum(at, last), first[row[at]] if len(at) else at)
+        size = np.minimum(width, first[row[at] + 1] - at) if len(at) else at
+        line_at, line_size = _line_ends(c, w, first, width)
+        at, size = np.divmod(np.unique(np.concatenate([at, line_at]) * (width + 1) + np.concatenate([size, line_size])), width + 1)
         self.row = row[at]
-        size = np.minimum(width, first[self.row + 1] - at)
         lanes = at[:, None] + np.minimum(np.arange(width)[None, :], size[:, None] - 1)
         sets = np.sort(h[lanes], axis=1) if len(at) else np.zeros((0, width), np.uint64)
         distinct = 1 + (sets[:, 1:] != sets[:, :-1]).sum(1) if len(at) else np.zeros(0, np.int64)
@@ -243,8 +260,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     at least two documents. ``start`` and ``end`` are byte offsets into the
     text's UTF-8. All occurrences but the first (least doc_id, then start) are
     ``removed``. Bands are tuned for a recall of 0.95 at similarity 0.8; equal
-    paragraphs always collide, so any unchanged passage of 49 words or more is
-    found wherever it stands. Buckets are not capped: equal contents collapse
+    paragraphs always collide, so any unchanged passage of 31 words or more is
+    found wherever it stands, and any unchanged line of 12. Buckets are not capped: equal contents collapse
     first, and within a bucket a content already joined to another needs no
     further comparison, so a hot passage costs about one comparison per variant.
 

@@ -228,6 +228,17 @@ def test_edited_passages_share_a_component(spark):
     assert {r.doc_id for r in got} == set(range(6))
 
 
+@pytest.mark.parametrize("between, lengths", [("\n", (15, 20, 25, 30, 40, 48)), (" ", (31, 35, 40, 48))])
+def test_short_paragraphs_are_found_among_other_words(spark, between, lengths):
+    rng = np.random.default_rng(12)
+    shared = [sentence(rng, n) for n in lengths for _ in range(8)]
+    rows = [(2 * i + j, between.join([sentence(rng, 40), p, sentence(rng, 40)]), "a") for i, p in enumerate(shared) for j in range(2)]
+    together = {}
+    for r in passages.repeated_passages(docs(spark, rows)).collect():
+        together.setdefault(r.passage, set()).add(r.doc_id)
+    assert {frozenset(ids) for ids in together.values()} == {frozenset((2 * i, 2 * i + 1)) for i in range(len(shared))}
+
+
 def test_bucket_links_join_what_pairs_join():
     rng = np.random.default_rng(4)
     base = np.arange(1, 19, dtype=np.uint64)
