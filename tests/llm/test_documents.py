@@ -239,6 +239,23 @@ def test_short_paragraphs_are_found_among_other_words(spark, between, lengths):
     assert {frozenset(ids) for ids in together.values()} == {frozenset((2 * i, 2 * i + 1)) for i in range(len(shared))}
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(13)
+    pairs = []
+    while len(pairs) < 600:
+        base = rng.choice(WORDS, 20)
+        copy = base.copy()
+        copy[rng.integers(0, 20, int(rng.integers(1, 3)))] = "edited"
+        if passages.THRESHOLD <= jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(copy))) <= 0.8:
+            pairs += [" ".join(base), " ".join(copy)]
+    (batch,) = pa.Table.from_arrays([pa.array(range(len(pairs))), pa.array(pairs)], names=["doc_id", "text"]).to_batches()
+    bands, rows = passages.tune_bands()
+    a, b = tv.universal(bands * rows, passages.SEED)
+    p = passages.Paragraphs(next(tv.chunks(batch.column(1))))
+    low = np.stack([(p.sets * a[i] + b[i]).min(1) for i in range(bands * rows)], 1).reshape(-1, 2, bands, rows)
+    assert (low[:, 0] == low[:, 1]).all(2).any(1).mean() >= 0.93
+
+
 def test_bucket_links_join_what_pairs_join():
     rng = np.random.default_rng(4)
     base = np.arange(1, 19, dtype=np.uint64)
