@@ -172,6 +172,87 @@ def places(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, _PLACES)
 
 
+#: Words beyond a paragraph that it can grow by on either side: more than lie before
+#: a passage's first anchor, or behind its last whole paragraph.
+GROWTH = REACH + SHINGLE
+_SIDE = [(f"{side}{kind}", T.ArrayType(T.IntegerType())) for side in ("left", "right") for kind in ("", "_at")]
+_AROUND = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), *_SIDE)
+
+
+def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (passage, content, removed, doc_id, start, end) with, per side, the hashes of up to GROWTH
+    words next to it, nearest first, and the offsets it would reach to with each of them."""
+    lists = found.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("passage", "content", "removed", "start", "end")).alias("spans"))
+    texts = _texts(docs)
+    rows = texts.join(lists, texts.doc_id == lists.w_id).select("doc_id", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in tv.chunks(batch.column(1)):
+                w = tv.words(c)
+                own = batch.column(2).slice(c.first, c.rows)
+                row = np.repeat(np.arange(c.rows), own.value_lengths().to_numpy(zero_copy_only=False))
+                passage, content, removed, start, end = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
+                # A row that repeats a doc_id with another text may not have the span.
+                a, b = np.searchsorted(w.start, c.offsets[row] + start), np.searchsorted(w.end, c.offsets[row] + end)
+                last = len(w.start) - 1
+                here = np.flatnonzero((w.first[row] <= a) & (b < w.first[row + 1]) & (w.start[np.minimum(a, last)] == c.offsets[row] + start) & (w.end[np.minimum(b, last)] == c.offsets[row] + end))
+                passage, content, removed, start, end, row, a, b = (x[here] for x in (passage, content, removed, start, end, row, a, b))
+                ids = batch.column(0).slice(c.first, c.rows).take(pa.array(row))
+                columns = [pa.array(passage), pa.array(content), pa.array(removed.astype(bool)), ids, pa.array(start), pa.array(end)]
+                steps = np.arange(1, GROWTH + 1)
+                for at, edge in ((a[:, None] - steps, w.start), (b[:, None] + steps, w.end)):
+                    there = (at >= w.first[row][:, None]) & (at < w.first[row + 1][:, None])
+                    words, owner = at[there], np.nonzero(there)[0]
+                    ends = pa.array(np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32))
+                    for values in ((w.hash[words] >> np.uint64(32)).astype(np.uint32).view(np.int32), (edge[words] - c.offsets[row[owner]]).astype(np.int32)):
+                        columns.append(pa.ListArray.from_arrays(ends, pa.array(values)))
+                yield pa.RecordBatch.from_arrays(columns, names=_AROUND.names)
+
+    return rows.mapInArrow(run, _AROUND).dropDuplicates(["passage", "doc_id", "start", "end"])
+
+
+def _occurrences(found: DataFrame) -> DataFrame:
+    """``found`` (passage, content, doc_id, start, end) with ``removed``; passages of one document go.
+
+    Paragraphs of a passage that overlap in a document are one occurrence of it,
+    so that none is removed for being like its neighbour.
+    """
+    w = Window.partitionBy("passage", "doc_id").orderBy("start", "end")
+    new = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    begins = F.max(F.when(F.col("new"), F.col("start"))).over(w)
+    islands = found.withColumn("new", new).withColumn("begins", begins).drop("new")
+    firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("first")).where("first.doc_id < hi")
+    return islands.join(firsts, "passage").select("passage", "content", (F.col("first") != F.struct("doc_id", F.col("begins").alias("start"))).alias("removed"), "doc_id", "start", "end")
+
+
+def _grown(found: DataFrame) -> DataFrame:
+    """(passage, doc_id, start, end, removed) of ``found`` with its surroundings.
+
+    A removed paragraph grows over the words it has in common with the first
+    document that has the very same paragraph; one that stays grows as far as
+    any of its equals does. So all that a removed one gains stands in an earlier
+    document.
+    """
+    firsts = found.groupBy("content").agg(F.min(F.struct("doc_id", "start", "end", "left", "right")).alias("first"))
+    common = lambda side: f"zip_with({side}, first.{side}, (x, y) -> coalesce(x = y, false))"
+    length = lambda side: F.expr(f"CASE WHEN doc_id = first.doc_id THEN 0 WHEN array_position({common(side)}, false) = 0 THEN size({common(side)}) ELSE array_position({common(side)}, false) - 1 END").cast("int")
+    is_first = F.struct("first.doc_id", "first.start", "first.end") == F.struct("doc_id", "start", "end")
+    met = found.join(firsts, "content").select("passage", "content", "doc_id", "start", "end", "left_at", "right_at", length("left").alias("l"), length("right").alias("r"), "removed", is_first.alias("is_first"))
+    most = met.groupBy("content").agg(F.max("l").alias("most_l"), F.max("r").alias("most_r"))
+    grows = "is_first AND NOT removed"
+    sized = met.join(most, "content").withColumns({"l": F.expr(f"if({grows}, most_l, l)"), "r": F.expr(f"if({grows}, most_r, r)")})
+    return sized.select("passage", "doc_id", F.expr("if(l > 0, left_at[l - 1], start)").alias("start"), F.expr("if(r > 0, right_at[r - 1], end)").alias("end"), "removed")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Overlapping spans of a passage in a document, as long as all or none are removed, as one."""
+    w = Window.partitionBy("passage", "doc_id", "removed").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(0)))
+    return marked.withColumn("island", F.sum("new").over(w)).groupBy("passage", "doc_id", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("passage", "doc_id", "start", "end", "removed")
+
+
 _SETS = schema(("content", T.LongType()), ("shingles", T.BinaryType()))
 
 
@@ -260,12 +341,15 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     A passage is a component of paragraphs that share a band and whose shingle
     sets have an exact Jaccard similarity of ``threshold`` or more, occurring in
     at least two documents. ``start`` and ``end`` are byte offsets into the
-    text's UTF-8. All occurrences but the first (least doc_id, then start) are
-    ``removed``. Bands are tuned for a recall of 0.95 at that similarity; equal
-    paragraphs always collide, so any unchanged passage of 31 words or more is
-    found wherever it stands, and any unchanged line of 12. Buckets are not capped: equal contents collapse
-    first, and within a bucket a content already joined to another needs no
-    further comparison, so a hot passage costs about one comparison per variant.
+    text's UTF-8; each occurrence grows over the words next to it that it has in
+    common with the first one of the same paragraph, and what overlaps of a
+    passage in a document is one. All occurrences but the first (least doc_id,
+    then start) are ``removed``. Bands are tuned for a recall of 0.95 at that
+    similarity; equal paragraphs always collide, so any unchanged passage of 31
+    words or more is found wherever it stands, and any unchanged line of 12.
+    Buckets are not capped: equal contents collapse first, and within a bucket a
+    content already joined to another needs no further comparison, so a hot
+    passage costs about one comparison per variant.
 
     Null and empty texts, and rows without doc_id, have no passages; a text of
     fewer than 12 words has no paragraph; repeats inside one document, and rows
@@ -292,7 +376,5 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
     # The places of the contents that met another document, from a second reading.
     repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
-    found = places(docs).join(repeated, F.col("c") == F.col("content")).select("passage", "doc_id", "start", "end").distinct()
-    found = materialise(found, "places")
-    firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "end")).alias("first")).where("first.doc_id < hi")
-    return found.join(firsts, "passage").select("passage", "doc_id", "start", "end", (F.col("first") != F.struct("doc_id", "start", "end")).alias("removed"))
+    found = places(docs).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end").distinct()
+    return _merged(_grown(materialise(surroundings(docs, _occurrences(found)), "places")))

@@ -239,6 +239,28 @@ def test_short_paragraphs_are_found_among_other_words(spark, between, lengths):
     assert {frozenset(ids) for ids in together.values()} == {frozenset((2 * i, 2 * i + 1)) for i in range(len(shared))}
 
 
+@pytest.mark.parametrize("edit", [False, True])
+def test_spans_cover_the_whole_repeated_passage(spark, edit):
+    rng = np.random.default_rng(14)
+    rows, where = [], {}
+    for i, n in enumerate(n for n in (33, 49, 60, 100) for _ in range(6)):
+        words = sentence(rng, n).split()
+        for j in range(2):
+            if j and edit and n > 49:
+                words[n // 2] = "edited"
+            before = sentence(rng, 40) + " "
+            rows.append((2 * i + j, f"{before}{' '.join(words)} {sentence(rng, 40)}", "a"))
+            where[2 * i + j] = (len(before), len(before) + len(" ".join(words)))
+    covered = {i: set() for i in where}
+    for r in passages.repeated_passages(docs(spark, rows)).collect():
+        covered[r.doc_id] |= set(range(r.start, r.end))
+        assert r.removed == r.doc_id % 2
+    share = [len(covered[i] & set(range(a, b))) / (b - a) for i, (a, b) in where.items()]
+    beyond = [len(covered[i] - set(range(a, b))) for i, (a, b) in where.items()]
+    # A paragraph at the threshold may have four own words on either side.
+    assert min(share) >= (0.8 if edit else 1) and max(beyond) <= 2 * 4 * 8
+
+
 def test_pairs_at_the_threshold_share_a_band():
     rng = np.random.default_rng(13)
     pairs = []
