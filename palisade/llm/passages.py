@@ -209,7 +209,7 @@ def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
                         columns.append(pa.ListArray.from_arrays(ends, pa.array(values)))
                 yield pa.RecordBatch.from_arrays(columns, names=_AROUND.names)
 
-    return rows.mapInArrow(run, _AROUND).dropDuplicates(["passage", "doc_id", "start", "end"])
+    return rows.mapInArrow(run, _AROUND)
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
@@ -226,6 +226,23 @@ def _occurrences(found: DataFrame) -> DataFrame:
     return islands.join(firsts, "passage").select("passage", "content", (F.col("first") != F.struct("doc_id", F.col("begins").alias("start"))).alias("removed"), "doc_id", "start", "end")
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    """Of ``found`` with ``removed``, the paragraphs that may grow and their first equals,
+    or whose first equal may grow.
+
+    One may grow if no other of its document, removed or not as it is, reaches
+    over one of its sides: what lies there is reported already where one does.
+    """
+    own = Window.partitionBy("doc_id", "removed").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.max("end").over(own.orderBy("start", "end")) < F.col("start"), F.lit(True))
+    right = F.coalesce(F.min("start").over(own.orderBy(F.desc("end"), F.desc("start"))) > F.col("end"), F.lit(True))
+    me = F.struct("doc_id", "start", "end")
+    sides = found.withColumn("open", left | right)
+    firsts = sides.groupBy("content").agg(F.min(F.struct("doc_id", "start", "end", "open")).alias("first"), F.max("open").alias("any_open"))
+    met = sides.join(firsts, "content").where(F.col("open") | F.col("first.open") | F.col("any_open") & (F.struct("first.doc_id", "first.start", "first.end") == me))
+    return met.drop("open", "first", "any_open")
+
+
 def _grown(found: DataFrame) -> DataFrame:
     """(passage, doc_id, start, end, removed) of ``found`` with its surroundings.
 
@@ -377,4 +394,6 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     # The places of the contents that met another document, from a second reading.
     repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
     found = places(docs).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end").distinct()
-    return _merged(_grown(materialise(surroundings(docs, _occurrences(found)), "places")))
+    found = materialise(_occurrences(found), "found")
+    grown = _grown(materialise(surroundings(docs, _edges(found)), "places"))
+    return _merged(found.select("passage", "doc_id", "start", "end", "removed").union(grown))
