@@ -68,12 +68,13 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     return Boosted(base, *parts)
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots (score, probability), non-decreasing; read off by ``calibrated``."""
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators: knots (score, probability), non-decreasing; read off by ``calibrated``.
+    ``weight`` is how many rows each (score, mean of y) stands for, one without it."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []  # sum, weight, lowest and highest score
-    for s, t in zip(score[order], y[order]):
-        blocks.append([float(t), 1.0, float(s), float(s)])
+    for s, t, n in zip(score[order], y[order], np.ones(len(y)) if weight is None else weight[order]):
+        blocks.append([float(t * n), float(n), float(s), float(s)])
         while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
             b = blocks.pop()
             a = blocks[-1]

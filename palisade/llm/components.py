@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialise
+from palisade.llm.common import materialise, release
+
+_KEY = 0x5DEECE66D
 
 
 def _with_minimum(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """Edges (u, v) with m: the least of u and its neighbours. The minimum is an
-    aggregate with map-side combining, so a hub never gathers in one row."""
+    """Edges (u, v) with m: the least of u and its neighbours.
+
+    The minimum is an aggregate with map-side combining, so a hub never gathers
+    in one row. The join is on a key the aggregate isn't partitioned by: both
+    sides then come straight from exchanges, and adaptive execution splits the
+    partition a hub's edges are in.
+    """
     if both_ways:
         edges = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return edges.join(least, "u")
+    key = F.col("u").bitwiseXOR(F.lit(_KEY).cast("bigint")).alias("k")
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(key, "m")
+    return edges.select(key, "u", "v").join(least, "k").drop("k")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -35,8 +43,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``component`` is the least node of the component. Self-loops and repeated
     edges change nothing; rows with a null end are dropped; no edges give no
-    rows. Each round is written to the shared folder, so lineage stays short
-    and a lost executor costs one round at most. Rounds grow with the
+    rows. Each round is written to the shared folder and the one before removed,
+    so lineage stays short and a lost executor costs one round at most. Rounds grow with the
     logarithm of the component size; not converging within ``max_rounds``
     raises instead of returning a partial result.
     """
@@ -44,7 +52,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        e = materialise(small_star(large_star(e)), "edges")
+        before, e = e, materialise(small_star(large_star(e)), "edges")
+        release(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -9,6 +9,8 @@ each, and digests compare by overlap of bits beyond chance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.llm import textvec as tv
-from palisade.llm.common import pick, schema
+from palisade.llm.common import materialise, pick, schema
 
 WINDOW = 64
 NEIGHBOURHOOD = 64
@@ -116,8 +118,9 @@ def select(buf: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> np.ndarra
     return np.flatnonzero(chosen)
 
 
-def digests(c: tv.Chunk, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(filters, features per filter, row of each filter): filters are rows of bits, packed."""
+def digests(c: tv.Chunk, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(filters, features per filter, row of each filter, hash of each feature): filters are
+    rows of bits, packed; features are in order of row, FEATURES_PER_FILTER to a filter."""
     at = select(c.buf, c.offsets, ranks)
     row = np.searchsorted(c.offsets, at, "right") - 1
     first = np.searchsorted(row, np.arange(c.rows + 1), "left")
@@ -126,23 +129,24 @@ def digests(c: tv.Chunk, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     start = np.concatenate([[0], np.cumsum(per_row)])
     which = start[row] + nth // FEATURES_PER_FILTER
     bits = np.zeros((int(start[-1]), FILTER_BITS), bool)
+    h = tv.span_hashes(c.buf, at, at + WINDOW) if len(at) else np.zeros(0, np.uint64)
     if len(at):
-        h = tv.span_hashes(c.buf, at, at + WINDOW)
         for i in range(HASHES):
             bits[which, (h >> np.uint64(11 * i)).astype(np.int64) & (FILTER_BITS - 1)] = True
-    return np.packbits(bits, axis=1), np.bincount(which, minlength=int(start[-1])), np.repeat(np.arange(c.rows), per_row)
+    return np.packbits(bits, axis=1), np.bincount(which, minlength=int(start[-1])), np.repeat(np.arange(c.rows), per_row), h
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
 def overlap_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Normalised bit overlap, 0 to 1, of each filter of ``a`` with each of ``b`` (packed).
+    """Normalised bit overlap, 0 to 1, of each filter of ``a`` with that of ``b`` beside it (packed).
 
     Common bits beyond those two filters of their fill share by chance, over
     the most they could share; at or under the cut-off, 0. The cut-off is 0.3 of
     that range, or three standard deviations over chance where that is more.
     """
-    x, y = (np.unpackbits(f, axis=1).astype(np.float32) for f in (a, b))
-    common = x @ y.T
-    nx, ny = x.sum(1)[:, None], y.sum(1)[None, :]
+    common, nx, ny = (_ONES[f].sum(-1).astype(np.float64) for f in (a & b, a, b))
     most = np.minimum(nx, ny)
     chance = nx * ny / FILTER_BITS
     deviation = np.sqrt(chance * (1 - nx / FILTER_BITS) * (1 - ny / FILTER_BITS))
@@ -158,7 +162,7 @@ def compare(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> flo
     mine, other = na >= LEAST_FEATURES, nb >= LEAST_FEATURES
     if not mine.any() or not other.any():
         return 0.0
-    return float(overlap_scores(a[mine], b[other]).max(1).mean())
+    return float(overlap_scores(a[mine][:, None], b[other][None]).max(1).mean())
 
 
 def windows(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +173,8 @@ def windows(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return tv.span_hashes(c.buf, at, at + WINDOW), row
 
 
-class Windows:
-    """The distinct windows of each reference item, looked up by hash."""
+class Index:
+    """The distinct hashes of each reference item, looked up by hash."""
 
     def __init__(self, hashes: np.ndarray, item: np.ndarray, items: int) -> None:
         hashes, item = _distinct(hashes, item)
@@ -180,18 +184,23 @@ class Windows:
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
-    def matches(self, c: tv.Chunk, small_rows: np.ndarray, small_items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, similarity over 0) of pairs of which one is small: the share, beyond
-        CUT, that their common windows are of those of the one that has fewer."""
-        h, row = windows(c)
+    def pairs(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, common hashes) of every row and item that have one in common, in order."""
         maybe = np.flatnonzero(self.bitmap[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         k = np.searchsorted(self.hashes, h[maybe])
         hit = self.hashes[np.minimum(k, len(self.hashes) - 1)] == h[maybe] if len(self.hashes) else np.zeros(0, bool)
         hash_no, hit_row = _distinct(k[hit], row[maybe[hit]])
         n = self.first[hash_no + 1] - self.first[hash_no]
         item = self.item[np.arange(n.sum()) + np.repeat(self.first[hash_no] - (np.cumsum(n) - n), n)].astype(np.int64)
-        pair, common = np.unique(np.repeat(hit_row, n) * len(self.counts) + item, return_counts=True)
-        r, i = pair // max(1, len(self.counts)), pair % max(1, len(self.counts))
+        pair, common = np.unique(np.repeat(hit_row, n) * max(1, len(self.counts)) + item, return_counts=True)
+        return pair // max(1, len(self.counts)), pair % max(1, len(self.counts)), common
+
+    def matches(self, c: tv.Chunk, small_rows: np.ndarray, small_items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of an index of windows, (row, item, similarity over 0) of pairs of which one is
+        small: the share, beyond CUT, that their common windows are of those of the one
+        that has fewer."""
+        h, row = windows(c)
+        r, i, common = self.pairs(h, row)
         wanted = small_rows[r] | small_items[i]
         r, i, common = r[wanted], i[wanted], common[wanted]
         some = np.isin(row, r)
@@ -228,92 +237,149 @@ def entropy_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-_DIGEST = schema(("doc_id", T.LongType()), ("n_features", T.IntegerType()), ("n_filters", T.IntegerType()), ("digest", T.BinaryType()), ("item_id", T.LongType()), ("similarity", T.DoubleType()))
-
-
-def fingerprints(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_features, n_filters, digest, item_id, similarity) of every row.
-
-    ``digest`` is the row's chain of 256-byte filters. ``known`` (item_id, text)
-    is a reference set whose digests every document is compared with, each with
-    each; ``item_id`` is the most similar one (the least id of equals), null
-    where none has any similarity. A text without a filter of LEAST_FEATURES
-    features (about 64 to 230 bytes) says too little by its digest: it is
-    compared by the windows it has in common with the other. Reference digests
-    and windows go to every task, so the set's size is checked: past
-    REFERENCE_ROWS or REFERENCE_BYTES it must be split and run in parts.
-
-    Null and short texts (under 64 bytes) have no features, an empty digest and
-    similarity 0; repeated rows are equal; rows without doc_id keep a null one;
-    an empty table gives no rows; other columns are not looked at.
-    """
-    ranks = class_ranks(entropy_counts(docs))
-    ids, spans, filters, sizes, exact = reference(known, ranks) if known is not None else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, FILTER_BITS // 8), np.uint8), np.zeros(0, np.int64), Windows(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0))
-    usable = sizes >= LEAST_FEATURES
-    owner = np.repeat(np.arange(len(ids)), np.diff(spans))[usable]
-    theirs, n_theirs = filters[usable], np.bincount(owner, minlength=len(ids))
+_PART = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
+_DIGEST = schema(("doc_id", T.LongType()), ("n_features", T.IntegerType()), ("n_filters", T.IntegerType()), ("digest", T.BinaryType()), ("item_id", T.LongType()), ("similarity", T.DoubleType()), ("matches", _PART))
+_SCORED = T.StructType([*_DIGEST.fields, T.StructField("content", T.LongType())])
+
+#: Reference items, and bytes of their texts, whose digests, features and windows (12 bytes
+#: a window) are sent to every task at a time; a larger set is gone through in parts.
+REFERENCE_ROWS, REFERENCE_BYTES = 50_000, 1 << 24
+
+
+@dataclass
+class Reference:
+    """Reference items by id: filters of LEAST_FEATURES features or more, and indexes of features and windows."""
+
+    ids: np.ndarray
+    first: np.ndarray  # per item, its first filter; one more entry at the end
+    filters: np.ndarray
+    features: Index
+    windows: Index
+
+    @property
+    def small(self) -> np.ndarray:
+        return np.diff(self.first) == 0
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, str]], ranks: np.ndarray) -> Reference:
+        rows = sorted(rows)
+        each = list(tv.chunks(pa.array([t for _, t in rows], pa.string())))
+        filters, feature, window, owners, items = [np.zeros((0, FILTER_BITS // 8), np.uint8)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        for c in each:
+            packed, count, row, h = digests(c, ranks)
+            usable = count >= LEAST_FEATURES
+            filters.append(packed[usable])
+            owners.append(row[usable] + c.first)
+            feature.append(h)
+            items[0].append(np.repeat(row, count) + c.first)
+            spots, spot_row = windows(c)
+            window.append(spots)
+            items[1].append(spot_row + c.first)
+        owner = np.concatenate(owners)
+        first = np.searchsorted(owner, np.arange(len(rows) + 1))
+        indexes = [Index(np.concatenate(h), np.concatenate(i), len(rows)) for h, i in zip((feature, window), items)]
+        return cls(np.array([i for i, _ in rows], np.int64), first, np.concatenate(filters), *indexes)
+
+    def matches(self, c: tv.Chunk, packed: np.ndarray, count: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, similarity over 0) of the documents of a chunk, given its digests:
+        pairs with a feature in common as ``compare`` has them, small ones by windows."""
+        mine = np.flatnonzero(count >= LEAST_FEATURES)
+        my_first = np.searchsorted(row[mine], np.arange(c.rows + 1))
+        found = [self.windows.matches(c, np.diff(my_first) == 0, self.small)]
+        r, i, _ = self.features.pairs(h, np.repeat(row, count))
+        n, m = np.diff(my_first)[r], np.diff(self.first)[i]
+        r, i, n, m = (x[(n > 0) & (m > 0)] for x in (r, i, n, m))
+        for a in range(0, len(r), 4096):
+            found.append(self._compared(packed[mine], my_first, *(x[a : a + 4096] for x in (r, i, n, m))))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _compared(self, packed: np.ndarray, my_first: np.ndarray, r: np.ndarray, i: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # All filters of the one with each of the other, pair after pair: the one with fewer leads.
+        lead = n <= m
+        outer, inner = np.where(lead, n, m), np.where(lead, m, n)
+        size = outer * inner
+        pair = np.repeat(np.arange(len(r)), size)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        o, k = at // inner[pair], at % inner[pair]
+        own = my_first[r[pair]] + np.where(lead[pair], o, k)
+        other = self.first[i[pair]] + np.where(lead[pair], k, o)
+        score = np.concatenate([overlap_scores(packed[own[a : a + 8192]], self.filters[other[a : a + 8192]]) for a in range(0, len(own), 8192)])
+        best = np.maximum.reduceat(score, np.flatnonzero(k == 0))
+        whole = np.add.reduceat(best, np.cumsum(outer) - outer) / outer
+        some = whole > 0
+        return r[some], i[some], whole[some]
+
+
+def _parts(known: DataFrame | None) -> Iterator[list[tuple[int, str]]]:
+    """The reference rows, as many at a time as REFERENCE_ROWS and REFERENCE_BYTES allow; once without any."""
+    if known is None:
+        yield []
+        return
+    rows = known.select(*pick(known, item_id="item_id", text="text")).select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    rows = materialise(rows, "reference")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-2 * n // REFERENCE_ROWS), -(-2 * size // REFERENCE_BYTES)) if n > REFERENCE_ROWS or size > REFERENCE_BYTES else 1
+    for part in range(parts):
+        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else rows
+        yield [(r.item_id, r.text) for r in own.collect()]
+
+
+def _scored(docs: DataFrame, ranks: np.ndarray, known: Reference) -> DataFrame:
+    """One pass over the documents: digests, and matches with the reference items held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tv.chunks(batch.column(1), 1 << 18):
-                packed, count, row = digests(c, ranks)
+                packed, count, row, h = digests(c, ranks)
                 n_filters = np.bincount(row, minlength=c.rows)
                 n_features = np.bincount(row, count, c.rows).astype(np.int32) if len(row) else np.zeros(c.rows, np.int32)
-                mine = np.flatnonzero(count >= LEAST_FEATURES)
-                small = np.bincount(row[mine], minlength=c.rows) == 0
-                found = [exact.matches(c, small, n_theirs == 0)]
-                if len(mine) and len(owner):
-                    found.append(_matches(overlap_scores(packed[mine], theirs), row[mine], owner, n_theirs))
-                at, item, score = (np.concatenate(x) for x in zip(*found))
+                at, item, score = known.matches(c, packed, count, row, h)
+                score = np.round(score, 6)
                 order = np.lexsort((item, -score, at))
                 at, item, score = at[order], item[order], score[order]
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                best, value = np.full(c.rows, -1), np.zeros(c.rows)
-                best[at[first]], value[at[first]] = item[first], score[first]
+                n = np.bincount(at, minlength=c.rows)
+                first = np.cumsum(n) - n
+                none = n == 0
+                best = np.minimum(first, max(0, len(at) - 1))
+                best_id = pa.array(known.ids[item[best]] if len(at) else np.zeros(c.rows, np.int64), mask=none)
+                value = np.where(none, 0.0, score[best]) if len(at) else np.zeros(c.rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(known.ids[item] if len(at) else item), pa.array(score)], names=["item_id", "similarity"]))
                 offsets = np.concatenate([[0], np.cumsum(n_filters)]) * (FILTER_BITS // 8)
                 digest = pa.Array.from_buffers(pa.binary(), c.rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(packed))])
-                best_id = pa.array(ids[best] if len(ids) else np.zeros(c.rows, np.int64), mask=best < 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(n_features), pa.array(n_filters.astype(np.int32)), digest, best_id, pa.array(np.round(value, 6))], names=_DIGEST.names)
-
-    return docs.select(*pick(docs, doc_id="doc_id", text="text")).mapInArrow(run, _DIGEST)
-
-
-#: Reference items up to which their digests are sent to every task (about 256 bytes each).
-REFERENCE_ROWS = 100_000
-#: Bytes of their texts up to which their windows are (12 bytes a window).
-REFERENCE_BYTES = 1 << 24
-
-
-def reference(known: DataFrame, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Windows]:
-    """(ids, first filter of each, filters, features per filter, windows) of the reference set, by id."""
-    rows = known.select(*pick(known, item_id="item_id", text="text")).select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").limit(REFERENCE_ROWS + 1).collect()
-    if len(rows) > REFERENCE_ROWS:
-        raise ValueError(f"more than {REFERENCE_ROWS} reference items: compare with parts of the set")
-    if sum(len(r.text.encode()) for r in rows) > REFERENCE_BYTES:
-        raise ValueError(f"more than {REFERENCE_BYTES} bytes of reference items: compare with parts of the set")
-    rows.sort(key=lambda r: (r.item_id, r.text))
-    each = list(tv.chunks(pa.array([r.text for r in rows], pa.string())))
-    parts = [digests(c, ranks) for c in each]
-    per = np.concatenate([np.bincount(p[2], minlength=c.rows) for p, c in zip(parts, each)]) if parts else np.zeros(0, np.int64)
-    filters = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, FILTER_BITS // 8), np.uint8)
-    sizes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    firsts = np.cumsum([0, *(c.rows for c in each)])
-    spots = [windows(c) for c in each]
-    hashes = np.concatenate([h for h, _ in spots]) if spots else np.zeros(0, np.uint64)
-    item = np.concatenate([r + n for (_, r), n in zip(spots, firsts)]) if spots else np.zeros(0, np.int64)
-    return np.array([r.item_id for r in rows], np.int64), np.concatenate([[0], np.cumsum(per)]).astype(np.int64), filters, sizes, Windows(hashes, item, len(rows))
-
-
-def _matches(scores: np.ndarray, row: np.ndarray, owner: np.ndarray, n_theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, similarity over 0), as ``compare`` has them, for all items at once."""
-    item_first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    items = owner[item_first]
-    doc_first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    per_item = np.maximum.reduceat(scores, item_first, axis=1)  # document filter x item
-    per_doc = np.maximum.reduceat(scores, doc_first, axis=0)  # document x item filter
-    n_mine = np.diff(np.concatenate([doc_first, [len(row)]]))
-    by_mine = np.add.reduceat(per_item, doc_first, axis=0) / n_mine[:, None]
-    by_theirs = np.add.reduceat(per_doc, item_first, axis=1) / n_theirs[items][None, :]
-    whole = np.where(n_mine[:, None] <= n_theirs[items][None, :], by_mine, by_theirs)
-    at, item = np.nonzero(whole > 0)
-    return row[doc_first][at], items[item], whole[at, item]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array(n_features), pa.array(n_filters.astype(np.int32)), digest, best_id, pa.array(value), lists, pa.array(tv.span_hashes(c.buf, c.offsets[:-1], c.offsets[1:]).view(np.int64))], names=_SCORED.names)
+
+    return docs.select(*pick(docs, doc_id="doc_id", text="text")).mapInArrow(run, _SCORED)
+
+
+def fingerprints(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_features, n_filters, digest, item_id, similarity, matches) of every row.
+
+    ``digest`` is the row's chain of 256-byte filters. ``known`` (item_id, text)
+    is a reference set whose digests every document with a feature in common is
+    compared with; ``matches`` are all items of any similarity, the most similar
+    (then the least id) first, and ``item_id`` and ``similarity`` those of the
+    first one, null and 0 where there is none. A text without a filter of
+    LEAST_FEATURES features (about 64 to 230 bytes) says too little by its
+    digest: it is compared by the windows it has in common with the other.
+
+    What goes to every task is bounded by REFERENCE_ROWS and REFERENCE_BYTES: a
+    larger reference set is gone through in parts, a pass over the documents
+    each, and the matches of all parts are put together by row.
+
+    Null and short texts (under 64 bytes) have no features, an empty digest and
+    similarity 0; repeated rows are equal; rows without doc_id keep a null one;
+    an item that is null, or has no id, matches nothing, and one that repeats an
+    id with another text is another item of that id; an empty table gives no
+    rows; other columns are not looked at.
+    """
+    ranks = class_ranks(entropy_counts(docs))
+    parts = [_scored(docs, ranks, Reference.of(rows, ranks)) for rows in _parts(known)]
+    if len(parts) == 1:
+        return parts[0].drop("content")
+    # Digests are the same in each pass; the matches of all come together by doc_id and content.
+    found = reduce(DataFrame.union, [x.select(F.col("doc_id").alias("d"), F.col("content").alias("k"), "matches").where("size(matches) > 0") for x in parts])
+    better = lambda x, y: F.when(x["similarity"] > y["similarity"], -1).when(x["similarity"] < y["similarity"], 1).when(x["item_id"] < y["item_id"], -1).when(x["item_id"] > y["item_id"], 1).otherwise(0)
+    whole = materialise(found, "matches").groupBy("d", "k").agg(F.array_sort(F.flatten(F.collect_set("matches")), better).alias("found"))
+    base = _scored(docs, ranks, Reference.of([], ranks)).select("doc_id", "n_features", "n_filters", "digest", "content")
+    joined = base.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("k")), "left").withColumn("best", F.get("found", F.lit(0)))
+    return joined.select("doc_id", "n_features", "n_filters", "digest", F.col("best.item_id").alias("item_id"), F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"), F.coalesce("found", F.array().cast(_PART)).alias("matches"))

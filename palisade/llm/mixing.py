@@ -17,6 +17,8 @@ SEED = 11
 EPOCH_COSTS = (0, 1, 3, 6)
 #: Cost per token of a quota left unfilled: above any repetition.
 UNFILLED = 1_000
+#: Patterns up to which the driver holds and solves the flow; more raise an error rather than lose any.
+MAX_PATTERNS = 100_000
 #: Weight of a source is its tokens to this power, unless weights are given.
 TEMPER = 0.25
 
@@ -108,37 +110,22 @@ def mix(docs: DataFrame, memberships: list[tuple[str, str]] | None = None, weigh
     whose stretch of tokens it starts; so a quota is met to within one document
     a pattern, and ``copy`` counts from 1.
 
-    The driver sees one row per pattern and per cut; documents are never
+    The driver sees one row per pattern (MAX_PATTERNS at most) and per cut; documents are never
     gathered or sorted as a whole: exact cut points come from a histogram of
     hash ranges and a sort of the ranges a cut falls in. The cut table is
     joined by pattern, broadcast only when small.
 
     A null column is no membership; documents of no source with a weight are
     not chosen, as no quota takes them. Null and blank texts have no tokens and
-    go where they fall. Rows that share a doc_id (or have none) share their
-    hash and their fate. Quotas beyond what all passes supply stay unfilled.
+    go where they fall. Other columns, whatever their names, pass through. Rows that share a doc_id (or have none) share their
+    hash and their fate. Quotas beyond what all passes supply stay unfilled;
+    ``mixture_report`` says by how much.
     Empty tables give no rows. Columns named target, copy or tokens are kept
     and the new ones get a leading underscore.
     """
-    memberships = [("source", "source"), ("lang", "lang")] if memberships is None else memberships
-    have = {c.lower(): c for c in docs.columns}
-    member = [F.concat(F.lit(prefix + ":"), F.col(f"`{have[c.lower()]}`").cast("string")) for prefix, c in memberships if c.lower() in have]
-    text = F.col(f"`{have['text']}`") if "text" in have else F.lit(None).cast("string")
-    ident = F.col(f"`{have['doc_id']}`").cast("string") if "doc_id" in have else F.lit(None).cast("string")
-    pattern = F.to_json(F.array_sort(F.array_compact(F.array(*member)))) if member else F.lit("[]")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident, F.lit(""))))
-    tokens = F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
+    pattern, key, tokens = _keys(docs, memberships, seed)
     slim = materialise(docs.select(pattern.alias("pattern"), key.alias("key"), tokens.alias("tokens")), "tokens")
-
-    spark = docs.sparkSession
-    rows = slim.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()
-    capacity = {r.pattern: int(r.n) for r in rows}
-    members = {p: json.loads(p) for p in capacity}
-    supply: dict[str, int] = {}
-    for p, ms in members.items():
-        for m in ms:
-            supply[m] = supply.get(m, 0) + capacity[p]
-    quota = quotas_of(supply, round(sum(capacity.values()) * budget), weights)
+    capacity, members, _, quota = _demand(slim, weights, budget)
     routed = min_cost_flow(capacity, members, quota, costs)
 
     # Each pattern's routed tokens as consecutive stretches, cut at the ends of passes.
@@ -156,12 +143,54 @@ def mix(docs: DataFrame, memberships: list[tuple[str, str]] | None = None, weigh
     bounds = dict(_cut_keys(slim, cuts)) if cuts else {}
     low, high = "", "g"  # below and above every hash
     parts = [(p, q, k, bounds.get((p, a), low), bounds.get((p, b), high if b == capacity[p] else low)) for p, q, k, a, b in stretches]
-    table = spark.createDataFrame([x for x in parts if x[3] < x[4]], schema(("__pattern", T.StringType()), ("__target", T.StringType()), ("__copy", T.IntegerType()), ("__lo", T.StringType()), ("__hi", T.StringType())))
+    own_pattern, own_key, own_tokens, p_, q_, k_, lo, hi = (fresh(docs, n) for n in ("own_pattern", "own_key", "own_tokens", "cut_pattern", "cut_target", "cut_copy", "cut_lo", "cut_hi"))
+    table = docs.sparkSession.createDataFrame([x for x in parts if x[3] < x[4]], schema((p_, T.StringType()), (q_, T.StringType()), (k_, T.IntegerType()), (lo, T.StringType()), (hi, T.StringType())))
     if len(parts) <= INLINE_ROWS:
         table = F.broadcast(table)
-    keyed = docs.withColumns({"__p": pattern, "__k": key, "__n": tokens})
-    chosen = keyed.join(table, (F.col("__p") == F.col("__pattern")) & (F.col("__k") >= F.col("__lo")) & (F.col("__k") < F.col("__hi")))
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__target").alias(fresh(docs, "target")), F.col("__copy").alias(fresh(docs, "copy")), F.col("__n").alias(fresh(docs, "tokens")))
+    keyed = docs.withColumns({own_pattern: pattern, own_key: key, own_tokens: tokens})
+    chosen = keyed.join(table, (F.col(own_pattern) == F.col(p_)) & (F.col(own_key) >= F.col(lo)) & (F.col(own_key) < F.col(hi)))
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(q_).alias(fresh(docs, "target")), F.col(k_).alias(fresh(docs, "copy")), F.col(own_tokens).alias(fresh(docs, "tokens")))
+
+
+def _keys(docs: DataFrame, memberships: list[tuple[str, str]] | None, seed: int) -> tuple[F.Column, F.Column, F.Column]:
+    """Pattern (JSON list of the sources a row is in), seeded hash and tokens of each row."""
+    memberships = [("source", "source"), ("lang", "lang")] if memberships is None else memberships
+    have = {c.lower(): c for c in docs.columns}
+    member = [F.concat(F.lit(prefix + ":"), F.col(f"`{have[c.lower()]}`").cast("string")) for prefix, c in memberships if c.lower() in have]
+    text = F.col(f"`{have['text']}`") if "text" in have else F.lit(None).cast("string")
+    ident = F.col(f"`{have['doc_id']}`").cast("string") if "doc_id" in have else F.lit(None).cast("string")
+    pattern = F.to_json(F.array_sort(F.array_distinct(F.array_compact(F.array(*member))))) if member else F.lit("[]")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident, F.lit(""))))
+    return pattern, key, F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
+
+
+def _demand(slim: DataFrame, weights: dict[str, float] | None, budget: float) -> tuple[dict[str, int], dict[str, list[str]], dict[str, int], dict[str, int]]:
+    """Tokens and sources of each pattern, tokens and quota of each source."""
+    rows = slim.groupBy("pattern").agg(F.sum("tokens").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: mix by coarser sources")
+    capacity = {r.pattern: int(r.n) for r in rows}
+    members = {p: json.loads(p) for p in capacity}
+    supply: dict[str, int] = {}
+    for p, ms in members.items():
+        for m in ms:
+            supply[m] = supply.get(m, 0) + capacity[p]
+    return capacity, members, supply, quotas_of(supply, round(sum(capacity.values()) * budget), weights)
+
+
+def mixture_report(docs: DataFrame, memberships: list[tuple[str, str]] | None = None, weights: dict[str, float] | None = None, budget: float = 1.0, costs: tuple[int, ...] = EPOCH_COSTS, seed: int = SEED) -> DataFrame:
+    """(source, supply, quota, routed, unfilled) of every source with a quota, as ``mix``
+    routes them: ``unfilled`` tokens are beyond what ``len(costs)`` passes supply.
+
+    Rows are as in ``mix``: nulls are no membership and an empty table has no sources.
+    """
+    pattern, key, tokens = _keys(docs, memberships, seed)
+    capacity, members, supply, quota = _demand(docs.select(pattern.alias("pattern"), tokens.alias("tokens")), weights, budget)
+    got: dict[str, int] = {}
+    for (_, q), n in min_cost_flow(capacity, members, quota, costs).items():
+        got[q] = got.get(q, 0) + n
+    rows = [(q, supply.get(q, 0), n, got.get(q, 0), n - got.get(q, 0)) for q, n in sorted(quota.items())]
+    return docs.sparkSession.createDataFrame(rows, "source string, supply bigint, quota bigint, routed bigint, unfilled bigint")
 
 
 def _cut_keys(slim: DataFrame, cuts: list[tuple[str, int]]) -> list[tuple[tuple[str, int], str]]:

@@ -7,6 +7,7 @@ colliding signatures and connected components by large-star and small-star.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from palisade.llm import textvec as tv
-from palisade.llm.common import materialise, pick, schema
+from palisade.llm.buckets import split_by_rare_tokens
+from palisade.llm.common import fresh, materialise, pick, schema
 from palisade.llm.components import connected_components
 
 SHINGLE = 3
@@ -24,6 +26,8 @@ FUNCTIONS = 128
 BANDS = 32
 THRESHOLD = 0.5
 SEED = 20250601
+#: Nodes not settled by their bucket's hub from which the bucket is split by rare minima.
+HOT = 1_000
 
 _SIGNATURE = schema(("doc_id", T.LongType()), ("sig_hash", T.LongType()), ("signature", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))
 
@@ -78,6 +82,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").where(agreement("su", "sv") >= threshold).select("u", "v")
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _minima(signatures: pa.Array) -> pa.Array:
+    """One hash for each minimum of a signature and its place."""
+    if not len(signatures):
+        return pa.array([], pa.list_(pa.int64()))
+    m = np.frombuffer(b"".join(signatures.to_pylist()), np.uint32).reshape(len(signatures), -1).astype(np.uint64)
+    h = tv.mix(m + (np.arange(m.shape[1], dtype=np.uint64) << np.uint64(32))[None, :]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(h.ravel()))
+
+
+def _split(open_: DataFrame, mates: DataFrame, signed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``open_`` and ``mates`` (key, node) with the buckets of HOT open nodes or more in smaller
+    ones. Signatures that agree in a share t of their n minima have t*n in common, so each
+    pair shares one of either's n - t*n + 1 rarest."""
+    hot = materialise(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("key"), "hot")
+    if hot.isEmpty():
+        return open_, mates
+    members = mates.join(hot, "key", "left_semi").join(signed, "node").select("key", F.col("node").alias("id"), _minima("signature").alias("tokens"))
+    subs = materialise(split_by_rare_tokens(members, F.lit(FUNCTIONS - ceil(threshold * FUNCTIONS) + 1)), "subs")
+    own = open_.join(subs.withColumnRenamed("id", "node"), ["key", "node"]).select(F.col("sub").alias("key"), "node")
+    return open_.join(hot, "key", "left_anti").union(own), mates.join(hot, "key", "left_anti").union(subs.select(F.col("sub").alias("key"), F.col("id").alias("node")))
+
+
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id, kept) for every distinct doc_id of ``docs``.
 
@@ -88,7 +115,9 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> Data
     Every pair of every bucket is decided: equal signatures collapse to one
     node; a bucket's nodes are compared with its hub (the node met in most
     buckets); pairs not settled by a common component are then compared one by
-    one. No bucket is capped or skipped.
+    one, in buckets with HOT open nodes or more only those that have minima in
+    common which few there have: enough for all pairs that could agree in
+    ``threshold``. No bucket is capped or skipped.
 
     Rows without doc_id give no row here (``drop_near_duplicates`` keeps them).
     Null texts and texts without a letter or digit resemble nothing and stay.
@@ -117,10 +146,11 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> Data
     # What the stars leave open: nodes not verified against their bucket's hub, against
     # every bucket mate of another component.
     open_ = spokes.where("node <> hub").join(good, (F.col("node") == good.u) & (F.col("hub") == good.v), "left_anti").select("key", "node")
+    open_, mates = _split(materialise(open_, "open"), met.select("key", "node"), signed, threshold)
     part = F.coalesce("component", "node")
-    placed = met.select("key", "node").join(found, "node", "left").select("key", F.col("node").alias("v"), part.alias("cv"))
+    placed = mates.join(found, "node", "left").select("key", F.col("node").alias("v"), part.alias("cv"))
     loose = open_.join(found, "node", "left").select("key", F.col("node").alias("u"), part.alias("cu"))
-    rest = loose.join(placed, "key").where("u <> v AND cu <> cv").join(hubs, "key").where("v <> hub")
+    rest = loose.join(placed, "key").where("u <> v AND cu <> cv").join(hubs, "key", "left").where("hub IS NULL OR v <> hub")
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     more = materialise(_verified(rest, signed, threshold), "rest")
     if not more.isEmpty():
@@ -135,17 +165,20 @@ def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> Data
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents whose group keeps another one.
 
-    Columns are untouched. Rows without doc_id stay. Of rows that repeat a
-    doc_id one stays: the first by all columns, in their order.
+    Columns are untouched, whatever their names. Rows without doc_id stay. Of
+    rows that repeat a doc_id one stays: the first by all columns, in their order.
     """
     key = pick(docs, doc_id="doc_id")[0]
-    gone = near_duplicate_groups(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    stay = docs.join(gone, key == F.col("__gone"), "left_anti")
-    repeated = materialise(stay.select(key).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "repeats")
+    other, nth = fresh(docs, "other_id"), fresh(docs, "nth")
+    gone = near_duplicate_groups(docs, threshold).where("NOT kept").select(F.col("doc_id").alias(other))
+    stay = docs.join(gone, key == F.col(other), "left_anti")
+    # Whether a doc_id recurs is asked of the ids alone: the texts aren't needed for it.
+    ids = docs.select(key).where("doc_id IS NOT NULL")
+    repeated = materialise(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(other)), "repeats")
     if repeated.isEmpty():
         return stay
-    once = stay.join(repeated, key == F.col("__twice"), "left_anti")
-    several = stay.join(repeated, key == F.col("__twice"), "left_semi")
+    once = stay.join(repeated, key == F.col(other), "left_anti")
+    several = stay.join(repeated, key == F.col(other), "left_semi")
     order = Window.partitionBy(key).orderBy(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
-    first = several.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    first = several.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
     return once.unionByName(first)

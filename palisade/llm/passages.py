@@ -5,12 +5,14 @@ here is a stretch of WORDS words that starts at an anchor: a word whose
 following 3-gram has the least hash among REACH neighbours. Anchors depend on
 the local words alone, so a shared passage has the same ones wherever it stands.
 The text's own paragraphs count too: of each line, its first and its last WORDS
-words, or all of it where it has fewer.
+words, or all of it where it has fewer. What repeats is reported as stretches,
+as long as they go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +22,24 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from palisade.llm import textvec as tv
-from palisade.llm.common import materialise, pick, schema
+from palisade.llm.buckets import split_by_rare_tokens
+from palisade.llm.common import fresh, materialise, pick, release, schema
 from palisade.llm.components import connected_components
 
 #: Words of a paragraph, and of the shingles it is compared by.
 WORDS, SHINGLE = 20, 3
 #: Every REACH consecutive places have an anchor: a shared passage of
-#: WORDS + REACH - 1 words or more (31) has a paragraph in common.
-REACH = 12
-#: Paragraphs of fewer distinct shingles (a word over and over) say too little to be a passage.
-MIN_DISTINCT = 10
+#: WORDS + REACH - 1 words or more (30) has a paragraph in common.
+REACH = 11
+#: Words of a stretch that is reported. Shorter repeats are lines (licences, headings), which line dedup counts.
+MIN_WORDS = 30
 #: Exact Jaccard similarity of shingles from which two paragraphs are the same passage.
 THRESHOLD = 0.6
 RECALL, AT = 0.95, THRESHOLD
 #: Ranges of band hashes that are shuffled one after the other, so that only one's files stand at a time.
 PARTS = 3
+#: Contents of a bucket from which it is split by rare shingles.
+HOT = 512
 SEED = 4242
 
 
@@ -87,9 +92,10 @@ def _line_ends(c: tv.Chunk, w: tv.Words, first: np.ndarray, width: int) -> tuple
 
 
 class Paragraphs:
-    """The paragraphs of a chunk: word spans, row, distinct shingles and a content hash."""
+    """The paragraphs of a chunk with ``least`` words or more: byte and word spans, row,
+    shingles (sorted) and a content hash."""
 
-    def __init__(self, c: tv.Chunk) -> None:
+    def __init__(self, c: tv.Chunk, least: int = 0) -> None:
         w = tv.words(c)
         h, first = tv.shingles(w, SHINGLE)
         sizes = np.diff(first)
@@ -103,29 +109,29 @@ class Paragraphs:
         line_at, line_size = _line_ends(c, w, first, width)
         at, size = np.divmod(np.unique(np.concatenate([at, line_at]) * (width + 1) + np.concatenate([size, line_size])), width + 1)
         self.row = row[at]
+        words = np.minimum(size + SHINGLE - 1, w.counts()[self.row])
+        keep = np.flatnonzero(words >= least)
+        at, size, words, self.row = at[keep], size[keep], words[keep], self.row[keep]
         lanes = at[:, None] + np.minimum(np.arange(width)[None, :], size[:, None] - 1)
-        sets = np.sort(h[lanes], axis=1) if len(at) else np.zeros((0, width), np.uint64)
-        distinct = 1 + (sets[:, 1:] != sets[:, :-1]).sum(1) if len(at) else np.zeros(0, np.int64)
-        keep = np.flatnonzero(distinct >= MIN_DISTINCT)
-        self.sets, self.row = sets[keep], self.row[keep]
-        at, size = at[keep], size[keep]
-        start = w.first[self.row] + at - first[self.row]
+        self.sets = np.sort(h[lanes], axis=1) if len(at) else np.zeros((0, width), np.uint64)
+        self.word, self.words = at - first[self.row], words
+        start = w.first[self.row] + self.word
         self.start = w.start[start] - c.offsets[self.row]
-        self.end = w.end[np.minimum(start + size + SHINGLE - 2, w.first[self.row + 1] - 1)] - c.offsets[self.row]
+        self.end = w.end[start + words - 1] - c.offsets[self.row]
         again = np.zeros_like(self.sets, bool)
         again[:, 1:] = self.sets[:, 1:] == self.sets[:, :-1]
         self.content = tv.mix(np.where(again, np.uint64(0), tv.mix(self.sets)).sum(axis=1, dtype=np.uint64))
 
 
 _KEYS = schema(("content", T.LongType()), ("times", T.IntegerType()), ("lo", T.LongType()), ("hi", T.LongType()), ("keys", T.ArrayType(T.LongType())))
-_PLACES = schema(("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("c", T.LongType()))
+_PLACES = schema(("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("w", T.IntegerType()), ("w_end", T.IntegerType()), ("c", T.LongType()))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*pick(docs, doc_id="doc_id", text="text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def contents(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def contents(docs: DataFrame, bands: int, rows: int, least: int = WORDS) -> DataFrame:
     """(content, times, lo, hi, keys): the distinct paragraphs of each batch of
     documents, how often they occur there, their least and greatest doc_id, and
     their band hashes. Equal ones collapse before any shuffle."""
@@ -137,7 +143,7 @@ def contents(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             parts = []
             for c in tv.chunks(batch.column(1)):
-                p = Paragraphs(c)
+                p = Paragraphs(c, least)
                 key = np.empty((len(p.row), bands), np.uint64)
                 for band in range(bands):
                     k = np.full(len(p.row), salt[band])
@@ -159,15 +165,23 @@ def contents(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, _KEYS)
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, c): every paragraph; start and end are byte offsets in the text's UTF-8."""
+def places(docs: DataFrame, least: int = WORDS) -> DataFrame:
+    """(doc_id, start, end, w, w_end, c): every paragraph; start and end are byte offsets in
+    the text's UTF-8, w and w_end count its words. Equal ones that overlap (a word over
+    and over) are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tv.chunks(batch.column(1)):
-                p = Paragraphs(c)
-                ids = batch.column(0).slice(c.first, c.rows).take(pa.array(p.row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(p.start.astype(np.int32)), pa.array(p.end.astype(np.int32)), pa.array(p.content.view(np.int64))], names=_PLACES.names)
+                p = Paragraphs(c, least)
+                w_end = p.word + p.words
+                new = np.ones(len(p.row), bool)
+                new[1:] = (p.content[1:] != p.content[:-1]) | (p.row[1:] != p.row[:-1]) | (p.word[1:] > w_end[:-1])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(new)) - 1 if len(first) else first
+                ids = batch.column(0).slice(c.first, c.rows).take(pa.array(p.row[first]))
+                spans = [pa.array(x.astype(np.int32)) for x in (p.start[first], p.end[last], p.word[first], w_end[last])]
+                yield pa.RecordBatch.from_arrays([ids, *spans, pa.array(p.content[first].view(np.int64))], names=_PLACES.names)
 
     return _texts(docs).mapInArrow(run, _PLACES)
 
@@ -176,13 +190,13 @@ def places(docs: DataFrame) -> DataFrame:
 #: a passage's first anchor, or behind its last whole paragraph.
 GROWTH = REACH + SHINGLE
 _SIDE = [(f"{side}{kind}", T.ArrayType(T.IntegerType())) for side in ("left", "right") for kind in ("", "_at")]
-_AROUND = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), *_SIDE)
+_AROUND = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("doc_id", T.LongType()), *((n, T.IntegerType()) for n in ("start", "end", "w", "w_end")), *_SIDE)
 
 
 def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` (passage, content, removed, doc_id, start, end) with, per side, the hashes of up to GROWTH
+    """``found`` (passage, content, removed, doc_id, start, end, w, w_end) with, per side, the hashes of up to GROWTH
     words next to it, nearest first, and the offsets it would reach to with each of them."""
-    lists = found.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("passage", "content", "removed", "start", "end")).alias("spans"))
+    lists = found.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("passage", "content", "removed", "start", "end", "w", "w_end")).alias("spans"))
     texts = _texts(docs)
     rows = texts.join(lists, texts.doc_id == lists.w_id).select("doc_id", "text", "spans")
 
@@ -192,14 +206,14 @@ def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
                 w = tv.words(c)
                 own = batch.column(2).slice(c.first, c.rows)
                 row = np.repeat(np.arange(c.rows), own.value_lengths().to_numpy(zero_copy_only=False))
-                passage, content, removed, start, end = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
+                passage, content, removed, start, end, word, word_end = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
                 # A row that repeats a doc_id with another text may not have the span.
                 a, b = np.searchsorted(w.start, c.offsets[row] + start), np.searchsorted(w.end, c.offsets[row] + end)
                 last = len(w.start) - 1
                 here = np.flatnonzero((w.first[row] <= a) & (b < w.first[row + 1]) & (w.start[np.minimum(a, last)] == c.offsets[row] + start) & (w.end[np.minimum(b, last)] == c.offsets[row] + end))
-                passage, content, removed, start, end, row, a, b = (x[here] for x in (passage, content, removed, start, end, row, a, b))
+                passage, content, removed, start, end, word, word_end, row, a, b = (x[here] for x in (passage, content, removed, start, end, word, word_end, row, a, b))
                 ids = batch.column(0).slice(c.first, c.rows).take(pa.array(row))
-                columns = [pa.array(passage), pa.array(content), pa.array(removed.astype(bool)), ids, pa.array(start), pa.array(end)]
+                columns = [pa.array(passage), pa.array(content), pa.array(removed.astype(bool)), ids, *(pa.array(x) for x in (start, end, word, word_end))]
                 steps = np.arange(1, GROWTH + 1)
                 for at, edge in ((a[:, None] - steps, w.start), (b[:, None] + steps, w.end)):
                     there = (at >= w.first[row][:, None]) & (at < w.first[row + 1][:, None])
@@ -213,7 +227,7 @@ def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """``found`` (passage, content, doc_id, start, end) with ``removed``; passages of one document go.
+    """``found`` (passage, content, doc_id, start, end, w, w_end) with ``removed``; passages of one document go.
 
     Paragraphs of a passage that overlap in a document are one occurrence of it,
     so that none is removed for being like its neighbour.
@@ -223,7 +237,7 @@ def _occurrences(found: DataFrame) -> DataFrame:
     begins = F.max(F.when(F.col("new"), F.col("start"))).over(w)
     islands = found.withColumn("new", new).withColumn("begins", begins).drop("new")
     firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("first")).where("first.doc_id < hi")
-    return islands.join(firsts, "passage").select("passage", "content", (F.col("first") != F.struct("doc_id", F.col("begins").alias("start"))).alias("removed"), "doc_id", "start", "end")
+    return islands.join(firsts, "passage").select("passage", "content", (F.col("first") != F.struct("doc_id", F.col("begins").alias("start"))).alias("removed"), "doc_id", "start", "end", "w", "w_end")
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -244,7 +258,7 @@ def _edges(found: DataFrame) -> DataFrame:
 
 
 def _grown(found: DataFrame) -> DataFrame:
-    """(passage, doc_id, start, end, removed) of ``found`` with its surroundings.
+    """(passage, doc_id, start, end, w, w_end, removed) of ``found`` with its surroundings.
 
     A removed paragraph grows over the words it has in common with the first
     document that has the very same paragraph; one that stays grows as far as
@@ -255,25 +269,27 @@ def _grown(found: DataFrame) -> DataFrame:
     common = lambda side: f"zip_with({side}, first.{side}, (x, y) -> coalesce(x = y, false))"
     length = lambda side: F.expr(f"CASE WHEN doc_id = first.doc_id THEN 0 WHEN array_position({common(side)}, false) = 0 THEN size({common(side)}) ELSE array_position({common(side)}, false) - 1 END").cast("int")
     is_first = F.struct("first.doc_id", "first.start", "first.end") == F.struct("doc_id", "start", "end")
-    met = found.join(firsts, "content").select("passage", "content", "doc_id", "start", "end", "left_at", "right_at", length("left").alias("l"), length("right").alias("r"), "removed", is_first.alias("is_first"))
+    met = found.join(firsts, "content").select("passage", "content", "doc_id", "start", "end", "w", "w_end", "left_at", "right_at", length("left").alias("l"), length("right").alias("r"), "removed", is_first.alias("is_first"))
     most = met.groupBy("content").agg(F.max("l").alias("most_l"), F.max("r").alias("most_r"))
     grows = "is_first AND NOT removed"
     sized = met.join(most, "content").withColumns({"l": F.expr(f"if({grows}, most_l, l)"), "r": F.expr(f"if({grows}, most_r, r)")})
-    return sized.select("passage", "doc_id", F.expr("if(l > 0, left_at[l - 1], start)").alias("start"), F.expr("if(r > 0, right_at[r - 1], end)").alias("end"), "removed")
+    return sized.select("passage", "doc_id", F.expr("if(l > 0, left_at[l - 1], start)").alias("start"), F.expr("if(r > 0, right_at[r - 1], end)").alias("end"), F.expr("w - l").alias("w"), F.expr("w_end + r").alias("w_end"), "removed")
 
 
-def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of a passage in a document, as long as all or none are removed, as one."""
-    w = Window.partitionBy("passage", "doc_id", "removed").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(0)))
-    return marked.withColumn("island", F.sum("new").over(w)).groupBy("passage", "doc_id", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("passage", "doc_id", "start", "end", "removed")
+def _stretches(spans: DataFrame, min_words: int) -> DataFrame:
+    """The spans of a document that touch, as long as all or none are removed, as one;
+    those of ``min_words`` or more, with the passages they are of."""
+    w = Window.partitionBy("doc_id", "removed").orderBy("w", "w_end")
+    before = F.max("w_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.coalesce((F.col("w") > before).cast("int"), F.lit(0)))
+    whole = marked.withColumn("island", F.sum("new").over(w)).groupBy("doc_id", "removed", "island").agg(F.array_sort(F.collect_set("passage")).alias("passages"), *[f(c).alias(c) for c, f in (("start", F.min), ("end", F.max), ("w", F.min), ("w_end", F.max))])
+    return whole.where(F.col("w_end") - F.col("w") >= min_words).select("doc_id", "start", "end", (F.col("w_end") - F.col("w")).alias("words"), "removed", "passages")
 
 
 _SETS = schema(("content", T.LongType()), ("shingles", T.BinaryType()))
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, least: int = WORDS) -> DataFrame:
     """(content, shingles) of the wanted (doc_id, content): texts of those documents are read once more."""
     lists = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set("content").alias("contents"))
     slim = docs.select(*pick(docs, doc_id="doc_id", text="text")).where("text IS NOT NULL")
@@ -283,7 +299,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             contents = batch.column(1)
             for c in tv.chunks(batch.column(0)):
-                p = Paragraphs(c)
+                p = Paragraphs(c, least)
                 own = contents.slice(c.first, c.rows)
                 asked = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 asked_row = np.repeat(np.arange(c.rows), own.value_lengths().to_numpy(zero_copy_only=False))
@@ -304,15 +320,21 @@ def _jaccard(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return common / (len(base) + fresh.sum(1) - common)
 
 
-def _bucket_links(ids: np.ndarray, sets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def _bucket_links(ids: np.ndarray, owner: np.ndarray, sets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Spanning links of one bucket's contents: every pair is compared unless
-    links found before already join it."""
+    links found before already join it.
+
+    ``owner`` is the one document a content is of, -1 where it is of several. Two
+    contents of one document alone aren't linked: they are alike for overlapping,
+    and a chain of such would lead out of what repeats.
+    """
     out, rest = [], np.arange(len(ids))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
             near = _jaccard(sets[x], sets[rest]) >= threshold
+            near &= (owner[rest] != owner[x]) | (owner[x] < 0)
             out += [(ids[y], ids[x]) for y in rest[near]]
             queue += rest[near].tolist()
             rest = rest[~near]
@@ -325,10 +347,10 @@ def _links(threshold: float):
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        key, ids = t.column("key").to_numpy(), t.column("content").to_numpy()
+        key, ids, owner = (t.column(n).to_numpy() for n in ("key", "content", "owner"))
         sets = np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint64).reshape(len(ids), -1)
         edges = np.flatnonzero(np.diff(key)) + 1
-        out = [link for a, b in zip([0, *edges], [*edges, len(key)]) for link in _bucket_links(ids[a:b], sets[a:b], threshold)]
+        out = [link for a, b in zip([0, *edges], [*edges, len(key)]) for link in _bucket_links(ids[a:b], owner[a:b], sets[a:b], threshold)]
         u, v = zip(*out) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -352,48 +374,126 @@ def _links(threshold: float):
     return run
 
 
-def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(passage, doc_id, start, end, removed): each occurrence of each repeated passage.
-
-    A passage is a component of paragraphs that share a band and whose shingle
-    sets have an exact Jaccard similarity of ``threshold`` or more, occurring in
-    at least two documents. ``start`` and ``end`` are byte offsets into the
-    text's UTF-8; each occurrence grows over the words next to it that it has in
-    common with the first one of the same paragraph, and what overlaps of a
-    passage in a document is one. All occurrences but the first (least doc_id,
-    then start) are ``removed``. Bands are tuned for a recall of 0.95 at that
-    similarity; equal paragraphs always collide, so any unchanged passage of 31
-    words or more is found wherever it stands, and any unchanged line of 12.
-    Buckets are not capped: equal contents collapse first, and within a bucket a
-    content already joined to another needs no further comparison, so a hot
-    passage costs about one comparison per variant.
-
-    Null and empty texts, and rows without doc_id, have no passages; a text of
-    fewer than 12 words has no paragraph; repeats inside one document, and rows
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _distinct(shingles: pa.Array) -> pa.Array:
+    """The distinct shingles of each set (sorted, in bytes)."""
+    if not len(shingles):
+        return pa.array([], pa.list_(pa.int64()))
+    sets = np.frombuffer(b"".join(shingles.to_pylist()), np.uint64).reshape(len(shingles), -1)
+    new = np.ones(sets.shape, bool)
+    new[:, 1:] = sets[:, 1:] != sets[:, :-1]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(1))]).astype(np.int32)), pa.array(sets[new].view(np.int64)))
+
+
+def _split(buckets: DataFrame, threshold: float) -> DataFrame:
+    """``buckets`` (key, content, times, owner, shingles), those of HOT contents or more split by rare shingles.
+
+    Sets with a Jaccard similarity of t have t of either's shingles in common,
+    so no pair is lost, and no bucket is compared pair by pair as a whole.
+    """
+    sizes = buckets.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("key")
+    hot = materialise(sizes, "hot")
+    if hot.isEmpty():
+        return buckets
+    large = materialise(buckets.join(hot, "key", "left_semi"), "large")
+    members = large.select("key", F.col("content").alias("id"), _distinct("shingles").alias("tokens"))
+    keep = F.size("tokens") - F.ceil(F.size("tokens") * threshold - 1e-9).cast("int") + 1
+    subs = split_by_rare_tokens(members, keep).select(F.col("key").alias("k"), F.col("id").alias("c"), "sub")
+    parts = large.join(subs, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c"))).select(F.col("sub").alias("key"), "content", "times", "owner", "shingles")
+    return buckets.join(hot, "key", "left_anti").unionByName(parts)
+
+
+def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start, end, words, removed, passages): the repeated stretches of each document.
+
+    Paragraphs that share a band and whose shingle sets have an exact Jaccard
+    similarity of ``threshold`` or more are one passage, and so are the
+    components of such pairs, but for pairs of one document alone; it repeats if
+    it is in two documents at least.
+    Each occurrence grows over the words next to it that it has in common with
+    the first one of the same paragraph. All occurrences but the first (least
+    doc_id, then start) are removed. What touches in a document, removed or not
+    as it is, is one stretch; stretches of ``min_words`` or more are reported,
+    with their byte offsets in the text's UTF-8. Stretches of different documents
+    that are alike have members of ``passages`` in common.
+
+    Bands are tuned for a recall of 0.95 at that similarity; equal paragraphs
+    always collide, so any unchanged passage of 30 words or more is found
+    wherever it stands, and with a lower ``min_words`` any unchanged line of so
+    many words (3 at least). Buckets are not capped: equal contents collapse
+    first, a content already joined to another needs no further comparison, and
+    buckets of many contents are split by their rare shingles.
+
+    Null and empty texts, and rows without doc_id, have no passages; a word over
+    and over is a passage like any other; repeats inside one document, and rows
     that repeat a doc_id, count as one document; an empty table gives no rows;
     other columns are not looked at.
     """
-    bands, rows = tune_bands()
+    bands, rows = tune_bands(threshold)
+    least = min(min_words, WORDS)
     # One shuffle by bucket. A passage that half the corpus has is one row a batch.
-    keyed = contents(docs, bands, rows).select("content", "times", "lo", "hi", F.explode("keys").alias("key"))
+    keyed = contents(docs, bands, rows, least).select("content", "times", "lo", "hi", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
-    met = None
+    ready = []
     for part in range(PARTS):
         own = keyed.where(F.pmod("key", F.lit(PARTS)) == part)
-        spread = own.select("key", "content", "times", "lo", F.min("lo").over(w).alias("first"), F.max("hi").over(w).alias("last"), (F.min("content").over(w) < F.max("content").over(w)).alias("several"))
-        ready = materialise(spread.where("first < last").select("key", "content", "times", "lo", "several"), "paragraphs")
-        met = ready if met is None else met.union(ready)
+        spread = own.select("key", "content", "times", "lo", "hi", F.min("lo").over(w).alias("first"), F.max("hi").over(w).alias("last"), (F.min("content").over(w) < F.max("content").over(w)).alias("several"))
+        ready.append(materialise(spread.where("first < last").select("key", "content", "times", "lo", "hi", "several"), "paragraphs"))
+    met = reduce(DataFrame.union, ready)
 
-    unlike = met.where("several").groupBy("key", "content").agg(F.sum("times").alias("times"), F.min("lo").alias("doc_id"))
+    unlike = met.where("several").groupBy("key", "content").agg(F.sum("times").alias("times"), F.min("lo").alias("doc_id"), F.max("hi").alias("hi"))
+    owner = F.when(F.col("doc_id") == F.col("hi"), F.col("doc_id")).otherwise(-1).alias("owner")
     wanted = unlike.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    sets = _shingle_sets(docs, wanted)
-    buckets = unlike.join(sets, "content").select("key", "content", "times", "shingles").repartition("key").sortWithinPartitions("key", F.desc("times"), "content")
-    links = buckets.mapInArrow(_links(threshold), "u bigint, v bigint")
-    parts = connected_components(links)
+    sets = _shingle_sets(docs, wanted, least)
+    buckets = materialise(unlike.join(sets, "content").select("key", "content", "times", owner, "shingles"), "buckets")
+    sorted_ = _split(buckets, threshold).repartition("key").sortWithinPartitions("key", F.desc("times"), "content")
+    parts = connected_components(sorted_.mapInArrow(_links(threshold), "u bigint, v bigint"))
+    release(buckets)
 
     # The places of the contents that met another document, from a second reading.
     repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
-    found = places(docs).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end").distinct()
+    found = places(docs, least).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end", "w", "w_end").distinct()
     found = materialise(_occurrences(found), "found")
+    for x in ready:
+        release(x)
     grown = _grown(materialise(surroundings(docs, _edges(found)), "places"))
-    return _merged(found.select("passage", "doc_id", "start", "end", "removed").union(grown))
+    return _stretches(found.select("passage", "doc_id", "start", "end", "w", "w_end", "removed").union(grown), min_words)
+
+
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, cuts in zip(texts.to_pylist(), spans.to_pylist()):
+        if text is not None and cuts:
+            data, kept, at = text.encode(), [], 0
+            for cut in sorted(cuts, key=lambda x: (x["start"], x["end"])):
+                kept.append(data[at : max(at, cut["start"])])
+                at = max(at, cut["end"])
+            text = b"".join([*kept, data[at:]]).decode("utf-8", "replace")
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def remove_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the removed stretches of ``repeated_passages`` cut out of ``text``.
+
+    The first document of a passage keeps it. Columns stay as they are, whatever
+    their names, but ``n_chars``, where there is one, follows the new text. Null
+    texts, and rows without doc_id, stay whole; so do rows that repeat a doc_id
+    with another text, as offsets would not say which is meant (rows that repeat
+    it with the same text are cut alike). An empty table stays empty.
+    """
+    text = next((c for c in docs.columns if c.lower() == "text"), None)
+    if text is None:
+        return docs
+    slim = _texts(docs).select("doc_id", F.xxhash64("text").alias("h"))
+    unsure = slim.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
+    gone = repeated_passages(docs, threshold, min_words).where("removed").join(unsure, "doc_id", "left_anti")
+    owner, cuts = fresh(docs, "cut_id"), fresh(docs, "cuts")
+    lists = gone.groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    out = docs.join(materialise(lists, "cuts"), pick(docs, doc_id="doc_id")[0] == F.col(owner), "left")
+    # Only rows with something to cut go through Python.
+    new = F.when(F.col(cuts).isNull(), F.col(f"`{text}`")).otherwise(_without(F.when(F.col(cuts).isNotNull(), F.col(f"`{text}`")), F.col(cuts)))
+    out = out.withColumn(text, new).drop(owner, cuts)
+    chars = next((c for c in docs.columns if c.lower() == "n_chars"), None)
+    return out.withColumn(chars, F.length(f"`{text}`").cast(docs.schema[chars].dataType)) if chars else out

@@ -23,8 +23,9 @@ from palisade.llm import textvec as tv
 from palisade.llm.common import fresh
 
 MARK = "▁"  # how a space is written in pieces
-#: Encodings of words kept by a task; the memory is emptied when it is full.
-WORDS_KEPT = 400_000
+#: Encodings of words, and pairs of pieces, kept by a task; each memory is emptied when it is
+#: full. Words of more characters than LONGEST aren't kept, which bounds the bytes.
+WORDS_KEPT, PAIRS_KEPT, LONGEST = 400_000, 400_000, 40
 #: Ids decoded at a time, which bounds the memory for long texts.
 BLOCK = 1 << 16
 
@@ -114,6 +115,8 @@ class PrefixTable:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a, b next to each other stay a, b; remembered in ``pairs``."""
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
         found = self.pairs[a << 20 | b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return found
 
@@ -163,20 +166,74 @@ class PrefixTable:
         if newline:
             tail = b"".join(array("i", [self.byte_ids[10], *self.encode_line(x)]).tobytes() for x in rest.split("\n"))
             return (self.words.get(head) or self.word(head)) + tail
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        found = self.words[w] = array("i", self.encode_any(MARK + w)).tobytes()
+        found = array("i", self.encode_any(MARK + w)).tobytes()
+        if len(w) <= LONGEST:
+            if len(self.words) >= WORDS_KEPT:
+                self.words.clear()
+            self.words[w] = found
         return found
 
     def encode_line(self, x: str) -> list[int]:
         """A line's start up to the first space, kept like a word."""
         found = self.lines.get(x)
         if found is None:
-            if len(self.lines) >= WORDS_KEPT:
-                self.lines.clear()
-            found = self.lines[x] = self.encode_any(x)
+            found = self.encode_any(x)
+            if len(x) <= LONGEST:
+                if len(self.lines) >= WORDS_KEPT:
+                    self.lines.clear()
+                self.lines[x] = found
         return found
 
+    def encode_chunk(self, c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per row) of many texts: their units, a word after a space or the start of
+        a line, are told apart by hash, and each different one is encoded once."""
+        buf, offsets = c.buf, c.offsets
+        odd = self._odd_rows(c)
+        row_of = np.repeat(np.arange(c.rows), c.lengths)
+        plain = ~odd & (c.lengths > 0)
+        breaks = np.flatnonzero(((buf == 32) | (buf == 10)) & plain[row_of])
+        # A unit that ends a row in a break is empty and starts where the next row does: it comes first.
+        start = np.concatenate([breaks + 1, offsets[:-1][plain]])
+        row = np.concatenate([row_of[breaks], np.flatnonzero(plain)])
+        line = np.concatenate([buf[breaks] == 10, np.zeros(int(plain.sum()), bool)])
+        order = np.argsort(start, kind="stable")
+        start, row, line = start[order], row[order], line[order]
+        end = np.sort(np.concatenate([breaks, offsets[1:][plain]]))
+        h = tv.span_hashes(buf, start, end)
+        h[line] = tv.mix(h[line] + np.uint64(1))
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        newline = array("i", [self.byte_ids[10]]).tobytes()
+        units = []
+        for a, b, starts_line in zip(start[first].tolist(), end[first].tolist(), line[first].tolist()):
+            unit = buf[a:b].tobytes().decode()
+            units.append(newline + array("i", self.encode_line(unit)).tobytes() if starts_line else self.words.get(unit) or self.word(unit))
+        size = np.array([len(u) // 4 for u in units], np.int64)
+        pool = np.frombuffer(b"".join(units), np.int32)
+        sizes = size[which] if len(which) else np.zeros(0, np.int64)
+        at = np.arange(int(sizes.sum())) + np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(sizes) - sizes), sizes)
+        ids, per_row = pool[at], np.bincount(row, sizes, c.rows).astype(np.int64)
+        if odd.any():
+            each = [np.frombuffer(self.encode(buf[offsets[r] : offsets[r + 1]].tobytes().decode()), np.int32) for r in np.flatnonzero(odd)]
+            per_row[odd] = [len(x) for x in each]
+            whole = np.empty(int(per_row.sum()), np.int32)
+            mask = np.repeat(odd, per_row)
+            whole[~mask], whole[mask] = ids, np.concatenate(each)
+            ids = whole
+        return ids, per_row
+
+    def _odd_rows(self, c: tv.Chunk) -> np.ndarray:
+        """Rows with spaces side by side or at an end, or with the mark itself."""
+        buf, odd = c.buf, np.zeros(c.rows, bool)
+        space = buf == 32
+        row_of = np.searchsorted(c.offsets, np.flatnonzero(space), "right") - 1
+        at = np.flatnonzero(space)
+        twice = np.zeros(len(at), bool)
+        twice[1:] = at[1:] == at[:-1] + 1
+        odd[row_of[twice | (at == c.offsets[row_of]) | (at == c.offsets[row_of + 1] - 1)]] = True
+        marks = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81)) if len(buf) > 2 else np.zeros(0, np.int64)
+        odd[np.searchsorted(c.offsets, marks, "right") - 1] = True
+        return odd
+
     def encode(self, text: str) -> bytes:
         """int32 ids of a whole text."""
         if not text:
@@ -261,21 +318,20 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
         try:
             for batch in batches:
                 column = batch.column(text) if text is not None else pa.nulls(batch.num_rows, pa.string())
-                for c in tv.chunks(column, 1 << 20):
+                for c in tv.chunks(column):
                     own = column.slice(c.first, c.rows)
-                    parts = [table.encode(t) if t else b"" for t in own.to_pylist()]
-                    sizes = np.array([len(p) // 4 for p in parts], np.int32)
+                    ids, sizes = table.encode_chunk(c)
                     offsets = np.concatenate([[0], np.cumsum(sizes)])
-                    ids = np.frombuffer(b"".join(parts), np.int32)
                     data, at = decoder.decode(ids, offsets)
                     none = own.is_null()
                     texts = pa.Array.from_buffers(pa.string(), c.rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                    new = [pa.compute.if_else(none, None, x) for x in (lists, pa.array(sizes), texts)]
+                    new = [pa.compute.if_else(none, None, x) for x in (lists, pa.array(sizes.astype(np.int32)), texts)]
                     yield pa.RecordBatch.from_arrays([*(x.slice(c.first, c.rows) for x in batch.columns), *new], names=[*names, *added])
         finally:  # workers are reused: what a task remembers goes with it
             table.words.clear()
             table.lines.clear()
+            table.pairs.clear()
             pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, result)

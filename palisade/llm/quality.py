@@ -167,8 +167,8 @@ def scorer(forest: Forest):
 def fit(stats: DataFrame, labels: DataFrame, trees: int = TREES, sample: int = SAMPLE, max_good_loss: float = MAX_GOOD_LOSS) -> tuple[Forest | None, float]:
     """The forest, and the score from which a document is rejected.
 
-    The forest grows on the ``trees * sample`` documents of least seeded hash,
-    over the whole table. The threshold is the one, over all labelled rows, with
+    The forest grows on the ``trees * sample`` rows of least seeded hash (all, if
+    there are fewer), over the whole table. The threshold is the one, over all labelled rows, with
     the largest difference between the shares of bad and of good rows at or
     above it, among those that reject at most ``max_good_loss`` of the good
     ones; without labelled good rows, or where no threshold gains, nothing is
@@ -217,7 +217,11 @@ def drop_anomalous(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``quality_scores`` rejects; columns untouched.
 
     Statistics are computed again beside the text rather than joined to it: a
-    second reading costs less than a shuffle of all texts.
+    second reading costs less than a shuffle of all texts. Null and empty texts
+    are judged as ``quality_scores`` judges them; a score that ties with the
+    threshold is rejected; repeated rows go or stay alike; without labels all
+    stay; an empty table stays empty;
+    other columns, whatever their names, pass through.
     """
     forest, threshold = fit(materialise(rule_statistics(docs), "statistics"), labels)
     if forest is None or threshold > 1:

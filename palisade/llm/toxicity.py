@@ -1,7 +1,7 @@
 """Toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
-Features are densities of lexicons (a public list of insults, and word stems
-mined from labels), their nearness to second-person words, capitals,
+Features are densities of lexicons (a list of insults in four languages, and
+word stems mined from labels), their nearness to second-person words, capitals,
 punctuation and obfuscation.
 """
 
@@ -18,22 +18,30 @@ from pyspark.sql import types as T
 
 from palisade.llm import boosting
 from palisade.llm import textvec as tv
-from palisade.llm.common import least_hashed, materialise, pick, schema
+from palisade.llm.common import least_hashed, materialise, pick, release, schema
 
-#: Labelled rows the classifier is fitted on, at most: those of least seeded hash.
+#: Labelled documents the trees are fitted on, at most: those of least seeded hash. Stems
+#: are mined, and probabilities calibrated, over all.
 TRAIN_ROWS = 20_000
-#: One in so many of them calibrates and isn't trained on.
+#: One in so many labelled documents calibrates and isn't trained on.
 HELD_OUT = 5
 #: Probability from which a document counts as toxic.
 CUT = 0.5
 #: Evidence (2 * toxic documents * log of their over-representation) a mined stem needs, and over-representation itself.
 EVIDENCE, LIFT = 16.0, 8.0
-LEXICON_SIZE = 5_000
+#: Toxic documents a stem must be in: in fewer it is chance.
+LEAST_DOCS = 3
+#: Mined stems (8 bytes each) up to which they go to every task; more raise an error rather than lose any.
+MAX_STEMS = 4_000_000
+#: Labels up to which they are broadcast (16 bytes each) rather than joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Margins are told apart to so many parts of one in calibration.
+MARGIN_PARTS = 1_000
 STEMS = (3, 4, 5, 6, 7)  # characters of a stem; 0 stands for the whole word
 NEAR = 5
 SEED = 515
 
-INSULTS = "idiot idiots moron morons stupid pathetic worthless disgusting trash scum loser losers clown dumb imbecile ugly filthy garbage vermin parasite freak creep jerk bastard bitch crap shit fuck fucking asshole retard slut whore".split()
+INSULTS = "idiot idiots moron morons stupid pathetic worthless disgusting trash scum loser losers clown dumb imbecile ugly filthy garbage vermin parasite freak creep jerk bastard bitch crap shit fuck fucking asshole retard slut whore con connard connasse salope abruti abrutie crétin imbécile débile ordure idiota idiotas estúpido estúpida imbécil imbéciles basura cabrón cerdo asqueroso asquerosa dumm dummkopf trottel depp vollidiot abschaum arschloch schlampe widerlich".split()
 YOU = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch sie ihnen usted ustedes vosotros tú ti".split()
 FEATURES = ("mined_density", "mined_count", "insult_density", "insult_count", "near_you", "capitals", "exclamations", "questions", "punctuation", "mixed_words", "broken_words", "long_runs", "word_length", "words")
 
@@ -161,85 +169,104 @@ class Model:
         return boosting.calibrated(self.knots, self.trees.margins(x))
 
 
-_COUNTS = schema(("h", T.LongType()), ("fold", T.IntegerType()), ("toxic", T.LongType()), ("clean", T.LongType()))
+_COUNTS = schema(("h", T.LongType()), *((n, T.LongType()) for n in ("clean0", "clean1", "toxic0", "toxic1")))
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per stem hash and fold, the toxic and clean documents it is in."""
+    """Per stem hash, the clean and toxic documents of each fold it is in."""
     for batch in batches:
-        toxic, fold = (batch.column(i).to_numpy() for i in (1, 2))
+        toxic, fold = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2))
         for c in tv.chunks(batch.column(0)):
             w = tv.words(c)
             h = np.concatenate(stem_hashes(c, w))
             row = np.tile(w.row, len(STEMS) + 1)
-            key = np.unique(np.rec.fromarrays([h, row]))
-            h, row = key.f0, key.f1 + c.first
-            group = (toxic[row] * 2 + fold[row]).astype(np.int64)
-            order = np.lexsort((group, h))
+            # A stem counts once a document: distinct pairs by one hash of both.
+            _, once = np.unique(tv.mix(h + tv.mix(row.astype(np.uint64))), return_index=True)
+            h, group = h[once], (toxic * 2 + fold)[row[once] + c.first]
+            order = np.argsort(h)
             h, group = h[order], group[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([new, [len(h)]]))
-            g = group[new]
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array((g % 2).astype(np.int32)), pa.array(np.where(g > 1, n, 0)), pa.array(np.where(g > 1, 0, n))], names=_COUNTS.names)
+            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            counts = [pa.array(np.add.reduceat((group == g).astype(np.int64), new) if len(new) else new) for g in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), *counts], names=_COUNTS.names)
 
 
-def _mined(counts: list, folds: tuple[int, ...], sizes: dict[tuple[int, int], int]) -> Lexicon:
-    """Stems over-represented in toxic documents of ``folds``, by evidence."""
-    toxic_n, clean_n = (sum(sizes.get((t, f), 0) for f in folds) for t in (1, 0))
-    t = sum(np.array([r[2 * f + 1] for r in counts], float) for f in folds) if counts else np.zeros(0)
-    n = sum(np.array([r[2 * f + 2] for r in counts], float) for f in folds) if counts else np.zeros(0)
-    share = (t + n) / max(1, toxic_n + clean_n)
-    lift = ((t + 0.1) / (toxic_n + 1)) / ((n + 0.1) / (clean_n + 1)) if len(t) else t
-    evidence = 2 * t * np.log(np.maximum(t / np.maximum(share * toxic_n, 1e-9), 1e-9)) if len(t) else t
-    good = np.flatnonzero((evidence >= EVIDENCE) & (lift >= LIFT))
-    best = good[np.argsort(-evidence[good], kind="stable")][:LEXICON_SIZE]
-    return Lexicon(np.array([counts[i][0] for i in best], np.int64).view(np.uint64))
+def _mined(sums: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Lexicon]:
+    """Stems over-represented in toxic documents, by evidence: of fold 1, of fold 0, of both."""
+    passes = []
+    for folds in ((1,), (0,), (0, 1)):
+        toxic_n, clean_n = (float(sum(sizes.get((t, f), 0) for f in folds)) for t in (1, 0))
+        t, n = (sum((F.col(f"{kind}{f}") for f in folds), F.lit(0.0)) for kind in ("toxic", "clean"))
+        expected = (t + n) * toxic_n / max(1.0, toxic_n + clean_n)
+        lift = ((t + 0.1) / (toxic_n + 1)) / ((n + 0.1) / (clean_n + 1))
+        evidence = 2 * t * F.log(F.greatest(t, F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9)))
+        passes.append((evidence >= EVIDENCE) & (lift >= LIFT))
+    some = sums.where(f"toxic0 + toxic1 >= {LEAST_DOCS}").select("h", *[p.alias(f"in{i}") for i, p in enumerate(passes)]).where("in0 OR in1 OR in2")
+    rows = some.limit(MAX_STEMS + 1).collect()
+    if len(rows) > MAX_STEMS:
+        raise ValueError(f"more than {MAX_STEMS} stems: ask for more evidence")
+    return [Lexicon(np.array([r.h for r in rows if r[1 + i]], np.int64).view(np.uint64)) for i in range(3)]
 
 
-_ROWS = schema(("fold", T.IntegerType()), ("held", T.IntegerType()), ("toxic", T.LongType()), ("x", T.ArrayType(T.DoubleType())))
+_ROWS = schema(("place", T.LongType()), ("content", T.LongType()), ("toxic", T.LongType()), ("x", T.ArrayType(T.DoubleType())))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Lexicon, trees and calibration from a bounded sample of labelled rows.
+    """Lexicon, trees and calibration from labelled rows.
 
-    Stems for a row's training features are mined in the other fold, so the
-    trees learn how far to trust them; the model then has the stems of all.
+    Stems are mined from all labelled documents but those held out, and
+    calibration is on all of these; only the trees are fitted on a bounded
+    sample, of at most ``train_rows`` documents. Stems for a row's training
+    features are mined in the other fold, so the trees learn how far to trust
+    them; the model then has the stems of both.
     """
-    known = labels.select(*pick(labels, doc_id="doc_id", toxic="toxic")).where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("toxic"))
+    known = labels.select(*pick(labels, doc_id="doc_id", toxic="toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("toxic"))
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    picked = least_hashed(materialise(known, "known"), order, train_rows).select(F.col("doc_id").alias("k"), "toxic", F.pmod(order, F.lit(2)).cast("int").alias("fold"), (F.pmod(F.shiftright(order, 8), F.lit(HELD_OUT)) == 0).cast("int").alias("held"))
+    held = F.pmod(F.shiftright(order, 8), F.lit(HELD_OUT)) == 0
+    known = materialise(known.select(F.col("doc_id").alias("k"), "toxic", order.alias("place"), F.pmod(order, F.lit(2)).cast("bigint").alias("fold"), held.alias("held")), "known")
     texts = docs.select(*pick(docs, doc_id="doc_id", text="text")).where("text IS NOT NULL")
-    sample = materialise(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("k")).select("text", "toxic", "fold", "held"), "labelled")
-    sizes = {(r.toxic, r.fold): r["count"] for r in sample.where("held = 0").groupBy("toxic", "fold").count().collect()}
-    per = sample.where("held = 0").select("text", "toxic", "fold").mapInArrow(_count_stems, _COUNTS)
-    sums = per.groupBy("h").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in (0, 1) for c in ("toxic", "clean")])
-    counts = [tuple(r) for r in sums.where(f"toxic0 + toxic1 >= 3 AND (toxic0 + toxic1) * {sum(n for (t, _), n in sizes.items() if not t) + 1} > (clean0 + clean1) * {sum(n for (t, _), n in sizes.items() if t) + 1} * {LIFT / 2}").collect()]
-    lexicons = [_mined(counts, (1,), sizes), _mined(counts, (0,), sizes), _mined(counts, (0, 1), sizes)]
+    few = known.count() <= BROADCAST_ROWS
+    labelled = materialise(texts.join(F.broadcast(known) if few else known, F.col("doc_id") == F.col("k")).select("text", "toxic", "fold", "place", "held"), "labelled")
+    mined = labelled.where("NOT held")
+    sizes = {(r.toxic, r.fold): r["count"] for r in mined.groupBy("toxic", "fold").count().collect()}
+    sums = mined.select("text", "toxic", "fold").mapInArrow(_count_stems, _COUNTS).groupBy("h").agg(*[F.sum(c).alias(c) for c in _COUNTS.names[1:]])
+    lexicons = _mined(sums, sizes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tv.chunks(batch.column(0)):
-                held = batch.column(3).slice(c.first, c.rows).to_numpy()
                 fold = batch.column(2).slice(c.first, c.rows).to_numpy()
-                each = [features(c, lx) for lx in lexicons]
-                x = np.where((held == 1)[:, None], each[2], np.where((fold == 0)[:, None], each[0], each[1]))
+                each = [features(c, lx) for lx in lexicons[:2]]
+                x = np.where((fold == 0)[:, None], *each)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(c.rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(c.first, c.rows), batch.column(3).slice(c.first, c.rows), batch.column(1).slice(c.first, c.rows), lists], names=_ROWS.names)
-
-    got = sample.mapInArrow(rows, _ROWS).collect()
-    got.sort(key=lambda r: (r.held, r.toxic, r.x))
-    x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
-    y, held = np.array([r.toxic for r in got], float), np.array([r.held for r in got], int)
-    trees = boosting.fit(x[held == 0], y[held == 0])
-    knots = boosting.isotonic(trees.margins(x[held == 1]), y[held == 1]) if 0 < y[held == 1].sum() else (np.zeros(0), np.zeros(0))
+                content = tv.span_hashes(c.buf, c.offsets[:-1], c.offsets[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(c.first, c.rows), pa.array(content.view(np.int64)), batch.column(1).slice(c.first, c.rows), lists], names=_ROWS.names)
+
+    bound = least_hashed(known.where("NOT held").select("place"), F.col("place"), train_rows).agg(F.max("place")).first()[0]
+    # Rows that repeat a document are one to learn from.
+    sample = mined.where(F.col("place") <= F.lit(bound).cast("bigint")).mapInArrow(rows, _ROWS)
+    got = sample.groupBy("place", "content", "toxic").agg(F.first("x").alias("x")).select("toxic", "x").collect()
+    got.sort(key=lambda r: (r.toxic, r.x))
+    x, y = np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.toxic for r in got], float)
+    trees = boosting.fit(x, y)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in tv.chunks(batch.column(0)):
+                m = np.round(trees.margins(features(c, lexicons[2])) * MARGIN_PARTS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(1).slice(c.first, c.rows)], names=["margin", "toxic"])
+
+    binned = labelled.where("held").mapInArrow(margins, "margin bigint, toxic bigint").groupBy("margin").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).orderBy("margin").collect()
+    release(labelled)
+    m, n, t = (np.array([r[i] for r in binned], float) for i in range(3))
+    knots = boosting.isotonic(m / MARGIN_PARTS, t / np.maximum(n, 1), n) if t.sum() else (np.zeros(0), np.zeros(0))
     return Model(lexicons[2], trees, knots)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, probability, toxic, and each feature) of every row of ``docs``.
 
-    The classifier is fitted on at most ``train_rows`` labelled rows; scoring is
-    one pass over whole texts. A null text scores as an empty one, which has
+    The trees are fitted on at most ``train_rows`` labelled documents; stems and
+    calibration come from all; scoring is one pass over whole texts. A null text scores as an empty one, which has
     every feature at rest; repeated rows score alike; rows without doc_id are
     scored and never trained on; labels other than 0 and 1 are left out, of
     several for one document the highest counts; without labels nothing is

@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import INLINE_ROWS, materialise, pick
 
-#: A rule needs so many bad labelled pages, and so large a share of the labelled ones.
-MIN_COUNT, MIN_SUPPORT = 5, 0.001
+#: A rule needs so many bad labelled pages, at any size of the table, and this confidence.
+MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
-MAX_TOKENS = 3
-_BAD = "\x01bad"
 
 
 def tokens(url: F.Column) -> F.Column:
@@ -21,28 +19,57 @@ def tokens(url: F.Column) -> F.Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda t: ~t.rlike("^[0-9]+$"))))
 
 
-def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame | None:
+def _indexed(rules: DataFrame, rarity: DataFrame) -> DataFrame:
+    """``rules`` with ``token``: of each rule's tokens the one of least weight in ``rarity`` (token, weight)."""
+    spread = rules.select("*", F.explode("rule").alias("token")).join(rarity, "token")
+    least = F.min_by("token", F.struct("weight", "token")).alias("token")
+    return spread.groupBy(*rules.columns).agg(least)
+
+
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame | None:
     """(rule, n, bad, confidence): token sets, pruned, from (tokens, bad) rows.
 
     ``n`` pages have all tokens of the rule, ``bad`` of them are bad;
-    confidence is their quotient. A rule stays if it has the support and
-    confidence asked for and no rule of fewer of its tokens is as confident.
+    confidence is their quotient. A rule stays if ``min_count`` bad pages and
+    the confidence support it and no rule of fewer of its tokens is as
+    confident. Rules are of any length.
+
+    FP-growth runs over the bad pages, as only what they have can be a rule;
+    tokens that stand on the very same labelled pages are one item to it and
+    are told apart after, since two of them in a rule say no more than one. So
+    a host's or a template's words don't multiply the item sets. How many of
+    all pages have an item set is counted by an index on its rarest token.
+
+    No rows, or fewer bad ones than ``min_count``, give None; pages without
+    tokens count nowhere; repeated rows count each.
     """
-    total = labelled.count()
-    if not total:
+    rows = materialise(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("row")), "transactions")
+    n_bad = rows.where("bad").count()
+    if n_bad < min_count:
         return None
-    least = max(MIN_COUNT, -int(-total * MIN_SUPPORT // 1))
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(_BAD)))).otherwise(F.col("tokens")).alias("items"))
-    items = materialise(items, "transactions")
-    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=1.0).fit(items).freqItemsets
-    sets = materialise(found.select(F.array_sort(F.array_remove("items", _BAD)).alias("rule"), F.array_contains("items", _BAD).alias("with_bad"), "freq").where(f"size(rule) BETWEEN 1 AND {max_tokens}"), "itemsets")
-    bad = sets.where("with_bad").select("rule", F.col("freq").alias("bad"))
-    rules = sets.where("NOT with_bad").select("rule", F.col("freq").alias("n")).join(bad, "rule")
-    rules = rules.withColumn("confidence", F.col("bad") / F.col("n")).where(F.col("confidence") >= min_confidence)
-    one = rules.select(F.col("rule").alias("r"), F.col("confidence").alias("c"), F.explode("rule").alias("t"))
-    other = rules.select(F.col("rule").alias("s"), F.col("confidence").alias("d"), F.explode("rule").alias("t"))
-    weaker = one.join(other, "t").where("size(s) < size(r) AND d >= c AND size(array_except(s, r)) = 0").select(F.col("r").alias("rule")).distinct()
-    return materialise(rules.join(weaker, "rule", "left_anti"), "rules")
+    stands = rows.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").cast("decimal(38,0)").alias("h"))
+    known = stands.groupBy("token").agg(F.count(F.lit(1)).alias("weight"), F.sum("h").alias("h")).where(F.col("weight") >= min_count)
+    classes = materialise(known.groupBy("weight", "h").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")), "classes")
+    item_of = classes.select("item", F.explode("members").alias("token"))
+    items = rows.select("row", "bad", F.explode("tokens").alias("token")).join(item_of, "token").groupBy("row", "bad").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = materialise(items, "items")
+
+    bad = items.where("bad").select("items")
+    found = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / max(1, bad.count()), minConfidence=1.0).fit(bad).freqItemsets
+    sets = materialise(found.select(F.array_sort("items").alias("rule"), F.col("freq").alias("bad")).where(F.col("freq") >= min_count), "itemsets")
+    rarity = classes.select(F.col("item").alias("token"), "weight")
+    index = _indexed(sets.select("rule"), rarity)
+    met = items.select("items", F.explode("items").alias("token")).join(index, "token").where("size(array_except(rule, items)) = 0")
+    rules = met.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(sets, "rule")
+    rules = materialise(rules.withColumn("confidence", F.col("bad") / F.col("n")).where(F.col("confidence") >= min_confidence), "confident")
+    weaker = rules.select(F.col("rule").alias("r"), F.col("confidence").alias("c"), F.explode("rule").alias("token")).join(_indexed(rules.select("rule", "confidence"), rarity), "token")
+    weaker = weaker.where("size(rule) < size(r) AND confidence >= c AND size(array_except(rule, r)) = 0").select(F.col("r").alias("rule")).distinct()
+    rules = rules.join(weaker, "rule", "left_anti")
+    # Back from items to tokens: each item of a rule stands for any one of its tokens.
+    members = rules.select("rule", "n", "bad", "confidence", F.explode("rule").alias("item")).join(classes.select("item", "members"), "item")
+    lists = members.groupBy("rule", "n", "bad", "confidence").agg(F.collect_list("members").alias("lists"))
+    product = F.expr("aggregate(lists, cast(array(array()) AS array<array<string>>), (a, m) -> flatten(transform(a, x -> transform(m, t -> array_append(x, t)))))")
+    return materialise(lists.select(F.explode(product).alias("rule"), "n", "bad", "confidence").withColumn("rule", F.array_sort("rule")), "rules")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -69,8 +96,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, min_confidence: float = MIN
     if rules is None or rules.isEmpty():
         return slim.select("page_id", "url", *nothing)
     single = rules.select(F.explode("rule").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("weight"))
-    spread = rules.select("rule", "bad", "confidence", F.explode("rule").alias("token")).join(single, "token")
-    index = spread.groupBy("rule", "bad", "confidence").agg(F.min_by("token", F.struct("weight", "token")).alias("token"))
+    index = _indexed(rules.select("rule", "bad", "confidence"), single)
     if rules.count() <= INLINE_ROWS:
         index = F.broadcast(index)
     urls = slim.select("url", "tokens").distinct()
@@ -83,27 +109,22 @@ def filter_urls(pages: DataFrame, labels: DataFrame, min_confidence: float = MIN
 
 
 def oracle() -> str:
-    sets = " UNION ALL ".join(
-        f"SELECT {keys} AS rule, a.bad FROM {tables}"
-        for keys, tables in (
-            ("[a.t]", "item a"),
-            ("[a.t, b.t]", "item a JOIN item b ON a.page_id = b.page_id AND a.t < b.t"),
-            ("[a.t, b.t, c.t]", "item a JOIN item b ON a.page_id = b.page_id AND a.t < b.t JOIN item c ON a.page_id = c.page_id AND b.t < c.t"),
-        )
-    )
     return f"""
-WITH tok AS (
+WITH RECURSIVE tok AS (
   SELECT page_id, url, list_sort(list_distinct(list_filter(regexp_extract_all(lower(url), '[a-z0-9]+'), lambda t: NOT regexp_full_match(t, '[0-9]+')))) AS tokens FROM pages
 ), lab AS (
-  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+  SELECT page_id, tokens, bad FROM tok JOIN (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id) ON page_id = doc_id
 ), item AS (
-  SELECT page_id, bad, unnest(tokens) AS t FROM tok JOIN lab ON page_id = doc_id
-), least AS (
-  SELECT greatest({MIN_COUNT}, ceil(count(*) * {MIN_SUPPORT})) AS needed FROM tok JOIN lab ON page_id = doc_id
+  SELECT page_id, unnest(tokens) AS t FROM lab WHERE bad = 1
+), subset AS (
+  SELECT page_id, [t] AS rule FROM item
+  UNION ALL
+  SELECT s.page_id, list_append(s.rule, i.t) FROM subset s JOIN item i ON s.page_id = i.page_id AND i.t > s.rule[len(s.rule)]
 ), freq AS (
-  SELECT rule, count(*) AS n, sum(bad) AS bad FROM ({sets}) GROUP BY rule
+  SELECT rule, count(*) AS bad FROM subset GROUP BY rule HAVING count(*) >= {MIN_COUNT}
 ), conf AS (
-  SELECT rule, n, bad, bad::DOUBLE / n::DOUBLE AS confidence FROM freq, least WHERE bad >= needed AND bad::DOUBLE / n::DOUBLE >= {MIN_CONFIDENCE}
+  SELECT rule, any_value(f.bad) AS bad, any_value(f.bad)::DOUBLE / count(*)::DOUBLE AS confidence FROM freq f JOIN lab ON list_has_all(tokens, rule)
+  GROUP BY rule HAVING any_value(f.bad)::DOUBLE / count(*)::DOUBLE >= {MIN_CONFIDENCE}
 ), rules AS (
   SELECT * FROM conf r WHERE NOT EXISTS (SELECT 1 FROM conf s WHERE len(s.rule) < len(r.rule) AND s.confidence >= r.confidence AND list_has_all(r.rule, s.rule))
 ), met AS (

@@ -130,6 +130,18 @@ def test_near_duplicate_bucket_mates_off_the_hub_are_compared(spark):
     assert set(got.values()) == {0}
 
 
+def test_near_duplicates_against_all_signatures(spark, monkeypatch):
+    """Exactly the groups that all pairs of signatures sharing a band give, hot buckets split or not."""
+    rows = near_corpus(4)
+    sigs = {r.doc_id: (np.frombuffer(r.signature, np.uint32), set(enumerate(r.bands))) for r in neardup.signatures(docs(spark, rows)).collect()}
+    pairs = [(a, b) for a, b in combinations(sigs, 2) if sigs[a][1] & sigs[b][1] and (sigs[a][0] == sigs[b][0]).mean() >= 0.5]
+    want = groups_of(pairs, sigs)
+    for hot in (neardup.HOT, 1):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        got = neardup.near_duplicate_groups(docs(spark, rows)).collect()
+        assert {r.doc_id: r.group_id for r in got} == want and all(r.kept == (r.doc_id == r.group_id) for r in got)
+
+
 def test_near_duplicates_on_odd_tables(spark):
     rows = [*odd_rows(), (8, "twice the same row", "c"), (9, LONG, "a")]
     got = {r.doc_id: (r.group_id, r.kept) for r in neardup.near_duplicate_groups(docs(spark, rows)).collect()}
@@ -142,11 +154,15 @@ def test_near_duplicates_on_odd_tables(spark):
 # --- lines --------------------------------------------------------------------------
 
 
-def lines_by_brute_force(rows, least, share):
-    sites = {}
+def lines_by_brute_force(rows, least):
+    first = {}
     for _, t, s in rows:
-        for line in (t or "").split("\n"):
-            if line.strip(" ") and s is not None:
+        if t is not None and s is not None:
+            first[t] = min(s, first.get(t, s))
+    sites = {}
+    for t, s in first.items():
+        for line in t.split("\n"):
+            if line.strip(" "):
                 sites.setdefault(line.strip(" "), set()).add(s)
     spread = {line for line, s in sites.items() if len(s) >= least}
     out = []
@@ -156,7 +172,7 @@ def lines_by_brute_force(rows, least, share):
             continue
         lines = t.split("\n")
         flagged = [x for x in lines if x.strip(" ") in spread]
-        cut = sum(len(x.strip(" ")) for x in flagged) <= share * sum(len(x.strip(" ")) for x in lines)
+        cut = any(x.strip(" ") and x.strip(" ") not in spread for x in lines)
         out.append((i, "\n".join(x for x in lines if x.strip(" ") not in spread) if cut else t, len(flagged) if cut else 0))
     return sorted(out, key=str)
 
@@ -171,23 +187,26 @@ def line_rows():
             body.append(f"near {i % 13 % 7}")
         rows.append((i, "\n".join(body), f"site{i % 14}"))
     whole = "\n".join(sentence(rng, 9) for _ in range(3))
-    return rows + [(100 + i, whole, f"site{i}") for i in range(12)]
+    rows += [(100 + i, whole, f"site{i}") for i in range(12)]  # copies of one text: no boilerplate
+    like = [sentence(rng, 9) for _ in range(4)]
+    rows += [(200 + i, "\n".join(like[: 1 + i % 4]), f"site{i}") for i in range(30)]  # nothing but spread lines
+    return rows + [(300 + i, "\n".join([*like, f"own {i}"]), f"site{i}") for i in range(9)]
 
 
 @pytest.mark.parametrize("inline", [20_000, 0])
 def test_line_dedup_against_brute_force(spark, inline):
     rows = [*line_rows(), *odd_rows()]
     got = linededup.remove_spread_lines(docs(spark, rows), min_sites=5, inline_rows=inline, report=True)
-    assert sorted([(r.doc_id, r.text, r.n_removed) for r in got.collect()], key=str) == lines_by_brute_force(rows, 5, 0.5)
+    assert sorted([(r.doc_id, r.text, r.n_removed) for r in got.collect()], key=str) == lines_by_brute_force(rows, 5)
 
 
 def test_line_sketches_near_the_threshold_are_counted_exactly(spark):
     rows = [(i, f"kept {i} and some more words\nspread {n}", f"s{i}") for n in range(8, 13) for i in range(100 * n, 100 * n + n)]
     d = docs(spark, rows)
     want = {n for n in range(8, 13) if n >= 10}
-    left = {int(x.split()[-1]) for r in linededup.remove_spread_lines(d, min_sites=10, max_share=0.9).collect() for x in r.text.split("\n") if x.startswith("spread")}
+    left = {int(x.split()[-1]) for r in linededup.remove_spread_lines(d, min_sites=10).collect() for x in r.text.split("\n") if x.startswith("spread")}
     assert left == set(range(8, 13)) - want
-    out = linededup.remove_spread_lines(d, min_sites=10, max_share=0.9)
+    out = linededup.remove_spread_lines(d, min_sites=10)
     assert out.columns == d.columns and out.where("n_chars <> length(text)").count() == 0
     assert linededup.remove_spread_lines(docs(spark, [])).count() == 0
 
@@ -207,7 +226,8 @@ def test_passages_are_found_wherever_they_stand(spark):
     got = passages.repeated_passages(docs(spark, rows)).collect()
     together = {}
     for r in got:
-        together.setdefault(r.passage, set()).add(r.doc_id)
+        for p in r.passages:
+            together.setdefault(p, set()).add(r.doc_id)
     found = {frozenset(p) for ids in together.values() for p in combinations(sorted(ids), 2)}
     assert found == {frozenset(p) for k in range(6) for p in combinations(range(k, 30, 6), 2)}
     texts = {i: t.encode() for i, t, _ in rows}
@@ -234,8 +254,9 @@ def test_short_paragraphs_are_found_among_other_words(spark, between, lengths):
     shared = [sentence(rng, n) for n in lengths for _ in range(8)]
     rows = [(2 * i + j, between.join([sentence(rng, 40), p, sentence(rng, 40)]), "a") for i, p in enumerate(shared) for j in range(2)]
     together = {}
-    for r in passages.repeated_passages(docs(spark, rows)).collect():
-        together.setdefault(r.passage, set()).add(r.doc_id)
+    for r in passages.repeated_passages(docs(spark, rows), min_words=12).collect():
+        for p in r.passages:
+            together.setdefault(p, set()).add(r.doc_id)
     assert {frozenset(ids) for ids in together.values()} == {frozenset((2 * i, 2 * i + 1)) for i in range(len(shared))}
 
 
@@ -289,19 +310,108 @@ def test_bucket_links_join_what_pairs_join():
     sets = np.array(sets)
     ids = np.arange(30)
     pairs = [(a, b) for a, b in combinations(range(30), 2) if jaccard(set(sets[a]), set(sets[b])) >= 0.6]
-    assert groups_of(passages._bucket_links(ids, sets, 0.6), range(30)) == groups_of(pairs, range(30))
+    assert groups_of(passages._bucket_links(ids, ids, sets, 0.6), range(30)) == groups_of(pairs, range(30))
+    owner = np.where(ids % 4 == 0, -1, ids % 5)
+    apart = [(a, b) for a, b in pairs if owner[a] != owner[b] or owner[a] < 0]
+    assert groups_of(passages._bucket_links(ids, owner, sets, 0.6), range(30)) == groups_of(apart, range(30))
 
 
 def test_passages_on_odd_tables(spark):
     again = " ".join(WORDS[:60])
-    rows = [*odd_rows(), (8, LONG, "c"), (20, again, "a"), (20, again, "a"), (None, again, "a")]
+    rows = [*odd_rows(), (20, again, "a"), (20, again, "a"), (None, again, "a")]
     assert passages.repeated_passages(docs(spark, rows)).count() == 0
-    assert {r.doc_id for r in passages.repeated_passages(docs(spark, [*rows, (21, again, "z")])).collect()} == {20, 21}
+    got = passages.repeated_passages(docs(spark, [*rows, (21, again, "z"), (8, LONG, "c")])).collect()
+    assert {(r.doc_id, r.start, r.end, r.words, r.removed) for r in got} == {(20, 0, len(again), 60, False), (21, 0, len(again), 60, True), (5, 0, len(LONG) - 1, 40_000, False), (8, 0, len(LONG) - 1, 40_000, True)}
     assert passages.repeated_passages(docs(spark, [])).count() == 0
     bands, per = passages.tune_bands()
     assert 1 - (1 - passages.AT**per) ** bands >= passages.RECALL > 1 - (1 - passages.AT**per) ** (bands - 1)
 
 
+def passages_by_brute_force(rows, threshold, min_words):
+    """All pairs of paragraphs, components, first occurrences; spans without growth."""
+    (c,) = tv.chunks(pa.array([t for _, t, _ in rows]), 1 << 30)
+    p = passages.Paragraphs(c, min(min_words, passages.WORDS))
+    ids = [rows[r][0] for r in p.row]
+    sets = [set(x.tolist()) for x in p.sets]
+    of = {}
+    for i, content in enumerate(p.content):
+        of.setdefault(content, set()).add(ids[i])
+    apart = [len(of[x]) > 1 or len(of[y]) > 1 or of[x] != of[y] for x, y in combinations(p.content, 2)]
+    pairs = [(a, b) for (a, b), free in zip(combinations(range(len(ids)), 2), apart) if free and jaccard(sets[a], sets[b]) >= threshold]
+    where = {}
+    for i, g in groups_of(pairs, range(len(ids))).items():
+        where.setdefault(g, []).append((ids[i], int(p.word[i]), int(p.word[i] + p.words[i])))
+    covered = {}
+    for spans in where.values():
+        if len({d for d, _, _ in spans}) < 2:
+            continue
+        spans.sort()
+        first, reach = spans[0][0], spans[0][2]
+        for d, a, b in spans:
+            keep = d == first and a < reach  # paragraphs of the first occurrence overlap
+            reach = max(reach, b) if keep else reach
+            covered.setdefault((d, not keep), set()).update(range(a, b))
+    return covered
+
+
+def test_repeats_against_all_pairs(spark, monkeypatch):
+    """Every word brute force finds repeated is in a span, removed or not alike, with hot buckets split or not."""
+    rng = np.random.default_rng(21)
+    rows, _ = passage_corpus()
+    rows = rows[:18] + rows[30:36]
+    for i in range(6):  # variants of one text
+        words = rows[40 % len(rows)][1].split()
+        for k in rng.integers(0, len(words), 4):
+            words[k] = str(rng.choice(WORDS))
+        rows.append((200 + i, " ".join(words), "a"))
+    want = passages_by_brute_force(rows, passages.THRESHOLD, passages.MIN_WORDS)
+    texts = {i: t.split() for i, t, _ in rows}
+    found = []
+    for hot in (passages.HOT, 2):
+        monkeypatch.setattr(passages, "HOT", hot)
+        got = {}
+        for r in passages.repeated_passages(docs(spark, rows)).collect():
+            before = len(" ".join(texts[r.doc_id])[: r.start].split())
+            got.setdefault((r.doc_id, r.removed), set()).update(range(before, before + r.words))
+        found.append(got)
+        missed = sum(len(v - got.get(k, set()) - got.get((k[0], not k[1]), set())) for k, v in want.items())
+        assert missed <= 0.03 * sum(map(len, want.values()))
+        assert {d for d, _ in got} <= {d for d, _ in want}
+    assert found[0] == found[1]
+
+
+def test_removing_passages(spark):
+    rows, shared = passage_corpus()
+    rows += [(None, rows[0][1], "a"), (500, shared[0] + " " + shared[1], "a"), (500, shared[2], "a"), *odd_rows()]
+    d = docs(spark, rows)
+    out = passages.remove_passages(d)
+    assert out.columns == d.columns and out.count() == len(rows)
+    left = {r.doc_id: r.text for r in out.where("doc_id < 100 AND doc_id >= 10").collect()}
+    core = lambda k: " ".join(shared[k].split()[2:-2])
+    assert all((core(i % 6) in left[i]) == (i < 6) for i in range(10, 30))
+    own = {i: t for i, t, _ in rows if i is not None and 100 <= i < 200}
+    assert {r.doc_id: r.text for r in out.where("doc_id BETWEEN 100 AND 199").collect()} == own
+    assert {r.text for r in out.where("doc_id = 500").collect()} == {rows[-len(odd_rows()) - 1][1], rows[-len(odd_rows()) - 2][1]}
+    assert out.where("n_chars <> length(text)").count() == 0 and passages.remove_passages(docs(spark, [])).count() == 0
+
+
+def test_buckets_split_by_rare_tokens_lose_no_pair(spark):
+    from palisade.llm.buckets import split_by_rare_tokens
+
+    rng = np.random.default_rng(11)
+    members = [(k, i, sorted({int(x) for x in np.concatenate([np.arange(5), rng.integers(10, 60, 12)])})) for k in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(members, "key bigint, id bigint, tokens array<bigint>")
+    keep = F.size("tokens") - F.ceil(F.size("tokens") * 0.6).cast("int") + 1
+    got = {}
+    for r in split_by_rare_tokens(df, keep).collect():
+        got.setdefault((r.key, r.sub), set()).add(r.id)
+    together = {(k, *p) for (k, _), ids in got.items() for p in combinations(sorted(ids), 2)}
+    sets = {(k, i): set(t) for k, i, t in members}
+    alike = {(k, a, b) for k in (1, 2) for a, b in combinations(range(60), 2) if jaccard(sets[k, a], sets[k, b]) >= 0.6}
+    every = {(k, a, b) for k in (1, 2) for a, b in combinations(range(60), 2)}
+    assert alike and alike <= together < every
+
+
 # --- shards -----------------------------------------------------------------------------
 
 
@@ -428,6 +538,46 @@ def test_selection_against_brute_force(spark):
     assert sorted(collect(out.select("doc_id", "copy"))) == sorted(want)
 
 
+def test_selection_over_several_patterns_against_brute_force(spark):
+    import hashlib
+    import json
+
+    rng = np.random.default_rng(2)
+    rows = [(i, sentence(rng, int(rng.integers(1, 9))), f"s{i % 7 % 3}") for i in range(260)] + [(900, "no source", None), (901, None, "s1")]
+    kinds = {i: "en" for i, _, _ in rows}
+    weights = {"source:s0": 0.5, "source:s1": 0.2, "source:s2": 0.1, "lang:en": 0.2}
+    out = mixing.mix(docs(spark, rows), None, weights, 1.2)
+    tokens = {i: len((t or "").split()) for i, t, _ in rows}
+    of = {i: json.dumps(sorted([f"lang:{kinds[i]}"] + ([f"source:{s}"] if s else [])), separators=(",", ":")) for i, _, s in rows}
+    capacity = {}
+    for i, p in of.items():
+        capacity[p] = capacity.get(p, 0) + tokens[i]
+    members = {p: json.loads(p) for p in capacity}
+    quota = mixing.quotas_of({}, round(sum(tokens.values()) * 1.2), weights)
+    routed = mixing.min_cost_flow(capacity, members, quota)
+    want = []
+    for p in capacity:
+        order = sorted((i for i in of if of[i] == p), key=lambda i: hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest())
+        at = 0
+        ends = np.cumsum([routed.get((p, q), 0) for q in sorted(members[p])])
+        for lap in range(1, len(mixing.EPOCH_COSTS) + 1):
+            for i in order:
+                if at < ends[-1] and tokens[i]:
+                    want.append((i, sorted(members[p])[int(np.searchsorted(ends, at, "right"))], lap))
+                at += tokens[i]
+    got = [tuple(r) for r in out.where("_tokens > 0").select("doc_id", "target", "copy").collect()]
+    assert sorted(got) == sorted(want)
+    report = {r.source: r for r in mixing.mixture_report(docs(spark, rows), None, weights, 1.2).collect()}
+    assert {q: r.quota for q, r in report.items()} == quota and all(r.unfilled == r.quota - r.routed >= 0 for r in report.values())
+    assert {q: r.routed for q, r in report.items()} == {q: sum(n for (_, x), n in routed.items() if x == q) for q in quota}
+
+
+def test_too_many_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(docs(spark, [(i, "a b", f"s{i}") for i in range(3)]))
+
+
 def test_mixing_odd_tables(spark):
     out = mixing.mix(docs(spark, odd_rows()))
     assert out.columns[-3:] == ["target", "copy", "_tokens"]

@@ -40,7 +40,7 @@ def rules_by_brute_force(urls, bad):
     toks = {i: sorted({t for t in re.findall("[a-z0-9]+", u.lower()) if not t.isdigit()}) for i, u in urls}
     n, b = {}, {}
     for i, t in toks.items():
-        for k in (1, 2, 3):
+        for k in range(1, len(t) + 1):
             for c in combinations(t, k):
                 n[c] = n.get(c, 0) + 1
                 b[c] = b.get(c, 0) + bad[i]
@@ -60,6 +60,19 @@ def test_url_rules_against_brute_force(spark):
         assert out[i].rejected == bool(apply) and out[i].n_rules == len(apply) and (not apply or out[i].confidence == -apply[0][0])
 
 
+def test_url_rules_of_many_tokens(spark):
+    """Tokens that are bad only all together make a rule of all of them, however many they are."""
+    parts = "alpha beta gamma delta".split()
+    urls, bad = [], {}
+    for i in range(120):
+        have = parts if i % 8 == 0 else [p for k, p in enumerate(parts) if k != i % 4]
+        urls.append((i, "http://x.org/" + "/".join([*have, f"twin{i % 3}", f"pair{i % 3}"])))
+        bad[i] = int(i % 8 == 0)
+    labelled = pages(spark, urls).select(urlrules.tokens(F.col("url")).alias("tokens"), F.col("page_id").isin([i for i in bad if bad[i]]).alias("bad"))
+    got = {tuple(r.rule): r.confidence for r in urlrules.mine(labelled).collect()}
+    assert got == rules_by_brute_force(urls, bad) and got[tuple(sorted(parts))] == 1
+
+
 def test_url_rules_on_odd_tables(spark):
     urls, marks = url_corpus()
     odd = [(100, None), (101, ""), (102, "123/456"), (None, "http://casino.example.com"), (3, urls[3][1]), (103, "casino com " + "x" * 100_000)]
@@ -358,7 +371,7 @@ def test_overlap_against_bit_sets():
     rng = np.random.default_rng(2)
     a, b = (np.packbits(rng.random((3, 2048)) < p, axis=1) for p in (0.2, 0.3))
     b[0] = a[0] | b[0]
-    got = fingerprints.overlap_scores(a, b)
+    got = fingerprints.overlap_scores(a[:, None], b[None])
     for i in range(3):
         for j in range(3):
             x, y = (set(np.flatnonzero(np.unpackbits(f))) for f in (a[i], b[j]))
@@ -384,21 +397,41 @@ def test_every_document_against_every_item(spark):
     got = {r.doc_id: r for r in fingerprints.fingerprints(d, known).collect()}
     ranks = fingerprints.class_ranks(fingerprints.entropy_counts(d))
 
+    features = []
+
     def digest(text):
         (c,) = tv.chunks(pa.array([text]))
-        packed, count, _ = fingerprints.digests(c, ranks)
+        packed, count, _, h = fingerprints.digests(c, ranks)
+        features.append(set(h.tolist()))
         return packed, count
 
     for i, text, _ in rows:
         own = digest(text)
         assert got[i].digest == own[0].tobytes() and got[i].n_features == own[1].sum() and got[i].n_filters == len(own[1])
-        scores = [(-fingerprints.compare(*own, *digest(t)), item) for item, t in items]
-        score, item = min(scores)
-        assert got[i].similarity == pytest.approx(-score, abs=1e-5) and (got[i].item_id == item or not score)
+        mine = features[-1]
+        want = sorted((-round(fingerprints.compare(*own, *digest(t)), 6), item) for item, t in items if [digest(t)] and mine & features[-1])
+        want = [(item, -score) for score, item in want if score]
+        assert [m.item_id for m in got[i].matches] == [item for item, _ in want]
+        assert [m.similarity for m in got[i].matches] == pytest.approx([s for _, s in want], abs=2e-6)
+        assert (got[i].item_id, got[i].similarity) == ((want[0][0], pytest.approx(want[0][1], abs=2e-6)) if want else (None, 0))
     assert all(got[i].item_id == i % 8 and got[i].similarity > 0.5 for i in range(1, 40, 2))
     assert all(got[i].similarity < 0.3 for i in range(0, 40, 2))
 
 
+def test_every_item_of_a_document_is_found_whole_or_in_parts(spark, monkeypatch):
+    """A document of three items has all three; a reference set past the bound gives the same in parts."""
+    items, rows = fingerprint_corpus()
+    rows += [(100, " ".join(t for _, t in items[:3]), "a"), (101, items[0][1][:90], "a"), (None, items[2][1], "a"), (None, items[3][1], "a"), (102, items[4][1], "a"), (102, items[4][1], "a")]
+    known = spark.createDataFrame([*items, (50, items[1][1][10:100]), (None, "x"), (51, None)], "item_id bigint, text string")
+    tables = []
+    for bound in (fingerprints.REFERENCE_ROWS, 3):
+        monkeypatch.setattr(fingerprints, "REFERENCE_ROWS", bound)
+        tables.append(sorted(collect(fingerprints.fingerprints(docs(spark, rows), known)), key=str))
+    assert tables[0] == tables[1]
+    got = {r[0]: [m.item_id for m in r[6]] for r in tables[0]}
+    assert {0, 1, 2, 50} <= set(got[100]) and got[102] == [4] and got[101] == [0]
+
+
 def test_short_items_and_short_documents_are_found(spark):
     rng = np.random.default_rng(8)
     cut = lambda n: sentence(rng, n)[:n]
@@ -437,6 +470,35 @@ def test_least_hashed_rows_are_the_least(spark, n):
     assert got == sorted(r.h for r in df.collect())[:n]
 
 
+@pytest.mark.parametrize("n", [1, 500, 2001, 21_999, 22_000, 30_000])
+@pytest.mark.parametrize("hot", [5, 1999])
+def test_least_hashed_of_repeated_rows(spark, n, hot):
+    """2,000 distinct rows and 20,000 repeats of one of them, null doc_ids and equal texts alike."""
+    df = spark.range(2000).union(spark.range(20_000).select(F.lit(hot).cast("bigint"))).select(F.when(F.col("id") != hot, F.col("id")).alias("id"), F.xxhash64("id").alias("h"))
+    got = least_hashed(df, F.col("h"), n)
+    assert got.columns == df.columns and sorted(r.h for r in got.collect()) == sorted(r.h for r in df.collect())[:n]
+
+
+def test_least_hashed_of_few_hashes(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3 - 1).alias("h"))
+    for n in (0, 1, 333, 334, 700, 1000):
+        assert sorted(r.h for r in least_hashed(df, F.col("h"), n).collect()) == sorted(r.h for r in df.collect())[:n]
+
+
+def test_intermediate_tables(spark, tmp_path):
+    from palisade.llm.common import _CLEANUP, release
+
+    before = spark.conf.get(_CLEANUP, None)
+    t = materialise(spark.range(3), "t")
+    assert spark.conf.get(_CLEANUP, None) == before and t.count() == 3
+    from urllib.parse import urlparse
+
+    import os
+
+    assert os.path.isdir(urlparse(t._written).path)
+    release(t)
+    assert not os.path.exists(urlparse(t._written).path)
+
 def test_pipeline_stages_against_brute_force(spark):
     import hashlib
 
@@ -458,7 +520,7 @@ def test_pipeline_stages_against_brute_force(spark):
     assert all(r.text == source[r.doc_id].text for r in good)
     from tests.llm.test_documents import lines_by_brute_force
 
-    want = {i: t for i, t, _ in lines_by_brute_force([(r.doc_id, r.text, r.source) for r in good], 10, 0.5)}
+    want = {i: t for i, t, _ in lines_by_brute_force([(r.doc_id, r.text, r.source) for r in good], 10)}
     assert {r.doc_id: r.text for r in lines} == want and all(r.n_chars == len(r.text) for r in lines)
     assert {r.doc_id for r in once} <= {r.doc_id for r in lines} and len({r.doc_id for r in once}) == len(once)
     assert len({hashlib.md5(r.text.lower().encode()).digest() for r in once if r.text.strip()}) == len([r for r in once if r.text.strip()])
