@@ -2,8 +2,10 @@
 
 Passages that repeat are often set inside longer paragraphs, so a paragraph
 here is a stretch of WORDS words that starts at an anchor: a word whose
-following 3-gram has the least hash among REACH neighbours. Anchors depend on
-the local words alone, so a shared passage has the same ones wherever it stands.
+following 3-gram has the least hash among ``reach`` neighbours. Anchors depend on
+the local words alone, so a shared passage has the same ones wherever it stands;
+every ``reach`` places have one, so a passage of WORDS + ``reach`` - 1 words or
+more has a paragraph in common wherever it stands.
 The text's own paragraphs count too: of each line, its first and its last WORDS
 words, or all of it where it has fewer. What repeats is reported as stretches,
 as long as they go.
@@ -28,18 +30,17 @@ from palisade.llm.components import connected_components
 
 #: Words of a paragraph, and of the shingles it is compared by.
 WORDS, SHINGLE = 20, 3
-#: Every REACH consecutive places have an anchor: a shared passage of
-#: WORDS + REACH - 1 words or more (30) has a paragraph in common.
-REACH = 11
-#: Words of a stretch that is reported. Shorter repeats are lines (licences, headings), which line dedup counts.
-MIN_WORDS = 30
+#: Words of a stretch that is reported: about 50 tokens of a subword tokenizer. Shorter repeats
+#: are lines (licences, headings), which line dedup counts.
+MIN_WORDS = 40
 #: Exact Jaccard similarity of shingles from which two paragraphs are the same passage.
 THRESHOLD = 0.6
 RECALL, AT = 0.95, THRESHOLD
 #: Ranges of band hashes that are shuffled one after the other, so that only one's files stand at a time.
-PARTS = 3
-#: Contents of a bucket from which it is split by rare shingles.
-HOT = 512
+PARTS = 2
+#: Contents of a bucket each of whose others is compared with; what is still open then is
+#: split by rare shingles if it is more than that.
+HOT = 256
 SEED = 4242
 
 
@@ -62,19 +63,19 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _anchors(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _anchors(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
     """Indices of the words at which paragraphs start: minima of ``h`` (3-gram hash
-    at each word) over REACH places within a row; a short row starts at its first."""
+    at each word) over ``reach`` places within a row; a short row starts at its first."""
     n = len(h)
-    if n < REACH:
+    if n < reach:
         picks = np.zeros(0, np.int64)
     else:
-        low = _sliding_min(h, REACH)
-        low = np.where(row[: n - REACH + 1] == row[REACH - 1 :], low, np.uint64(0))
+        low = _sliding_min(h, reach)
+        low = np.where(row[: n - reach + 1] == row[reach - 1 :], low, np.uint64(0))
         # An anchor is the minimum of a window it is in: the greatest of those windows' minima.
-        around = np.concatenate([np.zeros(REACH - 1, np.uint64), low, np.zeros(REACH - 1, np.uint64)])
-        picks = np.flatnonzero(~_sliding_min(~around, REACH) == h)
-    short = first[:-1][(sizes > 0) & (sizes < REACH)]
+        around = np.concatenate([np.zeros(reach - 1, np.uint64), low, np.zeros(reach - 1, np.uint64)])
+        picks = np.flatnonzero(~_sliding_min(~around, reach) == h)
+    short = first[:-1][(sizes > 0) & (sizes < reach)]
     return np.union1d(picks, short)
 
 
@@ -92,15 +93,16 @@ def _line_ends(c: tv.Chunk, w: tv.Words, first: np.ndarray, width: int) -> tuple
 
 
 class Paragraphs:
-    """The paragraphs of a chunk with ``least`` words or more: byte and word spans, row,
-    shingles (sorted) and a content hash."""
+    """The paragraphs of a chunk that find every stretch of ``min_words``: byte and word spans,
+    row, shingles (sorted) and a content hash."""
 
-    def __init__(self, c: tv.Chunk, least: int = 0) -> None:
+    def __init__(self, c: tv.Chunk, min_words: int = MIN_WORDS) -> None:
+        least, reach = min(min_words, WORDS), max(1, min_words - WORDS + 1)
         w = tv.words(c)
         h, first = tv.shingles(w, SHINGLE)
         sizes = np.diff(first)
         row = np.repeat(np.arange(c.rows), sizes)
-        at = _anchors(h, row, sizes, first)
+        at = _anchors(h, row, sizes, first, reach)
         # Not past the end of the row: the last paragraph of a row is its last WORDS words.
         width = WORDS - SHINGLE + 1
         last = first[row[at] + 1] - width if len(at) else at
@@ -131,7 +133,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*pick(docs, doc_id="doc_id", text="text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def contents(docs: DataFrame, bands: int, rows: int, least: int = WORDS) -> DataFrame:
+def contents(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WORDS) -> DataFrame:
     """(content, times, lo, hi, keys): the distinct paragraphs of each batch of
     documents, how often they occur there, their least and greatest doc_id, and
     their band hashes. Equal ones collapse before any shuffle."""
@@ -143,7 +145,7 @@ def contents(docs: DataFrame, bands: int, rows: int, least: int = WORDS) -> Data
             ids = batch.column(0).to_numpy()
             parts = []
             for c in tv.chunks(batch.column(1)):
-                p = Paragraphs(c, least)
+                p = Paragraphs(c, min_words)
                 key = np.empty((len(p.row), bands), np.uint64)
                 for band in range(bands):
                     k = np.full(len(p.row), salt[band])
@@ -165,7 +167,7 @@ def contents(docs: DataFrame, bands: int, rows: int, least: int = WORDS) -> Data
     return _texts(docs).mapInArrow(run, _KEYS)
 
 
-def places(docs: DataFrame, least: int = WORDS) -> DataFrame:
+def places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, w, w_end, c): every paragraph; start and end are byte offsets in
     the text's UTF-8, w and w_end count its words. Equal ones that overlap (a word over
     and over) are one."""
@@ -173,7 +175,7 @@ def places(docs: DataFrame, least: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in tv.chunks(batch.column(1)):
-                p = Paragraphs(c, least)
+                p = Paragraphs(c, min_words)
                 w_end = p.word + p.words
                 new = np.ones(len(p.row), bool)
                 new[1:] = (p.content[1:] != p.content[:-1]) | (p.row[1:] != p.row[:-1]) | (p.word[1:] > w_end[:-1])
@@ -186,16 +188,15 @@ def places(docs: DataFrame, least: int = WORDS) -> DataFrame:
     return _texts(docs).mapInArrow(run, _PLACES)
 
 
-#: Words beyond a paragraph that it can grow by on either side: more than lie before
-#: a passage's first anchor, or behind its last whole paragraph.
-GROWTH = REACH + SHINGLE
 _SIDE = [(f"{side}{kind}", T.ArrayType(T.IntegerType())) for side in ("left", "right") for kind in ("", "_at")]
 _AROUND = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("doc_id", T.LongType()), *((n, T.IntegerType()) for n in ("start", "end", "w", "w_end")), *_SIDE)
 
 
-def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` (passage, content, removed, doc_id, start, end, w, w_end) with, per side, the hashes of up to GROWTH
-    words next to it, nearest first, and the offsets it would reach to with each of them."""
+def surroundings(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``found`` (passage, content, removed, doc_id, start, end, w, w_end) with, per side, the hashes of the
+    words next to it, nearest first, and the offsets it would reach to with each of them: of more
+    words than lie before a passage's first anchor, or behind its last whole paragraph."""
+    growth = max(1, min_words - WORDS + 1) + SHINGLE
     lists = found.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("passage", "content", "removed", "start", "end", "w", "w_end")).alias("spans"))
     texts = _texts(docs)
     rows = texts.join(lists, texts.doc_id == lists.w_id).select("doc_id", "text", "spans")
@@ -214,7 +215,7 @@ def surroundings(docs: DataFrame, found: DataFrame) -> DataFrame:
                 passage, content, removed, start, end, word, word_end, row, a, b = (x[here] for x in (passage, content, removed, start, end, word, word_end, row, a, b))
                 ids = batch.column(0).slice(c.first, c.rows).take(pa.array(row))
                 columns = [pa.array(passage), pa.array(content), pa.array(removed.astype(bool)), ids, *(pa.array(x) for x in (start, end, word, word_end))]
-                steps = np.arange(1, GROWTH + 1)
+                steps = np.arange(1, growth + 1)
                 for at, edge in ((a[:, None] - steps, w.start), (b[:, None] + steps, w.end)):
                     there = (at >= w.first[row][:, None]) & (at < w.first[row + 1][:, None])
                     words, owner = at[there], np.nonzero(there)[0]
@@ -289,7 +290,7 @@ def _stretches(spans: DataFrame, min_words: int) -> DataFrame:
 _SETS = schema(("content", T.LongType()), ("shingles", T.BinaryType()))
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, least: int = WORDS) -> DataFrame:
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(content, shingles) of the wanted (doc_id, content): texts of those documents are read once more."""
     lists = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set("content").alias("contents"))
     slim = docs.select(*pick(docs, doc_id="doc_id", text="text")).where("text IS NOT NULL")
@@ -299,13 +300,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, least: int = WORDS) -> Dat
         for batch in batches:
             contents = batch.column(1)
             for c in tv.chunks(batch.column(0)):
-                p = Paragraphs(c, least)
+                p = Paragraphs(c, min_words)
                 own = contents.slice(c.first, c.rows)
                 asked = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 asked_row = np.repeat(np.arange(c.rows), own.value_lengths().to_numpy(zero_copy_only=False))
                 at = np.flatnonzero(np.isin(tv.mix(p.content + p.row.astype(np.uint64)), tv.mix(asked + asked_row.astype(np.uint64))))
-                sets = np.ascontiguousarray(p.sets[at])
-                width = 8 * sets.shape[1]
+                # Half of each hash, in the same order, is enough to compare two sets.
+                sets = (p.sets[at] >> np.uint64(32)).astype(np.uint32)
+                width = 4 * sets.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(p.content[at].view(np.int64)), pa.Array.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(sets)]).cast(pa.binary())], names=_SETS.names)
 
     return rows.mapInArrow(run, _SETS).dropDuplicates(["content"])
@@ -320,39 +322,47 @@ def _jaccard(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return common / (len(base) + fresh.sum(1) - common)
 
 
-def _bucket_links(ids: np.ndarray, owner: np.ndarray, sets: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Spanning links of one bucket's contents: every pair is compared unless
-    links found before already join it.
+def _bucket_links(ids: np.ndarray, owner: np.ndarray, sets: np.ndarray, threshold: float, hot: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links, open) of one bucket: every pair is compared unless links found before
+    already join it, or both are open: contents that weren't compared with all others
+    when ``hot`` had been, and more than ``hot`` were left.
 
     ``owner`` is the one document a content is of, -1 where it is of several. Two
     contents of one document alone aren't linked: they are alike for overlapping,
     and a chain of such would lead out of what repeats.
     """
-    out, rest = [], np.arange(len(ids))
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            near = _jaccard(sets[x], sets[rest]) >= threshold
-            near &= (owner[rest] != owner[x]) | (owner[x] < 0)
-            out += [(ids[y], ids[x]) for y in rest[near]]
-            queue += rest[near].tolist()
-            rest = rest[~near]
-    return out
-
-
-def _links(threshold: float):
-    """Over rows sorted by key, then times descending: the links of every bucket.
-    A bucket may span batches; only the open one is held."""
+    out, rest, queue, done = [], np.arange(len(ids)), [], 0
+    while len(rest) and (queue or len(rest) > 1):
+        if done >= hot and len(rest) > hot:
+            return out, ids[np.concatenate([np.array(queue, np.int64), rest])]
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+        x = queue.pop()
+        near = _jaccard(sets[x], sets[rest]) >= threshold
+        near &= (owner[rest] != owner[x]) | (owner[x] < 0)
+        out += [(ids[y], ids[x]) for y in rest[near]]
+        queue += rest[near].tolist()
+        rest = rest[~near]
+        done += 1
+    return out, ids[:0]
+
+
+def _links(threshold: float, hot: int):
+    """Over rows sorted by key, then times descending: (key, u, v) for the links of every
+    bucket, v null for what stays open. A bucket may span batches; only the last is held."""
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         key, ids, owner = (t.column(n).to_numpy() for n in ("key", "content", "owner"))
-        sets = np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint64).reshape(len(ids), -1)
+        sets = np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint32).reshape(len(ids), -1)
         edges = np.flatnonzero(np.diff(key)) + 1
-        out = [link for a, b in zip([0, *edges], [*edges, len(key)]) for link in _bucket_links(ids[a:b], owner[a:b], sets[a:b], threshold)]
-        u, v = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        keys, us, vs = [], [], []
+        for a, b in zip([0, *edges], [*edges, len(key)]):
+            links, still = _bucket_links(ids[a:b], owner[a:b], sets[a:b], threshold, hot)
+            us += [u for u, _ in links] + still.tolist()
+            vs += [v for _, v in links] + [None] * len(still)
+            keys += [key[a]] * (len(links) + len(still))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, us, vs)], names=["key", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -379,28 +389,28 @@ def _distinct(shingles: pa.Array) -> pa.Array:
     """The distinct shingles of each set (sorted, in bytes)."""
     if not len(shingles):
         return pa.array([], pa.list_(pa.int64()))
-    sets = np.frombuffer(b"".join(shingles.to_pylist()), np.uint64).reshape(len(shingles), -1)
+    sets = np.frombuffer(b"".join(shingles.to_pylist()), np.uint32).reshape(len(shingles), -1)
     new = np.ones(sets.shape, bool)
     new[:, 1:] = sets[:, 1:] != sets[:, :-1]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(1))]).astype(np.int32)), pa.array(sets[new].view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(1))]).astype(np.int32)), pa.array(sets[new].astype(np.int64)))
 
 
 def _split(buckets: DataFrame, threshold: float) -> DataFrame:
-    """``buckets`` (key, content, times, owner, shingles), those of HOT contents or more split by rare shingles.
+    """``buckets`` (key, content, times, owner, shingles) as smaller ones, by rare shingles.
 
-    Sets with a Jaccard similarity of t have t of either's shingles in common,
-    so no pair is lost, and no bucket is compared pair by pair as a whole.
+    Sets with a Jaccard similarity of t have a share t of either's shingles in
+    common, so no pair is lost.
     """
-    sizes = buckets.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("key")
-    hot = materialise(sizes, "hot")
-    if hot.isEmpty():
-        return buckets
-    large = materialise(buckets.join(hot, "key", "left_semi"), "large")
-    members = large.select("key", F.col("content").alias("id"), _distinct("shingles").alias("tokens"))
+    buckets = materialise(buckets, "open")
+    members = buckets.select("key", F.col("content").alias("id"), _distinct("shingles").alias("tokens"))
     keep = F.size("tokens") - F.ceil(F.size("tokens") * threshold - 1e-9).cast("int") + 1
     subs = split_by_rare_tokens(members, keep).select(F.col("key").alias("k"), F.col("id").alias("c"), "sub")
-    parts = large.join(subs, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c"))).select(F.col("sub").alias("key"), "content", "times", "owner", "shingles")
-    return buckets.join(hot, "key", "left_anti").unionByName(parts)
+    return buckets.join(subs, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c"))).select(F.col("sub").alias("key"), "content", "times", "owner", "shingles")
+
+
+def _linked(buckets: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """(key, u, v) of ``_links`` over every bucket, each whole in one partition."""
+    return buckets.repartition("key").sortWithinPartitions("key", F.desc("times"), "content").mapInArrow(_links(threshold, hot), "key bigint, u bigint, v bigint")
 
 
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
@@ -418,11 +428,10 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     that are alike have members of ``passages`` in common.
 
     Bands are tuned for a recall of 0.95 at that similarity; equal paragraphs
-    always collide, so any unchanged passage of 30 words or more is found
-    wherever it stands, and with a lower ``min_words`` any unchanged line of so
-    many words (3 at least). Buckets are not capped: equal contents collapse
+    always collide, so any unchanged passage of ``min_words`` is found
+    wherever it stands (lines of fewer than WORDS words only whole). Buckets are not capped: equal contents collapse
     first, a content already joined to another needs no further comparison, and
-    buckets of many contents are split by their rare shingles.
+    what is open after many is split by rare shingles.
 
     Null and empty texts, and rows without doc_id, have no passages; a word over
     and over is a passage like any other; repeats inside one document, and rows
@@ -430,9 +439,8 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     other columns are not looked at.
     """
     bands, rows = tune_bands(threshold)
-    least = min(min_words, WORDS)
     # One shuffle by bucket. A passage that half the corpus has is one row a batch.
-    keyed = contents(docs, bands, rows, least).select("content", "times", "lo", "hi", F.explode("keys").alias("key"))
+    keyed = contents(docs, bands, rows, min_words).select("content", "times", "lo", "hi", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
     ready = []
     for part in range(PARTS):
@@ -441,22 +449,30 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
         ready.append(materialise(spread.where("first < last").select("key", "content", "times", "lo", "hi", "several"), "paragraphs"))
     met = reduce(DataFrame.union, ready)
 
-    unlike = met.where("several").groupBy("key", "content").agg(F.sum("times").alias("times"), F.min("lo").alias("doc_id"), F.max("hi").alias("hi"))
+    several = [x.where("several").groupBy("key", "content").agg(F.sum("times").alias("times"), F.min("lo").alias("doc_id"), F.max("hi").alias("hi")) for x in ready]
+    wanted = met.where("several").groupBy("content").agg(F.min("lo").alias("doc_id"))
+    sets = materialise(_shingle_sets(docs, wanted, min_words), "sets")
     owner = F.when(F.col("doc_id") == F.col("hi"), F.col("doc_id")).otherwise(-1).alias("owner")
-    wanted = unlike.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    sets = _shingle_sets(docs, wanted, least)
-    buckets = materialise(unlike.join(sets, "content").select("key", "content", "times", owner, "shingles"), "buckets")
-    sorted_ = _split(buckets, threshold).repartition("key").sortWithinPartitions("key", F.desc("times"), "content")
-    parts = connected_components(sorted_.mapInArrow(_links(threshold), "u bigint, v bigint"))
-    release(buckets)
+    links = []
+    for unlike in several:
+        buckets = unlike.select("key", "content", "times", owner).join(sets, "content").select("key", "content", "times", "owner", "shingles")
+        links.append(materialise(_linked(buckets, threshold, HOT), "links"))
+        still = links[-1].where("v IS NULL").select("key", F.col("u").alias("content"))
+        if not still.isEmpty():
+            # A rare shingle's bucket is compared to its end.
+            links.append(materialise(_linked(_split(buckets.join(still, ["key", "content"], "left_semi"), threshold), threshold, 1 << 62), "links"))
+    release(sets)
+    parts = connected_components(reduce(DataFrame.union, links).where("v IS NOT NULL").select("u", "v"))
+    for x in links:
+        release(x)
 
     # The places of the contents that met another document, from a second reading.
     repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
-    found = places(docs, least).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end", "w", "w_end").distinct()
+    found = places(docs, min_words).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end", "w", "w_end").distinct()
     found = materialise(_occurrences(found), "found")
     for x in ready:
         release(x)
-    grown = _grown(materialise(surroundings(docs, _edges(found)), "places"))
+    grown = _grown(materialise(surroundings(docs, _edges(found), min_words), "places"))
     return _stretches(found.select("passage", "doc_id", "start", "end", "w", "w_end", "removed").union(grown), min_words)
 
 

@@ -248,7 +248,7 @@ def test_edited_passages_share_a_component(spark):
     assert {r.doc_id for r in got} == set(range(6))
 
 
-@pytest.mark.parametrize("between, lengths", [("\n", (15, 20, 25, 30, 40, 48)), (" ", (31, 35, 40, 48))])
+@pytest.mark.parametrize("between, lengths", [("\n", (15, 20, 25, 30, 40, 48)), (" ", (20, 25, 31, 35, 40, 48))])
 def test_short_paragraphs_are_found_among_other_words(spark, between, lengths):
     rng = np.random.default_rng(12)
     shared = [sentence(rng, n) for n in lengths for _ in range(8)]
@@ -264,7 +264,7 @@ def test_short_paragraphs_are_found_among_other_words(spark, between, lengths):
 def test_spans_cover_the_whole_repeated_passage(spark, edit):
     rng = np.random.default_rng(14)
     rows, where = [], {}
-    for i, n in enumerate(n for n in (33, 49, 60, 100) for _ in range(6)):
+    for i, n in enumerate(n for n in (40, 49, 60, 100) for _ in range(6)):
         words = sentence(rng, n).split()
         for j in range(2):
             if j and edit and n > 49:
@@ -273,7 +273,7 @@ def test_spans_cover_the_whole_repeated_passage(spark, edit):
             rows.append((2 * i + j, f"{before}{' '.join(words)} {sentence(rng, 40)}", "a"))
             where[2 * i + j] = (len(before), len(before) + len(" ".join(words)))
     covered = {i: set() for i in where}
-    for r in passages.repeated_passages(docs(spark, rows)).collect():
+    for r in passages.repeated_passages(docs(spark, rows), min_words=30 if edit else passages.MIN_WORDS).collect():
         covered[r.doc_id] |= set(range(r.start, r.end))
         assert r.removed == r.doc_id % 2
     share = [len(covered[i] & set(range(a, b))) / (b - a) for i, (a, b) in where.items()]
@@ -310,10 +310,13 @@ def test_bucket_links_join_what_pairs_join():
     sets = np.array(sets)
     ids = np.arange(30)
     pairs = [(a, b) for a, b in combinations(range(30), 2) if jaccard(set(sets[a]), set(sets[b])) >= 0.6]
-    assert groups_of(passages._bucket_links(ids, ids, sets, 0.6), range(30)) == groups_of(pairs, range(30))
+    assert groups_of(passages._bucket_links(ids, ids, sets, 0.6, 99)[0], range(30)) == groups_of(pairs, range(30))
+    links, still = passages._bucket_links(ids, ids, sets, 0.6, 1)
+    left = [p for p in pairs if set(p) <= set(still.tolist())]
+    assert len(still) and groups_of([*links, *left], range(30)) == groups_of(pairs, range(30))
     owner = np.where(ids % 4 == 0, -1, ids % 5)
     apart = [(a, b) for a, b in pairs if owner[a] != owner[b] or owner[a] < 0]
-    assert groups_of(passages._bucket_links(ids, owner, sets, 0.6), range(30)) == groups_of(apart, range(30))
+    assert groups_of(passages._bucket_links(ids, owner, sets, 0.6, 99)[0], range(30)) == groups_of(apart, range(30))
 
 
 def test_passages_on_odd_tables(spark):
@@ -330,7 +333,7 @@ def test_passages_on_odd_tables(spark):
 def passages_by_brute_force(rows, threshold, min_words):
     """All pairs of paragraphs, components, first occurrences; spans without growth."""
     (c,) = tv.chunks(pa.array([t for _, t, _ in rows]), 1 << 30)
-    p = passages.Paragraphs(c, min(min_words, passages.WORDS))
+    p = passages.Paragraphs(c, min_words)
     ids = [rows[r][0] for r in p.row]
     sets = [set(x.tolist()) for x in p.sets]
     of = {}
@@ -364,13 +367,13 @@ def test_repeats_against_all_pairs(spark, monkeypatch):
         for k in rng.integers(0, len(words), 4):
             words[k] = str(rng.choice(WORDS))
         rows.append((200 + i, " ".join(words), "a"))
-    want = passages_by_brute_force(rows, passages.THRESHOLD, passages.MIN_WORDS)
+    want = passages_by_brute_force(rows, passages.THRESHOLD, 30)
     texts = {i: t.split() for i, t, _ in rows}
     found = []
-    for hot in (passages.HOT, 2):
+    for hot in (passages.HOT, 1):
         monkeypatch.setattr(passages, "HOT", hot)
         got = {}
-        for r in passages.repeated_passages(docs(spark, rows)).collect():
+        for r in passages.repeated_passages(docs(spark, rows), min_words=30).collect():
             before = len(" ".join(texts[r.doc_id])[: r.start].split())
             got.setdefault((r.doc_id, r.removed), set()).update(range(before, before + r.words))
         found.append(got)
