@@ -313,38 +313,60 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS
     return rows.mapInArrow(run, _SETS).dropDuplicates(["content"])
 
 
-def _jaccard(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarity of a set (sorted shingles, repeats allowed) with each of many."""
-    base = np.unique(one)
-    fresh = np.ones(many.shape, bool)
-    fresh[:, 1:] = many[:, 1:] != many[:, :-1]
-    common = (np.isin(many, base) & fresh).sum(1)
-    return common / (len(base) + fresh.sum(1) - common)
+def _jaccard(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Exact Jaccard similarity of each set of ``one`` with that of ``other`` beside it (sorted shingles, repeats allowed)."""
+    out = np.empty(len(one))
+    for a in range(0, len(one), 1 << 15):  # bounds the memory
+        x, y = one[a : a + (1 << 15)], other[a : a + (1 << 15)]
+        new_x, new_y = np.ones(x.shape, bool), np.ones(y.shape, bool)
+        new_x[:, 1:], new_y[:, 1:] = x[:, 1:] != x[:, :-1], y[:, 1:] != y[:, :-1]
+        common = np.zeros(len(x), np.int64)
+        for k in range(x.shape[1]):
+            common += ((y == x[:, k : k + 1]) & new_y).any(1) & new_x[:, k]
+        out[a : a + (1 << 15)] = common / (new_x.sum(1) + new_y.sum(1) - common)
+    return out
+
 
+def _bucket_links(bucket: np.ndarray, owner: np.ndarray, sets: np.ndarray, threshold: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, open) of many buckets at once, ``bucket`` ascending: links as places, and places left open.
 
-def _bucket_links(ids: np.ndarray, owner: np.ndarray, sets: np.ndarray, threshold: float, hot: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(links, open) of one bucket: every pair is compared unless links found before
-    already join it, or both are open: contents that weren't compared with all others
-    when ``hot`` had been, and more than ``hot`` were left.
+    Every pair of a bucket is compared unless links found before already join
+    it, or both are open: contents that weren't compared with all others when
+    ``hot`` had been, and more than ``hot`` were left. In each round every
+    bucket compares one content with all that aren't joined yet.
 
     ``owner`` is the one document a content is of, -1 where it is of several. Two
     contents of one document alone aren't linked: they are alike for overlapping,
     and a chain of such would lead out of what repeats.
     """
-    out, rest, queue, done = [], np.arange(len(ids)), [], 0
-    while len(rest) and (queue or len(rest) > 1):
-        if done >= hot and len(rest) > hot:
-            return out, ids[np.concatenate([np.array(queue, np.int64), rest])]
-        if not queue:
-            queue, rest = [rest[0]], rest[1:]
-        x = queue.pop()
-        near = _jaccard(sets[x], sets[rest]) >= threshold
-        near &= (owner[rest] != owner[x]) | (owner[x] < 0)
-        out += [(ids[y], ids[x]) for y in rest[near]]
-        queue += rest[near].tolist()
-        rest = rest[~near]
-        done += 1
-    return out, ids[:0]
+    us, vs, still = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    status = np.zeros(len(bucket), np.int8)  # not joined yet, joined but not compared, compared
+    idx, done = np.arange(len(bucket)), 0
+    while True:
+        first = np.flatnonzero(np.diff(bucket[idx], prepend=-1) != 0) if len(idx) else np.zeros(0, np.int64)
+        if not len(first):
+            break
+        size = np.diff(np.append(first, len(idx)))
+        free = np.add.reduceat((status[idx] == 0).astype(np.int64), first)
+        left = (free > hot) & (done >= hot)
+        still.append(idx[np.repeat(left, size)])
+        on = (free > 0) & (size > 1) & ~left
+        idx, size = idx[np.repeat(on, size)], size[on]
+        if not len(idx):
+            break
+        first = np.cumsum(size) - size
+        pick = np.minimum.reduceat(np.where(status[idx] == 1, 0, len(idx)) + np.arange(len(idx)), first) % len(idx)
+        x = idx[pick]
+        status[x] = 2
+        rest = np.flatnonzero(status[idx] == 0)
+        hub, rest = np.repeat(x, size)[rest], idx[rest]
+        near = (owner[rest] != owner[hub]) | (owner[hub] < 0)
+        near[near] = _jaccard(sets[rest[near]], sets[hub[near]]) >= threshold
+        us.append(rest[near])
+        vs.append(hub[near])
+        status[rest[near]] = 1
+        idx, done = idx[status[idx] != 2], done + 1
+    return np.concatenate(us), np.concatenate(vs), np.concatenate(still)
 
 
 def _links(threshold: float, hot: int):
@@ -355,14 +377,11 @@ def _links(threshold: float, hot: int):
         t = pa.Table.from_batches(held)
         key, ids, owner = (t.column(n).to_numpy() for n in ("key", "content", "owner"))
         sets = np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint32).reshape(len(ids), -1)
-        edges = np.flatnonzero(np.diff(key)) + 1
-        keys, us, vs = [], [], []
-        for a, b in zip([0, *edges], [*edges, len(key)]):
-            links, still = _bucket_links(ids[a:b], owner[a:b], sets[a:b], threshold, hot)
-            us += [u for u, _ in links] + still.tolist()
-            vs += [v for _, v in links] + [None] * len(still)
-            keys += [key[a]] * (len(links) + len(still))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, us, vs)], names=["key", "u", "v"])
+        bucket = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        u, v, still = _bucket_links(bucket, owner, sets, threshold, hot)
+        keys, us = (pa.array(x[np.concatenate([u, still])]) for x in (key, ids))
+        vs = pa.array(np.concatenate([ids[v], np.zeros(len(still), np.int64)]), mask=np.arange(len(u) + len(still)) >= len(u))
+        return pa.RecordBatch.from_arrays([keys, us, vs], names=["key", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

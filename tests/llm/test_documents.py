@@ -310,13 +310,15 @@ def test_bucket_links_join_what_pairs_join():
     sets = np.array(sets)
     ids = np.arange(30)
     pairs = [(a, b) for a, b in combinations(range(30), 2) if jaccard(set(sets[a]), set(sets[b])) >= 0.6]
-    assert groups_of(passages._bucket_links(ids, ids, sets, 0.6, 99)[0], range(30)) == groups_of(pairs, range(30))
-    links, still = passages._bucket_links(ids, ids, sets, 0.6, 1)
-    left = [p for p in pairs if set(p) <= set(still.tolist())]
-    assert len(still) and groups_of([*links, *left], range(30)) == groups_of(pairs, range(30))
-    owner = np.where(ids % 4 == 0, -1, ids % 5)
-    apart = [(a, b) for a, b in pairs if owner[a] != owner[b] or owner[a] < 0]
-    assert groups_of(passages._bucket_links(ids, owner, sets, 0.6, 99)[0], range(30)) == groups_of(apart, range(30))
+    alone, both = np.zeros(30, np.int64), np.repeat([0, 1], 15)
+    for bucket, hot in ((alone, 99), (both, 99), (alone, 1), (both, 1)):
+        for owner in (ids, np.where(ids % 4 == 0, -1, ids % 5)):
+            u, v, still = passages._bucket_links(bucket, owner, sets, 0.6, hot)
+            want = [(a, b) for a, b in pairs if bucket[a] == bucket[b] and (owner[a] != owner[b] or owner[a] < 0)]
+            open_ = set(still.tolist())
+            left = [p for p in want if set(p) <= open_]
+            assert set(zip(u.tolist(), v.tolist())) <= {p for a, b in want for p in ((a, b), (b, a))}
+            assert bool(open_) == (hot == 1) and groups_of([*zip(u.tolist(), v.tolist()), *left], range(30)) == groups_of(want, range(30))
 
 
 def test_passages_on_odd_tables(spark):
