@@ -43,6 +43,10 @@ class MarkupError(ValueError):
         super().__init__(f"{self.line}:{self.column} {message}")
 
 
+class UnwritableError(ValueError):
+    """A tree that no markup stands for."""
+
+
 def is_name(raw: bytes) -> bool:
     try:
         return _NAME.fullmatch(raw.decode()) is not None
@@ -122,10 +126,12 @@ class _Reader:
         return sucked
 
 
-def parse(data: bytes) -> list[Node]:
-    """Nodes of a document, in pre-order; raises MarkupError at the first fault."""
+def parse(data: bytes, elements: bool = True) -> list[Node]:
+    """Nodes of a document, in pre-order; raises MarkupError at the first fault.
+
+    Without ``elements`` it is read as text and references alone."""
     r = _Reader(data)
-    stack = [_Open("top")]
+    stack = [_Open("top", markup=elements)]
     at, size = 0, len(data)
     while at < size:
         top = stack[-1]
@@ -454,18 +460,26 @@ def write_tags(nodes: list[Node], xml: bool = False) -> str:
     return "".join(out)
 
 
+_NAME_BYTES = bytes(b for b in range(256) if b not in SPACES and b not in b"()[]{}")
+_MARKING = re.compile(rb"[\[{\]]")
+
+
 def write_markup(nodes: list[Node]) -> str:
     """The bracket markup of a forest whose texts are balanced; false names and
-    references are set apart by a space sucker."""
+    references are set apart by a space sucker. Raises UnwritableError for
+    attributes that don't lead an element, and for nodes of no known kind."""
     out = bytearray()
     last, open_ref = 0x5B, False
 
     def put(data: bytes) -> None:
         nonlocal last, open_ref
-        for b in data:
-            named = b not in SPACES and b not in b"()[]{}"
-            open_ref = b == 0x5B or (open_ref and named)
-            last = b
+        if not data:
+            return
+        last = data[-1]
+        # Of a run of name bytes, what counts is the byte before it.
+        edge = data[len(data.rstrip(_NAME_BYTES)) - 1 :][:1] if last in _NAME_BYTES else data[-1:]
+        if edge and edge not in _NAME_BYTES:
+            open_ref = edge == b"["
         out.extend(data)
 
     def glued() -> bool:
@@ -474,7 +488,7 @@ def write_markup(nodes: list[Node]) -> str:
     def text(value: str, elements: bool) -> None:
         data = value.encode()
         at = 0
-        for hit in re.finditer(rb"[\[{\]]", data):
+        for hit in _MARKING.finditer(data):
             put(data[at : hit.start()])
             at = hit.start()
             if glued() and ((elements and data[at] != 0x5D) or (data[at] == 0x5D and open_ref)):
@@ -495,6 +509,8 @@ def write_markup(nodes: list[Node]) -> str:
             text(n.value, True)
         elif n.kind == REF:
             put(f"[{n.name}]".encode())
+        elif n.kind not in (RAW, COMMENT, ELEMENT):
+            raise UnwritableError(f"{n.kind} out of place")
         else:
             lead = {RAW: "+", COMMENT: "-"}.get(n.kind) or n.name
             if glued() and lead:
@@ -508,6 +524,8 @@ def write_markup(nodes: list[Node]) -> str:
                 a = nodes[i]
                 put(mark + f"{a.name}=[".encode())
                 for v in nodes[i + 1 : a.end]:
+                    if v.kind not in (REF, TEXT, RAW):
+                        raise UnwritableError(f"{v.kind} in an attribute value")
                     put(f"[{v.name}]".encode()) if v.kind == REF else text(v.value, False)
                 put(b"]")
                 mark, i = b" ", a.end

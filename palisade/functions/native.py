@@ -62,6 +62,16 @@ def error_text(error: Column) -> Column:
     return F.when(error.isNotNull(), F.format_string("%d:%d %s", error["line"], error["col"], error["msg"]))
 
 
+def text_stop(text: Column, error: Column) -> Column:
+    """STRUCT(stop, closer, fault) of reading ``text`` to its end or to the first closer
+    that nothing opened, which is not consumed: ``error`` is its ``bracket_error``.
+    A null text gives a null; a pair that doesn't match gives a fault and no stop."""
+    at_closer = F.coalesce(F.startswith(error["msg"], F.lit("unmatched closer")), F.lit(False))
+    stop = F.when(at_closer, error["ofs"]).when(error.isNull(), F.octet_length(text).cast("bigint"))
+    closer = F.when(at_closer, F.right(error["msg"], F.lit(1)))
+    return F.when(text.isNotNull(), F.struct(stop.alias("stop"), closer.alias("closer"), F.when(~at_closer, error_text(error)).alias("fault")))
+
+
 def unmatched_residue(text: Column, rounds: int) -> Column:
     """What is left of the brackets after ``rounds`` deletions of adjacent pairs:
     empty exactly for balanced text nested no deeper than ``rounds``."""
@@ -164,13 +174,10 @@ def escape_name(bracket: Column, symbolic: bool = False) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), bracket)
 
 
-#: The usual extensions of markup files: m, and the long form of it.
-USUAL_EXTENSION = r"\.m(?:in[m]l)?\z"
+#: The extension of markup files where none are named.
+EXTENSIONS = ("m",)
 
 
-def is_markup_file(path: Column, extensions: tuple[str, ...] = ()) -> Column:
-    """Whether the path's last extension is one of these (without the dot), or of
-    the usual ones if none are named; case matters."""
-    if not extensions:
-        return path.rlike(USUAL_EXTENSION)
+def is_markup_file(path: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
+    """Whether the path's last extension is one of these (without the dot); case matters."""
     return F.regexp_extract(path, r"\.([^./]+)\z", 1).isin(*extensions)

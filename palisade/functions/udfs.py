@@ -115,21 +115,32 @@ def ast_array(forests: list[list[markup.Node] | None]) -> pa.Array:
 
 
 def forests(column: pa.Array) -> list[list[markup.Node] | None]:
-    out = []
-    for x in column.to_pylist():
-        out.append(None if x is None else [markup.Node(n["kind"], n["name"], n["value"], -1 if n["parent_id"] is None else n["parent_id"], n["depth"], n["subtree_end"], n["ordinal"]) for n in x])
+    """Flat forests of a column of arrays of node structs, read field by field."""
+    flat = column.flatten()
+    fields = dict(zip((f.name for f in flat.type), flat.flatten()))
+    numbers = (fields[n].fill_null(-1).to_numpy(zero_copy_only=False).tolist() for n in ("parent_id", "depth", "subtree_end", "ordinal"))
+    nodes = list(map(markup.Node, *(_shared(fields[n]) for n in ("kind", "name")), fields["value"].to_pylist(), *numbers))
+    out, at = [], 0
+    for size in column.value_lengths().to_pylist():
+        out.append(None if size is None else nodes[at : at + size])
+        at += size or 0
     return out
 
 
-@F.arrow_udf(PARSED)
-def parse_markup(data: pa.Array) -> pa.Array:
-    """STRUCT(ast, error): the nodes of a document, or the first fault; one of them is null."""
+def _shared(column: pa.Array) -> list[str | None]:
+    """The strings of a column of few distinct ones, each made once."""
+    coded = column.dictionary_encode()
+    words = [*coded.dictionary.to_pylist(), None]
+    return [words[i] for i in coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+
+
+def _parse(data: pa.Array, elements: bool) -> pa.Array:
     trees, errors = [], []
     for x in _values(data):
         tree = error = None
         if x is not None:
             try:
-                tree = markup.parse(x)
+                tree = markup.parse(x, elements)
             except markup.MarkupError as e:
                 error = {"msg": e.message, "ofs": e.offset, "line": e.line, "col": e.column}
         trees.append(tree)
@@ -137,6 +148,18 @@ def parse_markup(data: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([ast_array(trees), pa.array(errors, _PA_ERROR)], names=["ast", "error"], mask=data.is_null())
 
 
+@F.arrow_udf(PARSED)
+def parse_markup(data: pa.Array) -> pa.Array:
+    """STRUCT(ast, error): the nodes of a document, or the first fault; one of them is null."""
+    return _parse(data, True)
+
+
+@F.arrow_udf(PARSED)
+def parse_text(data: pa.Array) -> pa.Array:
+    """The same for text without elements: texts and references only, as in attribute values."""
+    return _parse(data, False)
+
+
 def _rewrite(step):
     @F.arrow_udf(AST)
     def rewrite(ast: pa.Array) -> pa.Array:
@@ -154,8 +177,16 @@ ast_escape_symbolic = _rewrite(lambda f: markup.escape_brackets(f, entities.SYMB
 @F.arrow_udf(T.StringType())
 def to_markup(ast: pa.Array) -> pa.Array:
     """The markup of an AST; what comes next depends on the byte written last, so
-    this is the one writer that no aggregate can express."""
-    return pa.array([None if f is None else markup.write_markup(f) for f in forests(ast)], pa.string())
+    this is the one writer that no aggregate can express. An AST that no markup
+    can stand for (see ``nodes.write_fault``) gives null."""
+
+    def write(f: list[markup.Node]) -> str | None:
+        try:
+            return markup.write_markup(f)
+        except markup.UnwritableError:
+            return None
+
+    return pa.array([None if f is None else write(f) for f in forests(ast)], pa.string())
 
 
 CONVERTED = T.StructType([T.StructField("html", T.StringType()), T.StructField("error", ERROR)])
@@ -194,6 +225,6 @@ class MarkupNodes:
 
 def register(spark) -> None:  # noqa: ANN001
     """Make the functions callable from SQL."""
-    for name in ("unmatched_offsets", "unmatched_mask", "is_balanced", "embedding_count", "bracket_error", "matcher_pairs", "parse_markup", "ast_decode_entities", "ast_direct_quotes", "ast_escape_decimal", "ast_escape_symbolic", "to_markup", "markup_to_html"):
+    for name in ("unmatched_offsets", "unmatched_mask", "is_balanced", "embedding_count", "bracket_error", "matcher_pairs", "parse_markup", "parse_text", "ast_decode_entities", "ast_direct_quotes", "ast_escape_decimal", "ast_escape_symbolic", "to_markup", "markup_to_html"):
         spark.udf.register(name, globals()[name])
     spark.udtf.register("markup_nodes", MarkupNodes)

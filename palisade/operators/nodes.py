@@ -145,6 +145,31 @@ def diff_nodes(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("doc_id",)) ->
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
+def events(nodes: DataFrame, comments: bool = True, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The parser's events of a node table, with their order ``seq`` in the document:
+    start and end of elements and attributes, texts, raw texts, references and, unless
+    left out, comments. A node's end comes at the last place of its subtree, deeper
+    ones first; places follow from the table itself, without a shuffle."""
+
+    def event(kind: Column, seq: list[Column], name: Column, value: Column) -> Column:
+        return F.struct(F.struct(*[c.cast("int").alias(n) for n, c in zip(("at", "phase", "inner"), seq)]).alias("seq"), kind.alias("event"), name.alias("name"), value.alias("value"))
+
+    holds = F.col("kind").isin(markup.ELEMENT, markup.ATTR)
+    begin = event(F.when(holds, F.concat(F.lit("start "), "kind")).otherwise(F.col("kind")), [F.col("node_id"), F.lit(0), F.lit(0)], F.col("name"), F.col("value"))
+    end = event(F.concat(F.lit("end "), "kind"), [F.col("subtree_end") - 1, F.lit(1), -F.col("depth")], F.col("name"), F.lit(None).cast("string"))
+    kept = nodes if comments else nodes.where(F.col("kind") != markup.COMMENT)
+    return kept.select(*by, F.inline(F.when(holds, F.array(begin, end)).otherwise(F.array(begin))))
+
+
+def write_fault(ast: Column) -> Column:
+    """Why no markup, HTML or XML stands for an AST: its first node of no known kind, or
+    attribute that is not an element's. Null where there is none."""
+    kinds = [markup.TEXT, markup.RAW, markup.REF, markup.ELEMENT, markup.ATTR, markup.COMMENT]
+    parent = lambda n: F.get(ast, n["parent_id"])["kind"]
+    bad = F.filter(ast, lambda n: ~F.coalesce(n["kind"].isin(kinds), F.lit(False)) | ((n["kind"] == markup.ATTR) & ~parent(n).eqNullSafe(F.lit(markup.ELEMENT))))
+    return F.when(F.size(bad) > 0, F.concat(F.coalesce(bad[0]["kind"], F.lit("nothing")), F.lit(" out of place")))
+
+
 def children(nodes: DataFrame) -> DataFrame:
     """(doc_id, parent, child ids ...): parent-child pairs by equi-join."""
     up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), F.col("name").alias("parent_name"))

@@ -20,9 +20,9 @@ def unmatched_rows(df: DataFrame, text: Column, *keep: str) -> DataFrame:
 def census(df: DataFrame, text: Column, *by: str) -> DataFrame:
     """Per group: documents, those with brackets, unmatched brackets, and embeddings
     (matched pairs). One pass; the sums combine map-side."""
-    b = F.encode(text, "UTF-8")
     has = native.has_matcher(text)
-    lost = F.when(has, F.size(udfs.unmatched_offsets(b))).otherwise(0)
+    # The condition is in the argument: texts without a bracket cross to Python as nulls.
+    lost = F.when(has, F.size(udfs.unmatched_offsets(F.when(has, F.encode(text, "UTF-8"))))).otherwise(0)
     per = df.select(*by, has.alias("has"), native.count_matchers(text).alias("n"), lost.alias("lost"))
     return per.groupBy(*by).agg(
         F.count(F.lit(1)).alias("docs"),

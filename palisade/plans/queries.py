@@ -13,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palisade.core import entities
 from palisade.core.markup import NAME_PATTERN
@@ -128,10 +129,11 @@ _EVENTS = "SELECT event_id AS id, reverse(props) AS t FROM events"
 
 
 @query(f"""WITH {scan_sql(_EVENTS)}
-SELECT p.id AS event_id, string_agg(CASE WHEN l.id IS NULL THEN '00' ELSE hex(p.c) END, '' ORDER BY p.i) AS mask
-FROM placed p LEFT JOIN (SELECT id, u.ofs AS ofs FROM lost) l ON l.id = p.id AND l.ofs = p.ofs GROUP BY p.id""")
+SELECT src.id AS event_id, CASE WHEN t = '' THEN '' ELSE mask END AS mask FROM src LEFT JOIN (
+SELECT p.id, string_agg(CASE WHEN l.id IS NULL THEN '00' ELSE hex(p.c) END, '' ORDER BY p.i) AS mask
+FROM placed p LEFT JOIN (SELECT id, u.ofs AS ofs FROM lost) l ON l.id = p.id AND l.ofs = p.ofs GROUP BY p.id) m ON m.id = src.id""")
 def unmatched_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("props <> ''")
+    events = table(spark, sf_dir, "events")
     return events.select("event_id", F.hex(udfs.unmatched_mask(F.reverse("props"))).alias("mask"))
 
 
@@ -168,28 +170,42 @@ def byte_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", native.byte_position(data, ofs).alias("p")).select("doc_id", "p.ofs", "p.line", "p.col")
 
 
-@query(f"""WITH {scan_sql(_DOCS)},
+_FIRST_FAULT = f"""WITH {scan_sql(_DOCS)},
 d AS (SELECT *, sum(CASE c WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY id ORDER BY i) AS depth FROM bracket),
 f AS (SELECT id, min(i) FILTER (depth < 0) AS bad, min_by(ofs, i) FILTER (depth < 0) AS ofs, max_by(depth, i) AS final FROM d GROUP BY id),
-e AS (SELECT s.id, CASE WHEN bad IS NOT NULL THEN left(t, (bad - 1)::INTEGER) ELSE t END AS before, CASE WHEN bad IS NOT NULL THEN 'unmatched closer )' WHEN final > 0 THEN 'unmatched opener (' END AS msg FROM src s LEFT JOIN f ON s.id = f.id)
+e AS (SELECT s.id, CASE WHEN bad IS NOT NULL THEN left(t, (bad - 1)::INTEGER) ELSE t END AS before, CASE WHEN bad IS NOT NULL THEN 'unmatched closer )' WHEN final > 0 THEN 'unmatched opener (' END AS msg FROM src s LEFT JOIN f ON s.id = f.id)"""
+
+
+@query(_FIRST_FAULT + """
 SELECT id AS doc_id, CASE WHEN msg IS NOT NULL THEN (len(before) - len(replace(before, chr(10), '')) + 1) || ':' || (strlen(list_last(string_split(before, chr(10)))) + 1) || ' ' || msg END AS error FROM e""")
 def bracket_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", udfs.bracket_error(_translated("text", ".,", "()")).alias("e"))
     return docs.select("doc_id", native.error_text(F.col("e")).alias("error"))
 
 
+@query(_FIRST_FAULT + """
+SELECT id AS doc_id, CASE WHEN msg IS NULL OR msg LIKE 'unmatched closer%' THEN strlen(before) END AS stop, CASE WHEN msg LIKE 'unmatched closer%' THEN right(msg, 1) END AS closer,
+CASE WHEN msg LIKE 'unmatched opener%' THEN (len(before) - len(replace(before, chr(10), '')) + 1) || ':' || (strlen(list_last(string_split(before, chr(10)))) + 1) || ' ' || msg END AS fault FROM e""")
+def read_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading up to the first closer that nothing opened."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _translated("text", ".,", "()").alias("t"))
+    stops = docs.select("doc_id", native.text_stop(F.col("t"), udfs.bracket_error(F.col("t"))).alias("s"))
+    return stops.select("doc_id", "s.stop", "s.closer", "s.fault")
+
+
 # --- escaping and lexical predicates ----------------------------------------
 
 
 def _escaped_sql(names: dict[str, str]) -> str:
     cases = " ".join(f"WHEN '{b}' THEN '&{n};'" for b, n in names.items())
     return f"""WITH {scan_sql(_DOCS)}
-SELECT p.id AS doc_id, string_agg(CASE WHEN l.id IS NULL THEN CASE p.c WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' ELSE p.c END ELSE CASE p.c {cases} END END, '' ORDER BY p.i) AS html
-FROM placed p LEFT JOIN (SELECT id, u.ofs AS ofs FROM lost) l ON l.id = p.id AND l.ofs = p.ofs GROUP BY p.id"""
+SELECT src.id AS doc_id, CASE WHEN t = '' THEN '' ELSE html END AS html FROM src LEFT JOIN (
+SELECT p.id, string_agg(CASE WHEN l.id IS NULL THEN CASE p.c WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' ELSE p.c END ELSE CASE p.c {cases} END END, '' ORDER BY p.i) AS html
+FROM placed p LEFT JOIN (SELECT id, u.ofs AS ofs FROM lost) l ON l.id = p.id AND l.ofs = p.ofs GROUP BY p.id) h ON h.id = src.id"""
 
 
 def _escaped(spark: SparkSession, sf_dir: str, symbolic: bool) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", nodes.new_text(_translated("text", ".,", "()")).alias("ast"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), nodes.new_text(_translated("text", ".,", "()"))).alias("ast"))
     return docs.transform(transforms.escape_matchers(symbolic)).select("doc_id", writers.to_html(F.col("ast")).alias("html"))
 
 
@@ -227,10 +243,10 @@ def xml_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", native.tag_comment(F.col("html")).alias("note"))
 
 
-@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM pages WHERE html <> ''")
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM pages")
 def raw_text_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text in HTML is escaped, as HTML has no CDATA."""
-    return table(spark, sf_dir, "pages").where("html <> ''").select("page_id", nodes.new_raw_text(F.col("html")).alias("ast")).select("page_id", writers.to_html(F.col("ast")).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("html").isNotNull(), nodes.new_raw_text(F.col("html"))).alias("ast")).select("page_id", writers.to_html(F.col("ast")).alias("html"))
 
 
 @query("SELECT event_id, event_id * 131 AS cp, event_id * 131 IN (9, 10, 13) OR event_id * 131 BETWEEN 32 AND 55295 OR event_id * 131 BETWEEN 57344 AND 65533 OR event_id * 131 BETWEEN 65536 AND 1114111 AS valid FROM events")
@@ -266,10 +282,10 @@ def xml_reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", "r", native.is_xml_reference(F.col("r")).alias("xml"), native.is_markup_reference(F.col("r")).alias("markup"))
 
 
-@query("""SELECT n_nationkey, b AS opener, c AS closer, b || c IN ('()', '[]', '{}') AS matched FROM (SELECT n_nationkey, substr('()[]{}', 1 + n_nationkey % 6, 1) AS b, substr('()[]{}', 1 + (n_nationkey // 3) % 6, 1) AS c FROM nation)""")
+@query("""SELECT c_custkey, b AS opener, c AS closer, b || c IN ('()', '[]', '{}') AS matched FROM (SELECT c_custkey, substr('()[]{}', 1 + c_custkey % 6, 1) AS b, substr('()[]{}', 1 + (c_custkey // 3) % 6, 1) AS c FROM customer)""")
 def matched_pairs_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, c = F.expr("substr('()[]{}', 1 + n_nationkey % 6, 1)"), F.expr("substr('()[]{}', 1 + (n_nationkey div 3) % 6, 1)")
-    return table(spark, sf_dir, "nation").select("n_nationkey", b.alias("opener"), c.alias("closer"), native.is_matched(b, c).alias("matched"))
+    b, c = F.expr("substr('()[]{}', 1 + c_custkey % 6, 1)"), F.expr("substr('()[]{}', 1 + (c_custkey div 3) % 6, 1)")
+    return table(spark, sf_dir, "customer").select("c_custkey", b.alias("opener"), c.alias("closer"), native.is_matched(b, c).alias("matched"))
 
 
 # --- documents --------------------------------------------------------------
@@ -279,20 +295,20 @@ def _parsed(df: DataFrame, key: str, markup: Column) -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), udfs.parse_markup(markup).alias("p")).select("doc_id", "p.ast", "p.error")
 
 
-_ENTITY = "CASE n_nationkey % 5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} ELSE {4} END"
+_ENTITY = "CASE c_custkey % 5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} ELSE {4} END"
 
 
 def _entity_query(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     name = F.expr(_ENTITY.format(*[f"'{n}'" for n in names]))
-    markup = F.concat(F.lit("p{a=[["), name, F.lit("]]}["), F.col("n_name"), F.lit(" <["), name, F.lit("]]"))
-    flat = nodes.explode_nodes(_parsed(table(spark, sf_dir, "nation"), "n_nationkey", markup).select("doc_id", "ast"))
+    markup = F.concat(F.lit("p{a=[["), name, F.lit("]]}["), F.col("c_name"), F.lit(" <["), name, F.lit("]]"))
+    flat = nodes.explode_nodes(_parsed(table(spark, sf_dir, "customer"), "c_custkey", markup).select("doc_id", "ast"))
     return writers.nodes_to_html(transforms.decode_node_entities(flat))
 
 
 def _entity_sql(names: list[str], texts: list[str | None]) -> str:
     name = _ENTITY.format(*[f"'{n}'" for n in names])
     shown = _ENTITY.format(*[f"'{x}'" if x else f"'&{n};'" for n, x in zip(names, texts)])
-    return f"""SELECT n_nationkey::BIGINT AS doc_id, '<p a="&' || {name} || ';">' || n_name || {shown} || '</p>' AS html FROM nation"""
+    return f"""SELECT c_custkey::BIGINT AS doc_id, '<p a="&' || {name} || ';">' || c_name || {shown} || '</p>' AS html FROM customer"""
 
 
 @query(_entity_sql(["amp", "eacute", "star", "nosuch", "#233"], ["&amp;", "é", "☆", None, None]))
@@ -313,24 +329,43 @@ def quote_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _row_markup() -> Column:
-    return F.concat(F.lit("tr{id=r"), F.col("n_nationkey"), F.lit("}[td["), F.col("n_nationkey"), F.lit("]> td["), F.col("n_name"), F.lit("]]"))
+    return F.concat(F.lit("tr{id=r"), F.col("c_custkey"), F.lit("}[td["), F.col("c_custkey"), F.lit("]> td["), F.col("c_name"), F.lit("]]"))
 
 
-@query("""SELECT n_nationkey AS doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS node_id, unnest([NULL, 0, 1, 0, 3, 0, 5]) AS parent_id, unnest([0, 0, 0, 0, 0, 1, 0]) AS ordinal, unnest([0, 1, 2, 1, 2, 1, 2]) AS depth,
+@query("""SELECT c_custkey AS doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS node_id, unnest([NULL, 0, 1, 0, 3, 0, 5]) AS parent_id, unnest([0, 0, 0, 0, 0, 1, 0]) AS ordinal, unnest([0, 1, 2, 1, 2, 1, 2]) AS depth,
 unnest([7, 3, 3, 5, 5, 7, 7]) AS subtree_end, unnest(['element', 'attr', 'text', 'element', 'text', 'element', 'text']) AS kind, unnest(['tr', 'id', NULL, 'td', NULL, 'td', NULL]) AS name,
-unnest([NULL, NULL, 'r' || n_nationkey, NULL, n_nationkey::VARCHAR, NULL, n_name]) AS value FROM nation""")
+unnest([NULL, NULL, 'r' || c_custkey, NULL, c_custkey::VARCHAR, NULL, c_name]) AS value FROM customer""")
 def markup_parse_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _row_markup().alias("content"))
     return nodes.markup_nodes(df)
 
 
-_BROKEN = "CASE n_nationkey % 6 WHEN 0 THEN 'p[' || n_name WHEN 1 THEN n_name || ']' WHEN 2 THEN 'p{a}[]' WHEN 3 THEN 'p{a=x}' WHEN 4 THEN 'a(]' || n_name ELSE n_name END"
+@query("""SELECT c_custkey AS doc_id, unnest([0, 1, 2, 3, 4]) AS node_id, unnest(['text', 'ref', 'text', 'ref', 'text']) AS kind, unnest([NULL, c_name, NULL, 'amp', NULL]) AS name,
+unnest([c_mktsegment, NULL, ' ', NULL, ' {' || c_custkey || '}']) AS value FROM customer""")
+def text_only_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without elements: what would be one is text and a reference."""
+    markup = F.concat("c_mktsegment", F.lit("["), "c_name", F.lit("] [amp] {"), "c_custkey", F.lit("}"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), udfs.parse_text(markup)["ast"].alias("ast"))
+    return nodes.explode_nodes(docs).select("doc_id", "node_id", "kind", "name", "value")
+
+
+@query("""SELECT c_custkey AS doc_id, unnest(range(1, 13)) AS place, unnest(['start element', 'start attr', 'text', 'end attr', 'start element', 'text', 'end element', 'start element', 'text', 'end element', 'end element', 'comment']) AS event,
+unnest(['tr', 'id', NULL, 'id', 'td', NULL, 'td', 'td', NULL, 'td', 'tr', NULL]) AS name, unnest([NULL, NULL, 'r' || c_custkey, NULL, NULL, c_custkey::VARCHAR, NULL, NULL, c_name, NULL, NULL, 'n']) AS value FROM customer""")
+def node_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the order a parser gives them; the places are counted only to show it."""
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(_row_markup(), F.lit("-[n]")).alias("content"))
+    found = nodes.events(nodes.markup_nodes(df))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("bigint")
+    return found.select("doc_id", place.alias("place"), "event", "name", "value")
+
+
+_BROKEN = "CASE c_custkey % 6 WHEN 0 THEN 'p[' || c_name WHEN 1 THEN c_name || ']' WHEN 2 THEN 'p{a}[]' WHEN 3 THEN 'p{a=x}' WHEN 4 THEN 'a(]' || c_name ELSE c_name END"
 
 
-@query(f"""SELECT n_nationkey AS doc_id, CASE n_nationkey % 6 WHEN 0 THEN '1:' || (strlen(n_name) + 3) || ' unmatched opener [' WHEN 1 THEN '1:' || (strlen(n_name) + 1) || ' expected end of file' WHEN 2 THEN '1:4 attribute value expected'
-WHEN 3 THEN '1:7 expecting opener [' WHEN 4 THEN '1:3 opener ( closed with mismatched ]' END AS error, n_nationkey % 6 = 5 AS parsed FROM nation""")
+@query(f"""SELECT c_custkey AS doc_id, CASE c_custkey % 6 WHEN 0 THEN '1:' || (strlen(c_name) + 3) || ' unmatched opener [' WHEN 1 THEN '1:' || (strlen(c_name) + 1) || ' expected end of file' WHEN 2 THEN '1:4 attribute value expected'
+WHEN 3 THEN '1:7 expecting opener [' WHEN 4 THEN '1:3 opener ( closed with mismatched ]' END AS error, c_custkey % 6 = 5 AS parsed FROM customer""")
 def markup_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _parsed(table(spark, sf_dir, "nation"), "n_nationkey", F.expr(_BROKEN))
+    docs = _parsed(table(spark, sf_dir, "customer"), "c_custkey", F.expr(_BROKEN))
     return docs.select("doc_id", native.error_text(F.col("error")).alias("error"), F.col("ast").isNotNull().alias("parsed"))
 
 
@@ -385,40 +420,40 @@ def void_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("n", writers.to_html(F.col("empty")).alias("html"), writers.to_xml(F.col("empty")).alias("xml"), writers.to_html(F.col("full")).alias("filled"))
 
 
-@query("""SELECT n_nationkey AS doc_id, n_nationkey % 3 = 0 AS same, n_nationkey % 3 <> 0 AND false AS raw_is_text FROM nation""")
+@query("""SELECT c_custkey AS doc_id, c_custkey % 3 = 0 AS same, c_custkey % 3 <> 0 AND false AS raw_is_text FROM customer""")
 def node_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equality is deep, and tells text from raw text."""
-    name = F.col("n_name")
+    name = F.col("c_name")
     one = nodes.new_element(F.lit("p"), nodes.new_text(name))
-    other = nodes.new_element(F.when(F.col("n_nationkey") % 3 == 0, "p").otherwise("q"), nodes.new_text(name))
+    other = nodes.new_element(F.when(F.col("c_custkey") % 3 == 0, "p").otherwise("q"), nodes.new_text(name))
     raw = nodes.new_element(F.lit("p"), nodes.new_raw_text(name))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), nodes.same_ast(one, other).alias("same"), nodes.same_ast(one, raw).alias("raw_is_text"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), nodes.same_ast(one, other).alias("same"), nodes.same_ast(one, raw).alias("raw_is_text"))
 
 
-@query("""SELECT n_nationkey AS doc_id, unnest([6, 6]) AS node_id, unnest([n_name, lower(n_name)]) AS value, unnest(['a', 'b']) AS side FROM nation WHERE n_name <> lower(n_name)""")
+@query("""SELECT c_custkey AS doc_id, unnest([6, 6]) AS node_id, unnest([c_name, lower(c_name)]) AS value, unnest(['a', 'b']) AS side FROM customer WHERE c_name <> lower(c_name)""")
 def node_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"), "n_name")
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _row_markup().alias("content"), "c_name")
     a = nodes.markup_nodes(df)
     b = a.withColumn("value", F.when(F.col("node_id") == 6, F.lower("value")).otherwise(F.col("value")))
     return nodes.diff_nodes(a, b).select("doc_id", "node_id", "value", "side")
 
 
-@query("""SELECT kind, name, n, deepest FROM (SELECT count(*) AS k FROM nation), LATERAL (SELECT unnest(['element', 'element', 'attr', 'text']) AS kind, unnest(['tr', 'td', 'id', NULL]) AS name, unnest([k, 2 * k, k, 3 * k]) AS n, unnest([0, 1, 1, 2]) AS deepest)""")
+@query("""SELECT kind, name, n, deepest FROM (SELECT count(*) AS k FROM customer), LATERAL (SELECT unnest(['element', 'element', 'attr', 'text']) AS kind, unnest(['tr', 'td', 'id', NULL]) AS name, unnest([k, 2 * k, k, 3 * k]) AS n, unnest([0, 1, 1, 2]) AS deepest)""")
 def element_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _row_markup().alias("content"))
     return census.element_census(nodes.markup_nodes(df))
 
 
-@query("""SELECT n_nationkey AS doc_id, unnest([0, 0, 0, 0, 0, 0, 1, 3, 5]) AS ancestor, unnest([1, 2, 3, 4, 5, 6, 2, 4, 6]) AS node FROM nation""")
+@query("""SELECT c_custkey AS doc_id, unnest([0, 0, 0, 0, 0, 0, 1, 3, 5]) AS ancestor, unnest([1, 2, 3, 4, 5, 6, 2, 4, 6]) AS node FROM customer""")
 def node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), _row_markup().alias("content"))
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _row_markup().alias("content"))
     return nodes.descendants(nodes.markup_nodes(df))
 
 
-@query("""SELECT n_nationkey AS doc_id, p AS path, regexp_matches(p, '\\.(mk|m)$') AS ours FROM (SELECT n_nationkey, n_name || CASE n_nationkey % 5 WHEN 0 THEN '.mk' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END AS p FROM nation)""")
+@query("""SELECT c_custkey AS doc_id, p AS path, regexp_matches(p, '\\.(mk|m)$') AS ours FROM (SELECT c_custkey, c_name || CASE c_custkey % 5 WHEN 0 THEN '.mk' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END AS p FROM customer)""")
 def markup_file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat("n_name", F.expr("CASE n_nationkey % 5 WHEN 0 THEN '.mk' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END"))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), path.alias("path"), native.is_markup_file(path, ("mk", "m")).alias("ours"))
+    path = F.concat("c_name", F.expr("CASE c_custkey % 5 WHEN 0 THEN '.mk' WHEN 1 THEN '.m' WHEN 2 THEN '.M' WHEN 3 THEN '.m.txt' ELSE '' END"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), path.alias("path"), native.is_markup_file(path, ("mk", "m")).alias("ours"))
 
 
 # --- files and streams: no SQL, tests compare with the single-document functions ---

@@ -14,8 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from palisade.functions import native, udfs
 
-#: None named: the usual extensions.
-EXTENSIONS: tuple[str, ...] = ()
+EXTENSIONS = native.EXTENSIONS
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +95,8 @@ def build_site(spark: SparkSession, source: str, target: str, extensions: tuple[
     """Copy a tree to ``target``, each document replaced by its HTML."""
     spark.dataSource.register(SiteSource)
     root = Path(source).resolve().as_uri() + "/"
-    relative = F.expr(f"substring(path, instr(path, '{Path(source).resolve()}/') + {len(str(Path(source).resolve())) + 1})")
+    inner = str(Path(source).resolve()) + "/"
+    relative = F.substr("path", F.instr("path", inner) + F.lit(len(inner)))
     files = read_files(spark, root).select(relative.alias("path"), "content")
     ours = native.is_markup_file(F.col("path"), extensions)
     done = udfs.markup_to_html(F.when(ours, F.col("content")))["html"]
