@@ -36,8 +36,10 @@ MIN_WORDS = 40
 #: Exact Jaccard similarity of shingles from which two paragraphs are the same passage.
 THRESHOLD = 0.6
 RECALL, AT = 0.95, THRESHOLD
-#: Ranges of band hashes that are shuffled one after the other, so that only one's files stand at a time.
+#: Sets of bands that are shuffled one after the other, so that only one's files stand at a time.
 PARTS = 2
+#: Bytes of a bucket's packed rows that are held before equal ones are put together.
+HELD_BYTES = 64 << 20
 #: Contents of a bucket each of whose others is compared with; what is still open then is
 #: split by rare shingles if it is more than that.
 HOT = 256
@@ -76,7 +78,7 @@ def _anchors(h: np.ndarray, row: np.ndarray, sizes: np.ndarray, first: np.ndarra
         around = np.concatenate([np.zeros(reach - 1, np.uint64), low, np.zeros(reach - 1, np.uint64)])
         picks = np.flatnonzero(~_sliding_min(~around, reach) == h)
     short = first[:-1][(sizes > 0) & (sizes < reach)]
-    return np.union1d(picks, short)
+    return np.sort(np.concatenate([picks, short]))
 
 
 def _line_ends(c: tv.Chunk, w: tv.Words, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,8 @@ class Paragraphs:
         at = np.maximum(np.minimum(at, last), first[row[at]] if len(at) else at)
         size = np.minimum(width, first[row[at] + 1] - at) if len(at) else at
         line_at, line_size = _line_ends(c, w, first, width)
-        at, size = np.divmod(np.unique(np.concatenate([at, line_at]) * (width + 1) + np.concatenate([size, line_size])), width + 1)
+        both = np.sort(np.concatenate([at, line_at]) * (width + 1) + np.concatenate([size, line_size]))
+        at, size = np.divmod(both[np.diff(both, prepend=-1) != 0], width + 1)
         self.row = row[at]
         words = np.minimum(size + SHINGLE - 1, w.counts()[self.row])
         keep = np.flatnonzero(words >= least)
@@ -125,7 +128,8 @@ class Paragraphs:
         self.content = tv.mix(np.where(again, np.uint64(0), tv.mix(self.sets)).sum(axis=1, dtype=np.uint64))
 
 
-_KEYS = schema(("content", T.LongType()), ("times", T.IntegerType()), ("lo", T.LongType()), ("hi", T.LongType()), ("keys", T.ArrayType(T.LongType())))
+_PACKED = schema(("bucket", T.LongType()), ("rows", T.BinaryType()))
+_MET = schema(*((n, T.LongType()) for n in ("key", "content", "times", "lo", "hi")), ("several", T.BooleanType()))
 _PLACES = schema(("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("w", T.IntegerType()), ("w_end", T.IntegerType()), ("c", T.LongType()))
 
 
@@ -133,38 +137,119 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*pick(docs, doc_id="doc_id", text="text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def contents(docs: DataFrame, bands: int, rows: int, min_words: int = MIN_WORDS) -> DataFrame:
-    """(content, times, lo, hi, keys): the distinct paragraphs of each batch of
-    documents, how often they occur there, their least and greatest doc_id, and
-    their band hashes. Equal ones collapse before any shuffle."""
+def _pack(columns: np.ndarray) -> bytes:
+    """Columns (key, content, lo, hi, times) of int64 as bytes that compress: the small ones by place of byte."""
+    key, content, lo, hi, times = columns
+    small = np.stack([lo, hi - lo, times], 1)
+    return b"".join([key.tobytes(), content.tobytes(), small.view(np.uint8).T.tobytes()])
+
+
+def _unpack(rows: bytes) -> np.ndarray:
+    n = len(rows) // 40
+    wide = np.frombuffer(rows, np.int64, 2 * n).reshape(2, n)
+    small = np.ascontiguousarray(np.frombuffer(rows, np.uint8, 24 * n, 16 * n).reshape(24, n).T).view(np.int64)
+    return np.stack([*wide, small[:, 0], small[:, 0] + small[:, 1], small[:, 2]])
+
+
+def _equal_as_one(columns: np.ndarray) -> np.ndarray:
+    """Rows of equal key and content as one: least lo, greatest hi, sum of times; sorted by both."""
+    columns = columns[:, np.lexsort((columns[1], columns[0]))]
+    key, content, lo, hi, times = columns
+    if not len(key):
+        return columns
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
+    return np.stack([key[new], content[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new), np.add.reduceat(times, new)])
+
+
+def contents(docs: DataFrame, bands: int, rows: int, own: range, parts: int, min_words: int = MIN_WORDS) -> DataFrame:
+    """(bucket, rows): per batch of documents, its distinct paragraphs by their hashes of the bands
+    ``own``: (key, content, least and greatest doc_id, times), packed. A band's keys are in
+    ``parts`` buckets, bucket // parts being the band. Equal ones collapse before any shuffle,
+    and what is shuffled is a row a bucket."""
     a, b = tv.universal(bands * rows, SEED)
     salt = tv.seeds(bands, SEED + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            parts = []
+            found = []
             for c in tv.chunks(batch.column(1)):
                 p = Paragraphs(c, min_words)
-                key = np.empty((len(p.row), bands), np.uint64)
-                for band in range(bands):
+                sets = np.ascontiguousarray(p.sets.T)
+                v, key = np.empty_like(sets), np.empty((len(own), len(p.row)), np.uint64)
+                for at, band in enumerate(own):
                     k = np.full(len(p.row), salt[band])
                     for i in range(band * rows, (band + 1) * rows):
-                        k = tv.mix(k + (p.sets * a[i] + b[i]).min(1)) if len(k) else k
-                    key[:, band] = k
-                parts.append((p.content, ids[c.first + p.row], key))
-            if not parts:
+                        np.multiply(sets, a[i], out=v)
+                        v += b[i]
+                        k = tv.mix(k + v.min(0))
+                    key[at] = k
+                found.append((p.content, ids[c.first + p.row], key))
+            if not found:
+                continue
+            content, owner, key = (np.concatenate([x[i] for x in found], axis=-1) for i in range(3))
+            if not len(content):
                 continue
-            content, owner, key = (np.concatenate([x[i] for x in parts]) for i in range(3))
             order = np.argsort(content, kind="stable")
             content, owner = content[order], owner[order]
-            new = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]])) if len(content) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate([new, [len(content)]])).astype(np.int32)
-            lo, hi = ((np.minimum.reduceat(owner, new), np.maximum.reduceat(owner, new)) if len(new) else (owner, owner))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * bands), pa.array(key[order[new]].view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(content[new].view(np.int64)), pa.array(times), pa.array(lo), pa.array(hi), lists], names=_KEYS.names)
+            new = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
+            times = np.diff(np.append(new, len(content)))
+            lo, hi = np.minimum.reduceat(owner, new), np.maximum.reduceat(owner, new)
+            content, key = content[new].view(np.int64), key[:, order[new]]
+            for at, band in enumerate(own):
+                part = (key[at] % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                columns = np.stack([key[at].view(np.int64), content, lo, hi, times])[:, by]
+                first = np.flatnonzero(np.diff(part[by], prepend=-1) != 0)
+                packed = [_pack(columns[:, x:y]) for x, y in zip(first, np.append(first[1:], len(by)))]
+                yield pa.RecordBatch.from_arrays([pa.array(band * parts + part[by[first]]), pa.array(packed, pa.binary())], names=_PACKED.names)
+
+    return _texts(docs).mapInArrow(run, _PACKED)
+
+
+def _met(parts: int):
+    """Over ``contents`` sorted by bucket: the contents whose key is met in two documents at least,
+    as (key, content, times, lo, hi, several). ``several`` says that a key has other contents
+    too; a content that has no other beside it is in two documents by itself, with every
+    key it has, and given for band 0 alone.
+
+    One bucket is held at a time, its equal rows put together as it grows.
+    """
 
-    return _texts(docs).mapInArrow(run, _KEYS)
+    def flush(bucket: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        columns = np.concatenate(held, axis=1)
+        columns = columns[:, np.argsort(columns[0])]
+        key, _, lo, hi, _ = columns
+        change = key[1:] != key[:-1]
+        alone = np.concatenate([[True], change]) & np.concatenate([change, [True]])
+        columns = _equal_as_one(columns[:, ~alone | (lo < hi)])  # a key of one row and one document meets none
+        key, content, lo, hi, times = columns
+        new = np.flatnonzero(np.diff(key) != 0) + 1
+        first = np.concatenate([[0], new]) if len(key) else new
+        size = np.diff(np.append(first, len(key)))
+        met, several = (np.repeat(x, size) for x in (np.minimum.reduceat(lo, first) < np.maximum.reduceat(hi, first), size > 1)) if len(key) else (np.zeros(0, bool),) * 2
+        at = np.flatnonzero(met & (several | (bucket < parts)))
+        return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (key, content, times, lo, hi)), pa.array(several[at])], names=_MET.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now, size, most = None, 0, HELD_BYTES
+        for batch in batches:
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and bucket != now:
+                    yield flush(now, held)
+                    held, size, most = [], 0, HELD_BYTES
+                now = bucket
+                held.append(_unpack(rows.as_buffer()))
+                size += held[-1].nbytes
+                if size > most:
+                    held = [_equal_as_one(np.concatenate(held, axis=1))]
+                    size = held[0].nbytes
+                    most = max(HELD_BYTES, 2 * size)
+        if held:
+            yield flush(now, held)
+
+    return run
 
 
 def places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -188,16 +273,17 @@ def places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return _texts(docs).mapInArrow(run, _PLACES)
 
 
-_SIDE = [(f"{side}{kind}", T.ArrayType(T.IntegerType())) for side in ("left", "right") for kind in ("", "_at")]
-_AROUND = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("doc_id", T.LongType()), *((n, T.IntegerType()) for n in ("start", "end", "w", "w_end")), *_SIDE)
+_SIDE = [(f"{side}{kind}", T.BinaryType()) for side in ("left", "right") for kind in ("", "_at")]
+_AROUND = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("is_first", T.BooleanType()), ("doc_id", T.LongType()), *((n, T.IntegerType()) for n in ("start", "end", "w", "w_end")), *_SIDE)
 
 
 def surroundings(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``found`` (passage, content, removed, doc_id, start, end, w, w_end) with, per side, the hashes of the
+    """``found`` (passage, content, removed, is_first, doc_id, start, end, w, w_end) with, per side, the hashes of the
     words next to it, nearest first, and the offsets it would reach to with each of them: of more
-    words than lie before a passage's first anchor, or behind its last whole paragraph."""
+    words than lie before a passage's first anchor, or behind its last whole paragraph. Four
+    bytes each, the greatest first."""
     growth = max(1, min_words - WORDS + 1) + SHINGLE
-    lists = found.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("passage", "content", "removed", "start", "end", "w", "w_end")).alias("spans"))
+    lists = found.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("passage", "content", "removed", "is_first", "start", "end", "w", "w_end")).alias("spans"))
     texts = _texts(docs)
     rows = texts.join(lists, texts.doc_id == lists.w_id).select("doc_id", "text", "spans")
 
@@ -207,21 +293,21 @@ def surroundings(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS)
                 w = tv.words(c)
                 own = batch.column(2).slice(c.first, c.rows)
                 row = np.repeat(np.arange(c.rows), own.value_lengths().to_numpy(zero_copy_only=False))
-                passage, content, removed, start, end, word, word_end = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
+                passage, content, removed, is_first, start, end, word, word_end = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
                 # A row that repeats a doc_id with another text may not have the span.
                 a, b = np.searchsorted(w.start, c.offsets[row] + start), np.searchsorted(w.end, c.offsets[row] + end)
                 last = len(w.start) - 1
                 here = np.flatnonzero((w.first[row] <= a) & (b < w.first[row + 1]) & (w.start[np.minimum(a, last)] == c.offsets[row] + start) & (w.end[np.minimum(b, last)] == c.offsets[row] + end))
-                passage, content, removed, start, end, word, word_end, row, a, b = (x[here] for x in (passage, content, removed, start, end, word, word_end, row, a, b))
+                passage, content, removed, is_first, start, end, word, word_end, row, a, b = (x[here] for x in (passage, content, removed, is_first, start, end, word, word_end, row, a, b))
                 ids = batch.column(0).slice(c.first, c.rows).take(pa.array(row))
-                columns = [pa.array(passage), pa.array(content), pa.array(removed.astype(bool)), ids, *(pa.array(x) for x in (start, end, word, word_end))]
+                columns = [pa.array(passage), pa.array(content), pa.array(removed.astype(bool)), pa.array(is_first.astype(bool)), ids, *(pa.array(x) for x in (start, end, word, word_end))]
                 steps = np.arange(1, growth + 1)
                 for at, edge in ((a[:, None] - steps, w.start), (b[:, None] + steps, w.end)):
                     there = (at >= w.first[row][:, None]) & (at < w.first[row + 1][:, None])
                     words, owner = at[there], np.nonzero(there)[0]
-                    ends = pa.array(np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32))
-                    for values in ((w.hash[words] >> np.uint64(32)).astype(np.uint32).view(np.int32), (edge[words] - c.offsets[row[owner]]).astype(np.int32)):
-                        columns.append(pa.ListArray.from_arrays(ends, pa.array(values)))
+                    ends = pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(there.sum(1))]).astype(np.int32))
+                    for values in (w.hash[words] >> np.uint64(32), edge[words] - c.offsets[row[owner]]):
+                        columns.append(pa.Array.from_buffers(pa.binary(), len(there), [None, ends, pa.py_buffer(values.astype(">u4"))]))
                 yield pa.RecordBatch.from_arrays(columns, names=_AROUND.names)
 
     return rows.mapInArrow(run, _AROUND)
@@ -236,26 +322,95 @@ def _occurrences(found: DataFrame) -> DataFrame:
     w = Window.partitionBy("passage", "doc_id").orderBy("start", "end")
     new = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     begins = F.max(F.when(F.col("new"), F.col("start"))).over(w)
-    islands = found.withColumn("new", new).withColumn("begins", begins).drop("new")
-    firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start")).alias("first")).where("first.doc_id < hi")
-    return islands.join(firsts, "passage").select("passage", "content", (F.col("first") != F.struct("doc_id", F.col("begins").alias("start"))).alias("removed"), "doc_id", "start", "end", "w", "w_end")
+    # Rows that repeat a document are one; the exchange is the window's.
+    islands = found.repartition("passage", "doc_id").distinct().withColumn("new", new).withColumn("begins", begins).withColumn("least", F.min("start").over(w))
+    firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min("doc_id").alias("lo")).where("lo < hi")
+    return islands.join(firsts, "passage").select("passage", "content", F.expr("NOT (doc_id = lo AND begins = least)").alias("removed"), "doc_id", "start", "end", "w", "w_end")
+
+
+_SIDES = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("doc_id", T.LongType()), *((n, T.IntegerType()) for n in ("start", "end", "w", "w_end")), ("open", T.BooleanType()), ("lead", T.BooleanType()))
+
+
+def _running_max(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of each place, the maximum of ``x`` (0 or more) before it in its group, -1 at its first; ``new``: a group begins."""
+    group = np.cumsum(new).astype(np.int64) << 32
+    out = np.empty(len(x), np.int64)
+    out[:1] = -1
+    out[1:] = (np.maximum.accumulate(group + x) - group)[:-1]
+    out[new] = -1
+    return out
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows with their documents whole, of batches sorted by ``doc_id``; only the last document is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc = batch.column("doc_id").to_numpy()
+        new = int(np.searchsorted(doc, doc[-1]))  # the last document stays open
+        if held and doc[0] != held[-1].column("doc_id")[-1].as_py():
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        if new:
+            yield pa.Table.from_batches([*held, batch.slice(0, new)]).combine_chunks()
+            held = []
+        held.append(batch.slice(new))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _apart(*keys: np.ndarray) -> np.ndarray:
+    """Whether any of the ``keys`` differs from the one before it; there is one at least."""
+    return np.concatenate([[True], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])])
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_occurrences``, documents together, with ``open`` and ``lead``.
+
+    One is open if no other of its document, removed or not as it is, reaches over
+    one of its sides. One leads if it is the first of its content in its document.
+    """
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        content, doc, removed, start, end = (t.column(n).to_numpy().astype(np.int64) for n in ("content", "doc_id", "removed", "start", "end"))
+        open_, lead = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+        by = np.lexsort((end, start, removed, doc))
+        open_[by] = _running_max(end[by], _apart(doc[by], removed[by])) < start[by]
+        by = np.lexsort((-start, -end, removed, doc))
+        most = 1 << 31
+        before = most - _running_max(most - start[by], _apart(doc[by], removed[by]))  # the least start before, above all at first
+        open_[by] |= before > end[by]
+        by = np.lexsort((end, start, content, doc))
+        lead[by] = _apart(doc[by], content[by])
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in t.columns), pa.array(open_), pa.array(lead)], names=_SIDES.names)
+
+    for t in _whole_documents(batches):
+        yield flush(t)
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """Of ``found`` with ``removed``, the paragraphs that may grow and their first equals,
-    or whose first equal may grow.
+    """Of ``found`` with ``open`` and ``lead``, the paragraphs that may grow and their first equals,
+    or whose first equal may grow; with ``is_first``.
 
-    One may grow if no other of its document, removed or not as it is, reaches
-    over one of its sides: what lies there is reported already where one does.
+    One may grow if it is open: what lies over its sides is reported already where one is not.
     """
-    own = Window.partitionBy("doc_id", "removed").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.coalesce(F.max("end").over(own.orderBy("start", "end")) < F.col("start"), F.lit(True))
-    right = F.coalesce(F.min("start").over(own.orderBy(F.desc("end"), F.desc("start"))) > F.col("end"), F.lit(True))
-    me = F.struct("doc_id", "start", "end")
-    sides = found.withColumn("open", left | right)
-    firsts = sides.groupBy("content").agg(F.min(F.struct("doc_id", "start", "end", "open")).alias("first"), F.max("open").alias("any_open"))
-    met = sides.join(firsts, "content").where(F.col("open") | F.col("first.open") | F.col("any_open") & (F.struct("first.doc_id", "first.start", "first.end") == me))
-    return met.drop("open", "first", "any_open")
+    firsts = found.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.expr("min_by(open, doc_id) FILTER (WHERE lead)").alias("first_open"), F.max("open").alias("any_open"))
+    is_first = F.expr("lead AND doc_id = first_doc")
+    met = found.join(firsts, "content").withColumn("is_first", is_first).where("open OR first_open OR any_open AND is_first")
+    return met.drop("open", "lead", "first_doc", "first_open", "any_open")
+
+
+@F.arrow_udf(T.IntegerType())
+def _shared(one: pa.Array, other: pa.Array) -> pa.Array:
+    """How many words of four bytes the two have in common from their start on."""
+    sizes = [np.diff(np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]) // 4 for x in (one, other)]
+    width = max([1, *(int(s.max()) for s in sizes if len(s))])
+    same = np.zeros((2, len(one), width + 1), np.uint32)
+    there = [np.arange(width + 1) < s[:, None] for s in sizes]
+    for side, x, at in zip(same, (one, other), there):
+        side[at] = np.frombuffer(b"".join(x.to_pylist()), np.uint32)
+    return pa.array(np.argmin((same[0] == same[1]) & there[0] & there[1], axis=1).astype(np.int32))
 
 
 def _grown(found: DataFrame) -> DataFrame:
@@ -266,25 +421,45 @@ def _grown(found: DataFrame) -> DataFrame:
     any of its equals does. So all that a removed one gains stands in an earlier
     document.
     """
-    firsts = found.groupBy("content").agg(F.min(F.struct("doc_id", "start", "end", "left", "right")).alias("first"))
-    common = lambda side: f"zip_with({side}, first.{side}, (x, y) -> coalesce(x = y, false))"
-    length = lambda side: F.expr(f"CASE WHEN doc_id = first.doc_id THEN 0 WHEN array_position({common(side)}, false) = 0 THEN size({common(side)}) ELSE array_position({common(side)}, false) - 1 END").cast("int")
-    is_first = F.struct("first.doc_id", "first.start", "first.end") == F.struct("doc_id", "start", "end")
-    met = found.join(firsts, "content").select("passage", "content", "doc_id", "start", "end", "w", "w_end", "left_at", "right_at", length("left").alias("l"), length("right").alias("r"), "removed", is_first.alias("is_first"))
+    firsts = found.where("is_first").groupBy("content").agg(F.min(F.struct("doc_id", "left", "right")).alias("first"))
+    first = F.col("doc_id") == F.col("first.doc_id")
+    length = lambda side: F.when(first, 0).otherwise(_shared(side, f"first.{side}"))
+    met = materialise(found.join(firsts, "content").select("passage", "content", "doc_id", "start", "end", "w", "w_end", "left_at", "right_at", length("left").alias("l"), length("right").alias("r"), "removed", "is_first"), "met")
     most = met.groupBy("content").agg(F.max("l").alias("most_l"), F.max("r").alias("most_r"))
     grows = "is_first AND NOT removed"
     sized = met.join(most, "content").withColumns({"l": F.expr(f"if({grows}, most_l, l)"), "r": F.expr(f"if({grows}, most_r, r)")})
-    return sized.select("passage", "doc_id", F.expr("if(l > 0, left_at[l - 1], start)").alias("start"), F.expr("if(r > 0, right_at[r - 1], end)").alias("end"), F.expr("w - l").alias("w"), F.expr("w_end + r").alias("w_end"), "removed")
+    reach = lambda n, at, own: F.expr(f"if({n} > 0, cast(conv(hex(substring({at}, 4 * {n} - 3, 4)), 16, 10) AS int), {own})")
+    return sized.select("passage", "doc_id", reach("l", "left_at", "start").alias("start"), reach("r", "right_at", "end").alias("end"), F.expr("w - l").alias("w"), F.expr("w_end + r").alias("w_end"), "removed")
+
+
+_STRETCHES = schema(("doc_id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("words", T.IntegerType()), ("removed", T.BooleanType()), ("passages", T.ArrayType(T.LongType(), False)))
 
 
 def _stretches(spans: DataFrame, min_words: int) -> DataFrame:
     """The spans of a document that touch, as long as all or none are removed, as one;
     those of ``min_words`` or more, with the passages they are of."""
-    w = Window.partitionBy("doc_id", "removed").orderBy("w", "w_end")
-    before = F.max("w_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.coalesce((F.col("w") > before).cast("int"), F.lit(0)))
-    whole = marked.withColumn("island", F.sum("new").over(w)).groupBy("doc_id", "removed", "island").agg(F.array_sort(F.collect_set("passage")).alias("passages"), *[f(c).alias(c) for c, f in (("start", F.min), ("end", F.max), ("w", F.min), ("w_end", F.max))])
-    return whole.where(F.col("w_end") - F.col("w") >= min_words).select("doc_id", "start", "end", (F.col("w_end") - F.col("w")).alias("words"), "removed", "passages")
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        passage, doc, start, end, w, w_end, removed = (t.column(n).to_numpy().astype(np.int64) for n in ("passage", "doc_id", "start", "end", "w", "w_end", "removed"))
+        by = np.lexsort((w_end, w, removed, doc))
+        passage, doc, start, end, w, w_end, removed = (x[by] for x in (passage, doc, start, end, w, w_end, removed))
+        own = _apart(doc, removed)
+        first = np.flatnonzero(own | (w > _running_max(w_end, own)))
+        island = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+        low, high = w[first], np.maximum.reduceat(w_end, first)
+        long = high - low >= min_words
+        by = np.lexsort((passage, island))
+        passage, island = passage[by], island[by]
+        kept = _apart(passage, island) & long[island]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(island[kept], minlength=len(first))[long])).astype(np.int32)), pa.array(passage[kept]))
+        values = (np.minimum.reduceat(start, first), np.maximum.reduceat(end, first), high - low)
+        return pa.RecordBatch.from_arrays([pa.array(doc[first][long]), *(pa.array(x[long].astype(np.int32)) for x in values), pa.array(removed[first][long].astype(bool)), lists], names=_STRETCHES.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_documents(batches):
+            yield flush(t)
+
+    return spans.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, _STRETCHES)
 
 
 _SETS = schema(("content", T.LongType()), ("shingles", T.BinaryType()))
@@ -292,7 +467,7 @@ _SETS = schema(("content", T.LongType()), ("shingles", T.BinaryType()))
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(content, shingles) of the wanted (doc_id, content): texts of those documents are read once more."""
-    lists = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set("content").alias("contents"))
+    lists = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list("content").alias("contents"))
     slim = docs.select(*pick(docs, doc_id="doc_id", text="text")).where("text IS NOT NULL")
     rows = slim.join(lists, slim.doc_id == lists.w_id).select("text", "contents")
 
@@ -316,14 +491,19 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int = MIN_WORDS
 def _jaccard(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Exact Jaccard similarity of each set of ``one`` with that of ``other`` beside it (sorted shingles, repeats allowed)."""
     out = np.empty(len(one))
-    for a in range(0, len(one), 1 << 15):  # bounds the memory
-        x, y = one[a : a + (1 << 15)], other[a : a + (1 << 15)]
+    for a in range(0, len(one), 1 << 12):  # bounds the memory
+        x, y = (np.ascontiguousarray(s[a : a + (1 << 12)].T) for s in (one, other))
         new_x, new_y = np.ones(x.shape, bool), np.ones(y.shape, bool)
-        new_x[:, 1:], new_y[:, 1:] = x[:, 1:] != x[:, :-1], y[:, 1:] != y[:, :-1]
-        common = np.zeros(len(x), np.int64)
-        for k in range(x.shape[1]):
-            common += ((y == x[:, k : k + 1]) & new_y).any(1) & new_x[:, k]
-        out[a : a + (1 << 15)] = common / (new_x.sum(1) + new_y.sum(1) - common)
+        np.not_equal(x[1:], x[:-1], out=new_x[1:])
+        np.not_equal(y[1:], y[:-1], out=new_y[1:])
+        if x.shape[1] < 64:
+            common = ((x[:, None] == y).any(1) & new_x).sum(0)
+        else:
+            common, same = np.zeros(x.shape[1], np.int64), np.empty(x.shape, bool)
+            for k in range(len(x)):
+                np.equal(y, x[k], out=same)
+                common += same.any(0) & new_x[k]
+        out[a : a + (1 << 12)] = common / (new_x.sum(0) + new_y.sum(0) - common)
     return out
 
 
@@ -458,39 +638,39 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     other columns are not looked at.
     """
     bands, rows = tune_bands(threshold)
-    # One shuffle by bucket. A passage that half the corpus has is one row a batch.
-    keyed = contents(docs, bands, rows, min_words).select("content", "times", "lo", "hi", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
+    # A passage that half the corpus has is one row a batch.
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = []
     for part in range(PARTS):
-        own = keyed.where(F.pmod("key", F.lit(PARTS)) == part)
-        spread = own.select("key", "content", "times", "lo", "hi", F.min("lo").over(w).alias("first"), F.max("hi").over(w).alias("last"), (F.min("content").over(w) < F.max("content").over(w)).alias("several"))
-        ready.append(materialise(spread.where("first < last").select("key", "content", "times", "lo", "hi", "several"), "paragraphs"))
+        packed = contents(docs, bands, rows, range(bands)[part::PARTS], buckets, min_words)
+        ready.append(materialise(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met(buckets), _MET), "paragraphs"))
     met = reduce(DataFrame.union, ready)
 
-    several = [x.where("several").groupBy("key", "content").agg(F.sum("times").alias("times"), F.min("lo").alias("doc_id"), F.max("hi").alias("hi")) for x in ready]
-    wanted = met.where("several").groupBy("content").agg(F.min("lo").alias("doc_id"))
+    known = materialise(met.groupBy("content").agg(F.min(F.when(F.col("several"), F.col("lo"))).alias("doc_id")), "contents")
+    wanted = known.where("doc_id IS NOT NULL")
     sets = materialise(_shingle_sets(docs, wanted, min_words), "sets")
-    owner = F.when(F.col("doc_id") == F.col("hi"), F.col("doc_id")).otherwise(-1).alias("owner")
+    owner = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("owner")
     links = []
-    for unlike in several:
-        buckets = unlike.select("key", "content", "times", owner).join(sets, "content").select("key", "content", "times", "owner", "shingles")
-        links.append(materialise(_linked(buckets, threshold, HOT), "links"))
+    for each in ready:
+        unlike = each.where("several").select("key", "content", "times", owner)
+        with_sets = lambda some: some.join(sets, "content").select("key", "content", "times", "owner", "shingles")
+        links.append(materialise(_linked(with_sets(unlike), threshold, HOT), "links"))
         still = links[-1].where("v IS NULL").select("key", F.col("u").alias("content"))
         if not still.isEmpty():
             # A rare shingle's bucket is compared to its end.
-            links.append(materialise(_linked(_split(buckets.join(still, ["key", "content"], "left_semi"), threshold), threshold, 1 << 62), "links"))
+            links.append(materialise(_linked(_split(with_sets(unlike.join(still, ["key", "content"], "left_semi")), threshold), threshold, 1 << 62), "links"))
     release(sets)
     parts = connected_components(reduce(DataFrame.union, links).where("v IS NOT NULL").select("u", "v"))
     for x in links:
         release(x)
 
     # The places of the contents that met another document, from a second reading.
-    repeated = met.select("content").distinct().join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
-    found = places(docs, min_words).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end", "w", "w_end").distinct()
-    found = materialise(_occurrences(found), "found")
-    for x in ready:
+    repeated = known.select("content").join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
+    found = materialise(places(docs, min_words).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end", "w", "w_end"), "found")
+    for x in (*ready, known):
         release(x)
+    read, found = found, materialise(_occurrences(found).repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_sides, _SIDES), "found")
+    release(read)
     grown = _grown(materialise(surroundings(docs, _edges(found), min_words), "places"))
     return _stretches(found.select("passage", "doc_id", "start", "end", "w", "w_end", "removed").union(grown), min_words)
 

@@ -321,6 +321,31 @@ def test_bucket_links_join_what_pairs_join():
             assert bool(open_) == (hot == 1) and groups_of([*zip(u.tolist(), v.tolist()), *left], range(30)) == groups_of(want, range(30))
 
 
+def test_band_keys_are_shuffled_as_a_row_a_bucket(spark, monkeypatch):
+    """Not as a row a paragraph and band; whatever is held at a time, the same contents meet."""
+    rows, _ = passage_corpus()
+    bands, per = passages.tune_bands()
+    packed = passages.contents(docs(spark, [*rows, (-5, rows[0][1], "a"), (1 << 62, rows[0][1], "a")]).coalesce(1), bands, per, range(bands), 3).collect()
+    keyed = [(r.bucket, *x) for r in packed for x in passages._unpack(r.rows).T.tolist()]
+    assert len(packed) <= 3 * bands < len(keyed) / 50 and {x[3] for x in keyed} >= {-5} and {x[4] for x in keyed} >= {1 << 62}
+    # Parts of a bucket come apart, as from several batches.
+    halves = [(r.bucket, passages._pack(passages._unpack(r.rows)[:, i::2])) for r in sorted(packed) for i in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, _ in halves]), pa.array([x for _, x in halves], pa.binary())], names=["bucket", "rows"])
+    groups = {}
+    for bucket, key, content, lo, hi, times in keyed:
+        groups.setdefault((bucket, key), []).append((content, times, lo, hi))
+    want = set()
+    for (bucket, key), g in groups.items():
+        if min(x[2] for x in g) < max(x[3] for x in g) and (len({x[0] for x in g}) > 1 or bucket < 3):
+            want |= {(key, *x, len(g) > 1) for x in g}
+    assert {x[-1] for x in want} == {False, True}
+    for held in (passages.HELD_BYTES, 1):
+        monkeypatch.setattr(passages, "HELD_BYTES", held)
+        for size in (1, len(halves)):
+            got = [tuple(x.values()) for out in passages._met(3)(batch.slice(i, size) for i in range(0, len(halves), size)) for x in out.to_pylist()]
+            assert len(got) == len(want) and set(got) == want
+
+
 def test_passages_on_odd_tables(spark):
     again = " ".join(WORDS[:60])
     rows = [*odd_rows(), (20, again, "a"), (20, again, "a"), (None, again, "a")]
