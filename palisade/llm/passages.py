@@ -40,6 +40,8 @@ RECALL, AT = 0.95, THRESHOLD
 PARTS = 2
 #: Bytes of a bucket's packed rows that are held before equal ones are put together.
 HELD_BYTES = 64 << 20
+#: Contents of one packed row, and packed rows of a batch: small enough for the heap's regions.
+PACK_ROWS, PACKS = 4096, 32
 #: Contents of a bucket each of whose others is compared with; what is still open then is
 #: split by rare shingles if it is more than that.
 HOT = 256
@@ -138,17 +140,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _pack(columns: np.ndarray) -> bytes:
-    """Columns (key, content, lo, hi, times) of int64 as bytes that compress: the small ones by place of byte."""
+    """Columns (key, content, lo, hi, times) of int64 as bytes: hi and times only where a row stands
+    for several, and lo by place of byte, which compresses."""
     key, content, lo, hi, times = columns
-    small = np.stack([lo, hi - lo, times], 1)
-    return b"".join([key.tobytes(), content.tobytes(), small.view(np.uint8).T.tobytes()])
+    more = np.flatnonzero(times > 1)
+    small = np.ascontiguousarray(lo).view(np.uint8).reshape(-1, 8).T
+    return b"".join(x.tobytes() for x in (np.int64(len(key)), key, content, small, more, hi[more], times[more]))
 
 
 def _unpack(rows: bytes) -> np.ndarray:
-    n = len(rows) // 40
-    wide = np.frombuffer(rows, np.int64, 2 * n).reshape(2, n)
-    small = np.ascontiguousarray(np.frombuffer(rows, np.uint8, 24 * n, 16 * n).reshape(24, n).T).view(np.int64)
-    return np.stack([*wide, small[:, 0], small[:, 0] + small[:, 1], small[:, 2]])
+    n = int(np.frombuffer(rows, np.int64, 1)[0])
+    out = np.ones((5, n), np.int64)
+    out[:2] = np.frombuffer(rows, np.int64, 2 * n, 8).reshape(2, n)
+    out[2:4] = np.ascontiguousarray(np.frombuffer(rows, np.uint8, 8 * n, 8 + 16 * n).reshape(8, n).T).view(np.int64)[:, 0]
+    more, hi, times = np.frombuffer(rows, np.int64, offset=8 + 24 * n).reshape(3, -1)
+    out[3, more], out[4, more] = hi, times
+    return out
 
 
 def _equal_as_one(columns: np.ndarray) -> np.ndarray:
@@ -190,6 +197,7 @@ def contents(docs: DataFrame, bands: int, rows: int, own: range, parts: int, min
             content, owner, key = (np.concatenate([x[i] for x in found], axis=-1) for i in range(3))
             if not len(content):
                 continue
+            del found, p, sets, v  # a batch's paragraphs are what takes most memory
             order = np.argsort(content, kind="stable")
             content, owner = content[order], owner[order]
             new = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
@@ -199,10 +207,12 @@ def contents(docs: DataFrame, bands: int, rows: int, own: range, parts: int, min
             for at, band in enumerate(own):
                 part = (key[at] % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
-                columns = np.stack([key[at].view(np.int64), content, lo, hi, times])[:, by]
-                first = np.flatnonzero(np.diff(part[by], prepend=-1) != 0)
-                packed = [_pack(columns[:, x:y]) for x, y in zip(first, np.append(first[1:], len(by)))]
-                yield pa.RecordBatch.from_arrays([pa.array(band * parts + part[by[first]]), pa.array(packed, pa.binary())], names=_PACKED.names)
+                edges = np.append(np.flatnonzero(np.diff(part[by], prepend=-1) != 0), len(by))
+                spans = [(i, min(i + PACK_ROWS, y)) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()) for i in range(x, y, PACK_ROWS)]
+                for some in range(0, len(spans), PACKS):
+                    places = [by[x:y] for x, y in spans[some : some + PACKS]]
+                    packed = [_pack([x[i] for x in (key[at].view(np.int64), content, lo, hi, times)]) for i in places]
+                    yield pa.RecordBatch.from_arrays([pa.array([band * parts + int(part[i[0]]) for i in places]), pa.array(packed, pa.binary())], names=_PACKED.names)
 
     return _texts(docs).mapInArrow(run, _PACKED)
 
