@@ -24,7 +24,8 @@ def split_by_rare_tokens(members: DataFrame, keep: Column) -> DataFrame:
     # The join's key isn't what the counts are partitioned by, so that a hot token's partition may be split.
     other = F.col("sub").bitwiseXOR(F.lit(_KEY).cast("bigint")).alias("k")
     seen = each.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).select(other, "n")
-    met = each.select("key", "id", "keep", "sub", other).join(seen, "k")
+    # Either side is sized by the sets it was exploded from, so Spark would broadcast one many times the size it takes it for.
+    met = each.select("key", "id", "keep", "sub", other).join(seen.hint("merge"), "k")
     least = F.slice(F.array_sort(F.collect_list(F.struct("n", "sub"))), F.lit(1), F.max("keep"))
     rare = met.groupBy("key", "id").agg(least.alias("rare"))
     return rare.select("key", "id", F.explode("rare").alias("t")).where("t.n > 1").select("key", "id", "t.sub")

@@ -335,7 +335,7 @@ def _occurrences(found: DataFrame) -> DataFrame:
     # Rows that repeat a document are one; the exchange is the window's.
     islands = found.repartition("passage", "doc_id").distinct().withColumn("new", new).withColumn("begins", begins).withColumn("least", F.min("start").over(w))
     firsts = found.groupBy("passage").agg(F.max("doc_id").alias("hi"), F.min("doc_id").alias("lo")).where("lo < hi")
-    return islands.join(firsts, "passage").select("passage", "content", F.expr("NOT (doc_id = lo AND begins = least)").alias("removed"), "doc_id", "start", "end", "w", "w_end")
+    return islands.join(firsts.hint("merge"), "passage").select("passage", "content", F.expr("NOT (doc_id = lo AND begins = least)").alias("removed"), "doc_id", "start", "end", "w", "w_end")
 
 
 _SIDES = schema(("passage", T.LongType()), ("content", T.LongType()), ("removed", T.BooleanType()), ("doc_id", T.LongType()), *((n, T.IntegerType()) for n in ("start", "end", "w", "w_end")), ("open", T.BooleanType()), ("lead", T.BooleanType()))
@@ -407,7 +407,7 @@ def _edges(found: DataFrame) -> DataFrame:
     """
     firsts = found.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.expr("min_by(open, doc_id) FILTER (WHERE lead)").alias("first_open"), F.max("open").alias("any_open"))
     is_first = F.expr("lead AND doc_id = first_doc")
-    met = found.join(firsts, "content").withColumn("is_first", is_first).where("open OR first_open OR any_open AND is_first")
+    met = found.join(firsts.hint("merge"), "content").withColumn("is_first", is_first).where("open OR first_open OR any_open AND is_first")
     return met.drop("open", "lead", "first_doc", "first_open", "any_open")
 
 
@@ -434,10 +434,10 @@ def _grown(found: DataFrame) -> DataFrame:
     firsts = found.where("is_first").groupBy("content").agg(F.min(F.struct("doc_id", "left", "right")).alias("first"))
     first = F.col("doc_id") == F.col("first.doc_id")
     length = lambda side: F.when(first, 0).otherwise(_shared(side, f"first.{side}"))
-    met = materialise(found.join(firsts, "content").select("passage", "content", "doc_id", "start", "end", "w", "w_end", "left_at", "right_at", length("left").alias("l"), length("right").alias("r"), "removed", "is_first"), "met")
+    met = materialise(found.join(firsts.hint("merge"), "content").select("passage", "content", "doc_id", "start", "end", "w", "w_end", "left_at", "right_at", length("left").alias("l"), length("right").alias("r"), "removed", "is_first"), "met")
     most = met.groupBy("content").agg(F.max("l").alias("most_l"), F.max("r").alias("most_r"))
     grows = "is_first AND NOT removed"
-    sized = met.join(most, "content").withColumns({"l": F.expr(f"if({grows}, most_l, l)"), "r": F.expr(f"if({grows}, most_r, r)")})
+    sized = met.join(most.hint("merge"), "content").withColumns({"l": F.expr(f"if({grows}, most_l, l)"), "r": F.expr(f"if({grows}, most_r, r)")})
     reach = lambda n, at, own: F.expr(f"if({n} > 0, cast(conv(hex(substring({at}, 4 * {n} - 3, 4)), 16, 10) AS int), {own})")
     return sized.select("passage", "doc_id", reach("l", "left_at", "start").alias("start"), reach("r", "right_at", "end").alias("end"), F.expr("w - l").alias("w"), F.expr("w_end + r").alias("w_end"), "removed")
 
@@ -614,7 +614,13 @@ def _split(buckets: DataFrame, threshold: float) -> DataFrame:
     members = buckets.select("key", F.col("content").alias("id"), _distinct("shingles").alias("tokens"))
     keep = F.size("tokens") - F.ceil(F.size("tokens") * threshold - 1e-9).cast("int") + 1
     subs = split_by_rare_tokens(members, keep).select(F.col("key").alias("k"), F.col("id").alias("c"), "sub")
-    return buckets.join(subs, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c"))).select(F.col("sub").alias("key"), "content", "times", "owner", "shingles")
+    return buckets.join(subs.hint("merge"), (F.col("key") == F.col("k")) & (F.col("content") == F.col("c"))).select(F.col("sub").alias("key"), "content", "times", "owner", "shingles")
+
+
+def _left_open(unlike: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``unlike`` (key, content, ...) that ``links`` left open."""
+    still = links.where("v IS NULL").select("key", F.col("u").alias("content"))
+    return unlike.join(still.hint("merge"), ["key", "content"], "left_semi")
 
 
 def _linked(buckets: DataFrame, threshold: float, hot: int) -> DataFrame:
@@ -642,6 +648,10 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     first, a content already joined to another needs no further comparison, and
     what is open after many is split by rare shingles.
 
+    The tables written between steps repeat their keys and sets, so their files are a small
+    part of what they take in memory; as Spark goes by the files, joins with them are
+    merge joins by a hint.
+
     Null and empty texts, and rows without doc_id, have no passages; a word over
     and over is a passage like any other; repeats inside one document, and rows
     that repeat a doc_id, count as one document; an empty table gives no rows;
@@ -663,19 +673,18 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words:
     links = []
     for each in ready:
         unlike = each.where("several").select("key", "content", "times", owner)
-        with_sets = lambda some: some.join(sets, "content").select("key", "content", "times", "owner", "shingles")
+        with_sets = lambda some: some.join(sets.hint("merge"), "content").select("key", "content", "times", "owner", "shingles")
         links.append(materialise(_linked(with_sets(unlike), threshold, HOT), "links"))
-        still = links[-1].where("v IS NULL").select("key", F.col("u").alias("content"))
-        if not still.isEmpty():
+        if not links[-1].where("v IS NULL").isEmpty():
             # A rare shingle's bucket is compared to its end.
-            links.append(materialise(_linked(_split(with_sets(unlike.join(still, ["key", "content"], "left_semi")), threshold), threshold, 1 << 62), "links"))
+            links.append(materialise(_linked(_split(with_sets(_left_open(unlike, links[-1])), threshold), threshold, 1 << 62), "links"))
     release(sets)
     parts = connected_components(reduce(DataFrame.union, links).where("v IS NOT NULL").select("u", "v"))
     for x in links:
         release(x)
 
     # The places of the contents that met another document, from a second reading.
-    repeated = known.select("content").join(parts, F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
+    repeated = known.select("content").join(parts.hint("merge"), F.col("content") == F.col("node"), "left").select("content", F.coalesce("component", "content").alias("passage"))
     found = materialise(places(docs, min_words).join(repeated, F.col("c") == F.col("content")).select("passage", "content", "doc_id", "start", "end", "w", "w_end"), "found")
     for x in (*ready, known):
         release(x)

@@ -425,6 +425,20 @@ def test_removing_passages(spark):
     assert out.where("n_chars <> length(text)").count() == 0 and passages.remove_passages(docs(spark, [])).count() == 0
 
 
+def test_what_is_split_or_left_open_is_not_broadcast(spark):
+    """Spark takes exploded sets, and tables written with few distinct values, for far smaller than they are."""
+    from palisade.llm.buckets import split_by_rare_tokens
+    from palisade.llm.common import materialise
+
+    members = materialise(spark.range(200).selectExpr("id % 3 AS key", "id", "array(id % 5, id % 7, 100 + id) AS tokens"), "members")
+    unlike = members.selectExpr("key", "id AS content", "1L AS times", "-1L AS owner", "unhex(repeat('00000001', 18)) AS shingles")
+    links = materialise(unlike.selectExpr("key", "content AS u", "if(content % 2 = 0, NULL, content) AS v"), "links")
+    open_ = passages._left_open(unlike, links)
+    assert sorted(r.content for r in open_.collect()) == list(range(0, 200, 2))
+    for plan in (split_by_rare_tokens(members, F.lit(2)), open_, passages._split(unlike, 0.6)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_buckets_split_by_rare_tokens_lose_no_pair(spark):
     from palisade.llm.buckets import split_by_rare_tokens
 
