@@ -93,6 +93,12 @@ def matcher_pairs(data: pa.Array) -> pa.Array:
     return _map(data, pairs, pa.list_(_PA_PAIR))
 
 
+@F.arrow_udf(T.IntegerType())
+def deepest(data: pa.Array) -> pa.Array:
+    """The greatest depth of texts read side by side, of each one's ``brackets.steps``."""
+    return pa.array([None if x is None else brackets.deepest(brackets.side_by_side(x)) for x in data.to_pylist()], pa.int32())
+
+
 def ast_array(forests: list[list[markup.Node] | None]) -> pa.Array:
     """Flat forests as a column of arrays of node structs."""
     flat = [n for f in forests if f for n in f]

@@ -190,6 +190,15 @@ def test_query_against_sql(spark, duck, name):
     assert sorted(tuple(plain(r[n]) for n in names) for r in got.collect()) == want
 
 
+def test_depths_of_odd_pages_against_sql(spark, tmp_path):
+    rows = [(1, "<a>"), (2, None), (3, ""), (4, "abc"), (5, ">"), (6, "x>"), (7, "><"), (8, "<(>)"), (9, "<é<"), (10, "<a>"), (10, "b<"), (None, "<"), (None, "<<"), (11, ""), (11, "<"), (12, ">>"), (12, "><<<"), (13, "<"), (13, None), (14, "é<"), (14, "<")]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(c.execute(queries.SQL["matcher_depth_max"]).fetchall(), key=str)
+    assert sorted(map(tuple, queries.matcher_depth_max(spark, str(tmp_path)).collect()), key=str) == want and len(want) == 14
+
+
 def test_queries_without_sql(spark):
     got = {r.file: r.html for r in queries.convert_files(spark, DATA).collect()}
     assert len(got) == 25 and got["1.m"].startswith("<p>NATION_1 ") and got["0.txt"] is None
