@@ -120,7 +120,8 @@ def new_element(name: Column, *parts: Column) -> Column:
 
 def explode_nodes(df: DataFrame, ast: str = "ast", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Node table of an AST column: one row per node beside the ``keep`` columns."""
-    return df.select(*keep, F.inline(F.col(ast)))
+    # Not plain inline: Spark would infer a filter from it and parse once more, before any exchange, to evaluate it.
+    return df.select(*keep, F.inline_outer(F.col(ast))).where("node_id IS NOT NULL OR kind IS NOT NULL")
 
 
 def collect_nodes(nodes: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -139,10 +140,15 @@ def same_ast(a: Column, b: Column) -> Column:
 
 
 def diff_nodes(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Nodes that only one of two node tables has, with ``side``."""
+    """Nodes that only one of two node tables has, or that one has more often, with ``side``.
+
+    One signed count over both: each is read once, and nearly all rows being distinct,
+    they are shuffled as they are and counted behind it, where a task has a share of them."""
     columns = [*by, *FIELDS]
-    a, b = a.select(columns), b.select(columns)
-    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+    both = a.select(*columns, F.lit(1).alias("sign")).unionAll(b.select(*columns, F.lit(-1).alias("sign")))
+    n = both.repartition(*columns).groupBy(*columns).agg(F.sum("sign").alias("n")).where("n <> 0")
+    times = F.explode(F.array_repeat(F.when(F.col("n") > 0, "a").otherwise("b"), F.abs("n").cast("int")))
+    return n.select(*columns, times.alias("side"))
 
 
 def events(nodes: DataFrame, comments: bool = True, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -176,8 +182,9 @@ def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id IS NOT NULL").join(up, ["doc_id", "parent_id"])
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(doc_id, ancestor, node): an interval join within each document."""
-    a = nodes.select("doc_id", F.col("node_id").alias("ancestor"), F.col("subtree_end").alias("stop"))
-    d = nodes.select("doc_id", F.col("node_id").alias("node"))
-    return a.join(d, "doc_id").where("ancestor < node AND node < stop").select("doc_id", "ancestor", "node")
+def descendants(nodes: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, ancestor, node): each node's range of places. Of ``whole`` documents, as they are
+    parsed, every place is a node, and no join is needed; else those left are found by an equi-join."""
+    start, stop = F.col("node_id") + 1, F.col("subtree_end") - 1
+    pairs = nodes.where(start <= stop).select("doc_id", F.col("node_id").alias("ancestor"), F.explode(F.sequence(start, stop)).alias("node"))
+    return pairs if whole else pairs.join(nodes.select("doc_id", F.col("node_id").alias("node")), ["doc_id", "node"]).select("doc_id", "ancestor", "node")

@@ -17,6 +17,21 @@ from palisade.functions import native, udfs
 EXTENSIONS = native.EXTENSIONS
 
 
+#: Rows of a task that ``spread`` makes, and the tasks up to which Spark's shuffle writer has a stream for each and holds no rows.
+SPREAD_ROWS, SPREAD_TASKS = 8_192, 200
+
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows, to be worked on in Python.
+
+    A table of narrow rows is a few row groups, as one of a million rows may be, and Spark
+    reads a row group in one task: whatever follows would run on as many cores, and all
+    its nodes be one task's. Goes by all columns, so take only those needed. Counts
+    the rows, from the footers if ``df`` is of Parquet; few stay as they are."""
+    n = min(SPREAD_TASKS, -(-df.count() // rows))
+    return df if n < 2 else df.repartition(n, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, length, modificationTime) of a file or of a directory tree."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

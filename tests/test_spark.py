@@ -266,6 +266,35 @@ def test_node_relations_and_name_characters(spark):
     assert column(chars.select("doc_id", native.is_name_char(F.col("content")).alias("x")), "x") == [True, True, True, True, True, False, False]
 
 
+def test_diff_counts_both_tables_at_once(spark):
+    flat = nodes.markup_nodes(texts(spark, ["a[b]", None, "c"]))
+    a, b = flat.union(flat.where("name = 'a'")), flat.where("value IS NULL OR value <> 'c'").union(texts(spark, ["+[x]"]).transform(nodes.markup_nodes))
+    diff = nodes.diff_nodes(a, b)
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
+    assert sorted((r.side, r.name or r.value) for r in diff.collect()) == [("a", "a"), ("a", "c"), ("b", "x")]
+
+
+def test_descendants_of_whole_tables_need_no_join(spark):
+    flat = nodes.markup_nodes(texts(spark, ["a{x=[y]}[b[c]d[]]", "", "e"]))
+    want = sorted((r.doc_id, r.ancestor, r.node) for r in nodes.descendants(flat).collect())
+    whole = nodes.descendants(flat, whole=True)
+    assert sorted(map(tuple, whole.collect())) == want and len(want) == 7
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    left = nodes.descendants(flat.where("kind <> 'attr'"))
+    assert sorted((r.ancestor, r.node) for r in left.collect()) == [(0, 2), (0, 3), (0, 4), (0, 5), (3, 4)]
+
+
+def test_long_row_groups_are_spread(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "if(id % 2 = 0, NULL, 'x') AS t").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = files.spread(df, 100)
+    parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) == 10 and max(parts) < 200 and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert files.spread(df) is df and files.spread(df.limit(0)).count() == 0
+
+
 def test_random_trees_survive_writing_and_parsing():
     import random
 
